@@ -3,16 +3,89 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, fingerprint, jaccard, langid, licenses, lm, mixing, secret_scan, topk, toxicity
+from .scratch import ship
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(n: int) -> Column:
+    """crc32 of the key as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, at weights 5, 2, 1 and 150 % of all words."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.taken(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from labels outside the held-out fold."""
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    held_out = F.coalesce(_fold(4) == 2, F.lit(False))
+    model = toxicity.fit(docs, labels.where(~held_out))
+    scored = toxicity.score_all(docs, model, out="score")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products of every twentieth vector with all others."""
+    return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of every text under the backoff automaton, and under unigrams alone."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm.score(docs, _fold(10) != 0)
+    held_out = F.coalesce(_fold(10) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every document, and its number of similar documents."""
+    found = jaccard.links(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("key").alias("doc_id"), "class_id", "n_links")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, by profiles of the texts outside the held-out fold."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(_fold(5) == 0, F.lit(False))
+    found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences of every document."""
+    found = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.transform("licences", lambda x: F.concat_ws(":", x["licence"], x["start"].cast("string"), x["end"].cast("string")))
+    names = F.array_sort(F.array_distinct(F.transform("licences", lambda x: x["licence"])))
+    return found.select("doc_id", F.size("licences").cast("long").alias("n_matches"), F.array_join(names, ",").alias("licenses"), F.array_join(spans, ",").alias("spans"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document."""
+    found = secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("secrets", lambda s: s["kind"] != "guess")
+    return found.select(
+        "doc_id", *(count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans")
+    )
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and their likeness."""
+    return fingerprint.with_edits(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text and the bytes that they decode to, as digests."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -26,5 +99,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op10_byte_bpe": op10_byte_bpe}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_source_mixing, op2_toxicity, op3_exact_top_k, op4_lm_scoring, op5_ngram_jaccard, op6_language_id, op7_license_scan, op8_secret_scan, op9_fingerprints, op10_byte_bpe)
+}
 ORACLE_SQL: dict[str, str] = {}

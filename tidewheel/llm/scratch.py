@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +37,17 @@ def dropped(*frames: DataFrame) -> None:
         for file in df.inputFiles()[:1]:
             path = jvm.org.apache.hadoop.fs.Path(file).getParent()
             path.getFileSystem(conf).delete(path, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a Spark context: for drivers whose executors have it not installed."""
+    context = spark.sparkContext
+    if getattr(context, "_tidewheel_shipped", False):
+        return
+    top = Path(__file__).resolve().parent.parent
+    where = Path(tempfile.mkdtemp(prefix="tidewheel-")) / "tidewheel.zip"
+    with zipfile.ZipFile(where, "w") as archive:
+        for file in sorted(top.rglob("*.py")):
+            archive.write(file, file.relative_to(top.parent))
+    context.addPyFile(str(where))  # from the driver's own folder to every executor
+    context._tidewheel_shipped = True
