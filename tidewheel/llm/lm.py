@@ -4,8 +4,9 @@ States are contexts: the last word, no word, and within an unknown word its last
 log-probability of a token; a token without an arc follows the failure arc to the next shorter context, whose weight is
 added. A text is read once from left to right; its state moves with each token, and an end token closes it.
 
-* word after word:  p(w|h) = (c(hw) + A p(w)) / (c(h) + A);  failure weight A / (c(h) + A)
-* word alone:       p(w) = (c(w) + S q(w)) / (N + S), S the number of words seen once; failure weight S / (N + S)
+* word after word:  p(w|h) = (1 - v) c(hw) / c(h) + v p(w); the failure weight v = (1 + c(h) / KNEE) ** -SLOPE falls with the
+  context's count as the share of new words does that one meets in running text; it is 1 for an unseen context
+* word alone:       p(w) = max(c(w) - D, 0) / N + D V / N q(w): absolute discounting, whose failure weight is D V / N
 * spelling:         q(w), the product over a word's bytes and an end of byte probabilities, each after up to three bytes, longer
   contexts backing off to shorter ones in the same way; contexts of three bytes share rows of a table by hash.
 
@@ -35,8 +36,8 @@ from . import textkit as tk
 from .scratch import stored
 
 UNIT = 8 << 20
-#: The pseudo-count of a word's backoff.
-A = 4.0
+#: Of the failure weights.
+KNEE, SLOPE, D = 20.0, 0.2, 0.7
 #: Rows of the byte tables, by number of bytes of context, and pseudo-counts.
 ROWS, BYTE_A = (1, 1 << 8, 1 << 12, 1 << 14), 4.0
 _END = np.uint64(0xE7D0C0DE5EED0001)
@@ -231,7 +232,7 @@ def _answers(group: pa.Table) -> pa.Table:
     values = [_decoded(n, v) for n, v in zip(sizes, group["values"].to_pylist())]
     counts = [_read_counts(n, v) for n, v in zip(sizes, group["counts"].to_pylist())]
     own, sums = _sums(np.concatenate(values), np.concatenate(counts))
-    totals = [int(sums.sum()), int((sums > 0).sum()), int((sums == 1).sum())]
+    totals = [int(sums.sum()), int((sums > 0).sum())]
     if order == 0:
         return pa.table([pa.array(c, k) for c, k in zip(([part], [None], [0], [len(own)], [_coded(own)], [_counts(sums)], [totals]), _KINDS)], names=_NAMES)
     back = [_counts(sums[np.searchsorted(own, v)]) for v in values]
@@ -245,10 +246,10 @@ _NAMES = ["part", "unit", "order", "n", "values", "counts", "totals"]
 
 
 class Totals:
-    """Tokens, different tokens and tokens seen once in the training texts, and the spelling table."""
+    """Tokens and different tokens of the training texts, and the spelling table."""
 
-    def __init__(self, tokens: int, different: int, once: int, cells: np.ndarray):
-        self.tokens, self.different, self.once, self.cells = tokens, different, max(once, 1), cells
+    def __init__(self, tokens: int, different: int, cells: np.ndarray):
+        self.tokens, self.different, self.cells = tokens, different, cells
 
 
 def _scores(texts: list[bytes], words: np.ndarray, word_counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, totals: Totals, spelling: Spelling) -> list[np.ndarray]:
@@ -265,9 +266,12 @@ def _scores(texts: list[bytes], words: np.ndarray, word_counts: np.ndarray, pair
         chosen = tokens.word[is_word[first]]
         if len(different):
             q[is_word] = np.log10(0.99) + spelling.logs(tokens.found.data, tokens.found.start[chosen], tokens.found.end[chosen])[where]
-        alone = (c + totals.once * 10.0 ** np.maximum(q, -300)) / (n + totals.once)
+        spelled = 10.0 ** np.maximum(q, -300)
+        alone = np.maximum(c - D, 0) / n + D * totals.different / n * spelled if n else spelled
+        seen = tokens.before(c, end)
+        fail = (1 + seen / KNEE) ** -SLOPE
         held = pair_counts[np.searchsorted(pairs, tokens.pairs())]
-        after = np.log10((held + A * alone) / (tokens.before(c, end) + A))
+        after = np.log10((1 - fail) * held / np.maximum(seen, 1) + fail * alone)
         base = np.log10((c + 0.1) / (n + 0.1 * (totals.different + 1)))
         begin = tokens.ends - tokens.count
         out.append(np.stack([tokens.count, np.add.reduceat(c > 0, begin, dtype=np.int64), np.add.reduceat(base, begin), np.add.reduceat(after, begin)], axis=1))
@@ -285,14 +289,14 @@ def score(docs: DataFrame, training: Column, text: str = "text", prefix: str = "
     parts = max(8, -(-n // 2))
     asked = units.mapInArrow(_requests(parts), "part int, unit long, order int, n long, values binary, counts binary")
     answers = stored(asked.groupBy("part", "order").applyInArrow(_answers, _ANSWER), "lm-answers")
-    tokens = different = once = 0
+    tokens = different = 0
     cells = np.zeros(int(Spelling.OFFSETS[-1]), dtype=np.int64)
     for r in answers.where("unit is null").select("order", "n", "values", "counts", "totals").toLocalIterator():  # as many as parts, and the byte table
         if r["order"] == 1:
-            tokens, different, once = tokens + r["totals"][0], different + r["totals"][1], once + r["totals"][2]
+            tokens, different = tokens + r["totals"][0], different + r["totals"][1]
         elif r["order"] == 0:
             cells[_decoded(r["n"], bytes(r["values"])).astype(np.int64)] = _read_counts(r["n"], bytes(r["counts"]))
-    held = spark.sparkContext.broadcast(Totals(tokens, different, once, cells.astype(np.float32)))
+    held = spark.sparkContext.broadcast(Totals(tokens, different, cells.astype(np.float32)))
     kinds = units.schema["rows"].dataType.elementType
     names = [f"{prefix}{c}" for c in ("n_tokens", "n_known", "train_tokens", "base_score", "score")]
 

@@ -138,10 +138,9 @@ def _pairs(queries: DataFrame, buckets: DataFrame, k: int) -> DataFrame:
         rows = _matrix(left["q"].combine_chunks())
         return pa.Table.from_batches([_found(left["query_id"].to_pylist(), left["bound"].to_pylist(), rows, bucket, k)])
 
-    blocks = queries.select("block", "bucket").distinct()
-    right = buckets.join(blocks, "bucket")
-    keys = ("block", "bucket")
-    return queries.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(met, "query_id long, vec_id long, score long")
+    wanted = queries.select(F.col("block").alias("to_block"), F.col("bucket").alias("to_bucket")).distinct()
+    right = buckets.join(wanted, F.col("bucket") == F.col("to_bucket"))
+    return queries.groupBy("block", "bucket").cogroup(right.groupBy("to_block", "to_bucket")).applyInArrow(met, "query_id long, vec_id long, score long")
 
 
 def _top(rows: DataFrame, k: int) -> DataFrame:
