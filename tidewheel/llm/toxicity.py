@@ -7,8 +7,8 @@ under a character trigram model, and the restored words are scored.
 
 * The character model counts the letter trigrams of all documents, in a table of at most ALPHABET**3 cells, and gives the
   learned lexicon a fixed share of its mass, so that a hidden insult is worth reading as one.
-* The lexicon holds words and word beginnings that labelled texts of class 1 have far more often than others, by a
-  likelihood ratio. It is learned from about SAMPLE labelled texts, chosen by a hash of their key; two thirds of
+* The lexicon holds words that labelled texts of class 1 have far more often than others, by a
+  likelihood ratio, and seldom otherwise. It is learned from about SAMPLE labelled texts, chosen by a hash of their key; four fifths of
   them give the lexicon, the rest the logistic calibration of a text's score.
 
 Defined results: null and empty texts have no findings and get the score of any text without findings; without labels
@@ -29,12 +29,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import jaccard
 from . import textkit as tk
+from .scratch import stored
 
 #: About as many labelled texts are learned from; it bounds the fit, not the scoring.
-SAMPLE = 20_000
+SAMPLE = 30_000
 #: The lexicon's entries have at least this likelihood ratio (twice the log), and there are at most so many of them.
-EVIDENCE, ENTRIES = 30.0, 20_000
+EVIDENCE, ENTRIES = 25.0, 20_000
+#: And at least this share of the texts that have an entry is of class 1.
+PURITY = 0.75
 #: Of the character model's mass, the lexicon's share.
 LEXICON_SHARE = 0.1
 #: Entries kept by a worker of what tokens say; only time depends on it.
@@ -149,24 +153,18 @@ def suspicious(token: str) -> bool:
     return any(c.isalpha() for c in token) and (any(c in IMITATES for c in token) or _THRICE.search(token) is not None or any(c in "*_.-" for c in token))
 
 
-def beginnings(word: str) -> list[str]:
-    """The features of a word: itself, and its beginnings of 4 to 7 letters."""
-    return [word, *(word[:k] + "~" for k in range(4, min(7, len(word) - 1) + 1))]
-
-
 def plain_words(text: str) -> set[str]:
     return set(_PLAIN_CUT.findall(text.lower()))
 
 
 class Model:
-    """lexicon: the weight of each feature; curve: intercept and factors of the calibration."""
+    """lexicon: the weight of each word; curve: intercept and factors of the calibration."""
 
     def __init__(self, lexicon: dict[str, float], counts: np.ndarray, curve: tuple[float, float, float] = (0.0, 0.0, 0.0)):
         counts = counts.astype(np.float64)
-        whole = [f for f in lexicon if "~" not in f]
-        if whole:
+        if lexicon:
             share = np.zeros_like(counts)
-            for word in whole:
+            for word in lexicon:
                 np.add.at(share, _trigrams(word), 1.0)
             counts = counts * (1 - LEXICON_SHARE) + share * (LEXICON_SHARE * max(counts.sum(), 1.0) / share.sum())
         self.lexicon, self.characters, self.curve = lexicon, CharacterModel(counts), curve
@@ -181,7 +179,7 @@ class Model:
         return self.characters.decode(bare) if suspicious(bare) else bare
 
     def _weights(self, words: list[str]) -> tuple[tuple[str, float], ...]:
-        return tuple((w, max(found)) for w in words if (found := [self.lexicon[f] for f in beginnings(w) if f in self.lexicon]))
+        return tuple((w, self.lexicon[w]) for w in words if w in self.lexicon)
 
     def says(self, token: str) -> tuple[tuple[str, float], ...]:
         """The words in a token, as written and as restored, that the lexicon knows, with their weights."""
@@ -206,9 +204,9 @@ class Model:
         return out
 
     def inputs(self, text: str) -> tuple[float, float]:
-        """What the calibration sees: the greatest weight, and the number of words that are known, as its logarithm."""
+        """What the calibration sees: the greatest weight of a known word, and the logarithm of all weights' sum."""
         found = self.findings(text)
-        return max(found.values(), default=0.0), math.log1p(len(found))
+        return max(found.values(), default=0.0), math.log1p(sum(found.values()))
 
     def score(self, text: str) -> float:
         a, b = self.inputs(text)
@@ -225,6 +223,18 @@ def _fitted(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return tuple(float(v) for v in w)
 
 
+def _without_copies(rows: DataFrame) -> DataFrame:
+    """Rows of a sample without copies and most near copies, whose words would else pass for evidence: of the texts that
+    share the least hash of their word 5-grams one stays, and so again for two more hashes."""
+    sketch = jaccard.signed(F.col("text"), jaccard.N, 3, 1)["bands"]
+    narrow = rows.select("name", sketch.alias("least"), "label").groupBy("name").agg(F.first("least").alias("least"), F.max("label").alias("label"))
+    narrow = narrow.select("name", *[F.coalesce(F.get("least", F.lit(i)), "name").alias(f"m{i}") for i in range(3)])
+    for i in range(3):
+        narrow = narrow.groupBy(f"m{i}").agg(F.min(F.struct("name", *[f"m{j}" for j in range(3) if j != i])).alias("x")).select(f"m{i}", "x.*")
+    kept = rows.groupBy("name").agg(F.first("text").alias("text"), F.max("label").alias("label"), F.min("fold").alias("fold"))
+    return kept.join(narrow.select("name"), "name")
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """A model of the labels. All of docs give the character model; docs and labels meet on the key, which is not null."""
     counts = character_counts(docs, text)
@@ -233,15 +243,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     n = marks.count()
     share = F.lit(int(min(1.0, sample / max(n, 1)) * (1 << 20)))
     chosen = marks.where(F.pmod(F.xxhash64(F.lit("toxicity"), "key"), F.lit(1 << 20)) < share)
-    chosen = chosen.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "key"), F.lit(3)))
+    chosen = chosen.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "key"), F.lit(5)))
     # Its rows are bounded by `sample`, about 20 bytes each.
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").select("text", "label", "fold")
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "key")
+    rows = _without_copies(stored(rows.select("text", "label", "fold", F.xxhash64("text").alias("name")), "toxicity-sample"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: tuple[Counter, Counter] = (Counter(), Counter())
             for one, mark in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                seen[mark > 0].update({f for w in plain_words(one or "") for f in beginnings(w)})
+                seen[mark > 0].update(plain_words(one or ""))
             names = list(seen[0].keys() | seen[1].keys())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names, pa.string()), pa.array([seen[0][f] for f in names], pa.int64()), pa.array([seen[1][f] for f in names], pa.int64())],
@@ -257,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     seen = first.mapInArrow(features, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     rate = F.col("n1") / (F.col("n0") + F.col("n1"))
     ratio = 2 * (F.col("n1") * F.log(rate / prior) + F.when(F.col("n0") > 0, F.col("n0") * F.log((1 - rate) / (1 - prior))).otherwise(0.0))
-    kept = seen.where((F.col("n1") > 0) & (rate > max(0.5, prior))).withColumn("ratio", ratio).where(F.col("ratio") >= EVIDENCE)
+    kept = seen.where((F.col("n1") > 0) & (rate > max(PURITY, prior))).withColumn("ratio", ratio).where(F.col("ratio") >= EVIDENCE)
     odds = lambda r: math.log((r["n1"] + 0.5) / (r["n0"] + 0.5) * (1 - prior) / prior)
     lexicon = {r["feature"]: odds(r) for r in kept.orderBy(F.desc("ratio"), "feature").limit(ENTRIES).collect()}
     model = Model(lexicon, counts)
