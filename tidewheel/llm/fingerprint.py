@@ -45,7 +45,9 @@ def fingerprints(texts: list[bytes], n: int = 5) -> np.ndarray:
         done = filled[row, borrow]
         out[row[done], col[done]] = table[row[done], borrow[done]]
         row, col, attempt = row[~done], col[~done], attempt + 1
-    low = (out & np.uint64((1 << BITS) - 1)).astype(np.int8)
+    # A value that several bins hold is mixed with the bin's number, so that it agrees by chance in each bin anew.
+    own = tk.mix64(out ^ tk.mix64(np.arange(1, BINS + 1, dtype=np.uint64)))
+    low = (own & np.uint64((1 << BITS) - 1)).astype(np.int8)
     low[~filled.any(axis=1)] = -1
     return low
 
