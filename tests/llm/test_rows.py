@@ -229,7 +229,13 @@ def test_lm_is_a_distribution():
     table = np.bincount(cells, minlength=int(lm.Spelling.OFFSETS[-1])).astype(np.float32)
     (words, counts), (pairs, pair_counts) = done
     totals = lm.Totals(int(counts.sum()), len(words), table)
-    score = lambda t: lm._scores([t], words, counts, pairs, pair_counts, totals, lm.Spelling(table))[0][0, 3]
+
+    def score(text):
+        own, _ = lm._ngrams([text], np.zeros(1, dtype=bool), False)
+        known = [dict(zip(k.tolist(), c.tolist())) for k, c in ((words, counts), (pairs, pair_counts))]
+        held = [np.array([known[i].get(h, 0) for h in own[i][0].tolist()]) for i in (0, 1)]
+        return lm._scores([text], own[0][0], held[0], own[1][0], held[1], totals, lm.Spelling(table))[0][0, 3]
+
     # log p(x) of texts "x": p(x) p(end | x); of the unigram part, known tokens and the discounted mass make one.
     known = np.maximum(counts - lm.D, 0).sum() / totals.tokens + lm.D * totals.different / totals.tokens
     assert abs(known - 1) < 1e-9
