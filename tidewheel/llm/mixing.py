@@ -27,6 +27,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 RANGE_ROWS = 2000
 BROADCAST_SOURCES = 100_000
 EPOCHS = 2
+KEY_BITS = 60
 
 
 def size_of(text: Column) -> Column:
@@ -35,7 +36,10 @@ def size_of(text: Column) -> Column:
 
 
 def _keyed(docs: DataFrame, key: str, text: str, source: str, seed: int) -> DataFrame:
-    return docs.withColumns({"__source": F.col(source), "__size": size_of(F.col(text)), "__key": F.xxhash64(F.lit(seed), F.col(key), F.col(text))})
+    """Adds the row's source, size and key: the first KEY_BITS bits of the MD5 of seed, key and text."""
+    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.col(text)).cast("binary"))
+    number = F.conv(F.substring(hashed, 1, KEY_BITS // 4), 16, 10).cast("long")
+    return docs.withColumns({"__source": F.col(source), "__size": size_of(F.col(text)), "__key": number})
 
 
 def targets(totals: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = EPOCHS) -> DataFrame:
@@ -83,23 +87,21 @@ def cuts(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     few = aims.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     held = F.broadcast(aims) if few else aims
     named = held.select(F.col("__source").alias("__s"), "__bits", "__left", "__epochs", "__words", "__target", "__total")
-    order = F.col("__key").bitwiseXOR(F.lit(-(2**63)))  # an unsigned key in signed order
-    high = F.when(F.col("__bits") == 0, F.lit(0)).otherwise(F.shiftrightunsigned(F.col("__key"), 1)).cast("long")
     sized = ties.join(named, F.col("__source").eqNullSafe(F.col("__s")))
-    sized = sized.withColumn("__range", F.floor(high / F.pow(F.lit(2.0), 63 - F.col("__bits"))).cast("long")).withColumn("__order", order)
+    sized = sized.withColumn("__range", F.floor(F.col("__key") / F.pow(F.lit(2.0), KEY_BITS - F.col("__bits"))).cast("long"))
     ranges = sized.groupBy("__source", "__range").agg(F.sum("__size").alias("__in_range"))
     earlier = Window.partitionBy("__source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select("__source", F.col("__range").alias("__r"), F.coalesce(F.sum("__in_range").over(earlier), F.lit(0)).alias("__offset"))
     ranges = ranges.withColumnRenamed("__source", "__s2")
-    within = Window.partitionBy("__source", "__range").orderBy("__order").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("__source", "__range").orderBy("__key").rowsBetween(Window.unboundedPreceding, -1)
     summed = sized.withColumn("__inner", F.coalesce(F.sum("__size").over(within), F.lit(0)))
     summed = summed.join(ranges, F.col("__source").eqNullSafe(F.col("__s2")) & (F.col("__range") == F.col("__r")))
     summed = summed.withColumn("__before", F.col("__offset") + F.col("__inner"))
     # The edge is the last key that has words left when it is its turn.
-    edge = F.max(F.when((F.col("__before") < F.col("__left")) & (F.col("__size") > 0), F.struct("__order", "__before", "__rows", "__size")))
+    edge = F.max(F.when((F.col("__before") < F.col("__left")) & (F.col("__size") > 0), F.struct("__key", "__before", "__rows", "__size")))
     per = summed.groupBy("__source").agg(edge.alias("__edge"), *(F.first(c).alias(c) for c in ("__left", "__epochs", "__target", "__total")))
     left = F.least(F.col("__left") - F.col("__edge.__before"), F.col("__edge.__size"))
-    return per.select("__source", "__total", "__target", "__epochs", F.col("__edge.__order").alias("__cut"), F.floor(left / F.col("__edge.__rows")).cast("long").alias("__rest"))
+    return per.select("__source", "__total", "__target", "__epochs", F.col("__edge.__key").alias("__cut"), F.floor(left / F.col("__edge.__rows")).cast("long").alias("__rest"))
 
 
 def taken(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, seed: int = 0) -> DataFrame:
@@ -109,8 +111,7 @@ def taken(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     named = found.withColumnRenamed("__source", "__s")
     rows = _keyed(docs, key, text, source, seed)
     joined = rows.join(F.broadcast(named) if few else named, F.col("__source").eqNullSafe(F.col("__s")))
-    order = F.col("__key").bitwiseXOR(F.lit(-(2**63)))
-    last = F.when(order < F.col("__cut"), F.col("__size")).when(order == F.col("__cut"), F.least(F.col("__rest"), F.col("__size"))).otherwise(0)
+    last = F.when(F.col("__key") < F.col("__cut"), F.col("__size")).when(F.col("__key") == F.col("__cut"), F.least(F.col("__rest"), F.col("__size"))).otherwise(0)
     out = joined.withColumns(
         {
             "size": F.col("__size"),

@@ -103,4 +103,46 @@ QUERIES = {
     f.__name__: f
     for f in (op1_source_mixing, op2_toxicity, op3_exact_top_k, op4_lm_scoring, op5_ngram_jaccard, op6_language_id, op7_license_scan, op8_secret_scan, op9_fingerprints, op10_byte_bpe)
 }
-ORACLE_SQL: dict[str, str] = {}
+
+_TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20"""
+
+_JACCARD = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS a FROM documents WHERE text IS NOT NULL),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(a) >= 5 THEN list_transform(range(1, len(a) - 3), lambda i: array_to_string(a[i:i + 4], ' ')) WHEN len(a) > 0 THEN [array_to_string(a, ' ')] ELSE []::VARCHAR[] END) AS g
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c)
+  UNION ALL SELECT x.doc_id, y.doc_id FROM w x JOIN w y ON len(x.a) = 0 AND len(y.a) = 0 AND x.doc_id <> y.doc_id),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT d.doc_id, (SELECT min(r.b) FROM r WHERE r.a = d.doc_id) AS class_id, (SELECT count(*) FROM l WHERE l.a = d.doc_id) AS n_links FROM documents d"""
+
+_MIXING = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5(concat_ws(':', '0', doc_id::VARCHAR, text)), 1, 15))::BIGINT AS key FROM documents),
+t AS (SELECT source, sum(size)::BIGINT AS total, list_extract([5, 2, 1], ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT)::DOUBLE AS w FROM d GROUP BY source),
+f AS (SELECT *, total * 2.0::DOUBLE AS cap, total * 2.0::DOUBLE / w AS fill FROM t),
+o AS (
+  SELECT *, (sum(total) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level FROM f
+  WINDOW b AS (ORDER BY fill, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+a AS (
+  SELECT source, total, CASE WHEN common IS NULL OR w * common >= cap THEN cap ELSE w * common END AS target
+  FROM (SELECT *, (SELECT min_by(level, fill) FROM o WHERE level < fill) AS common FROM o)),
+e AS (SELECT *, floor(target)::BIGINT AS words, CASE WHEN total > 0 THEN floor(target)::BIGINT // total ELSE 0 END AS epochs FROM a),
+k AS (SELECT source, key, sum(size)::BIGINT AS size, count(*) AS n FROM d GROUP BY ALL),
+p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM k)
+SELECT d.doc_id, d.size, e.total AS source_size, e.target,
+  (e.epochs * d.size + greatest(0, least(d.size, CASE WHEN p.before + p.size <= e.words - e.epochs * e.total THEN d.size ELSE (e.words - e.epochs * e.total - p.before) // p.n END)))::BIGINT AS taken
+FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.key = p.key"""
+
+#: Of the queries that SQL expresses: the others rest on models, on hashes or on libraries.
+ORACLE_SQL: dict[str, str] = {"op1_source_mixing": _MIXING, "op3_exact_top_k": _TOP_K, "op5_ngram_jaccard": _JACCARD}
