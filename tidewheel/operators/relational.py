@@ -81,5 +81,6 @@ def snapshot_diff(previous: DataFrame, current: DataFrame, member: str = "member
 
 def reconcile(source: DataFrame, target: DataFrame) -> DataFrame:
     """One row: both row counts, and whether they agree."""
-    counts = source.agg(F.count(F.lit(1)).alias("source_rows")).crossJoin(target.agg(F.count(F.lit(1)).alias("target_rows")))  # one row each
+    rows = source.select(F.lit(1).alias("s"), F.lit(0).alias("t")).unionAll(target.select(F.lit(0), F.lit(1)))
+    counts = rows.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("source_rows"), F.coalesce(F.sum("t"), F.lit(0)).alias("target_rows"))
     return counts.withColumn("equal", F.col("source_rows") == F.col("target_rows"))

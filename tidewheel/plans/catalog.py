@@ -47,7 +47,7 @@ def posts(spark: SparkSession, d: str) -> DataFrame:
     return o.select(
         F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("member_id"), F.concat(F.lit("m"), F.col("o_custkey")).alias("member_name"), F.lit("").alias("member_tag"),
         F.col("o_orderkey").alias("post_id"), F.col("o_orderpriority").alias("title"), F.lit(None).cast("string").alias("body_html"), F.col("o_orderdate").alias("posted_at"),
-        F.floor("o_totalprice").cast("int").alias("views"), (F.col("o_orderstatus") == "F").alias("is_pinned"), F.col("o_orderdate").alias("updated_at"),
+        F.col("o_totalprice").alias("views"), (F.col("o_orderstatus") == "F").alias("is_pinned"), F.col("o_orderdate").alias("updated_at"),
     )
 
 
@@ -69,7 +69,7 @@ def members(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_POSTS = "(SELECT o_orderkey AS id, o_custkey::VARCHAR AS member_id, 'm' || o_custkey AS member_name, o_orderkey AS post_id, o_orderpriority AS title, o_orderdate AS posted_at, floor(o_totalprice)::INT AS views, o_orderstatus = 'F' AS is_pinned FROM orders)"
+_POSTS = "(SELECT o_orderkey AS id, o_custkey::VARCHAR AS member_id, 'm' || o_custkey AS member_name, o_orderkey AS post_id, o_orderpriority AS title, o_orderdate AS posted_at, o_totalprice AS views, o_orderstatus = 'F' AS is_pinned FROM orders)"
 _SLOTS = "(SELECT l_partkey * 10000000 + l_suppkey * 10 + l_linenumber AS id, l_suppkey::VARCHAR AS member_id, 's' || l_suppkey AS member_name, l_orderkey AS post_id, l_shipdate AS starts_at, nullif(l_linestatus, 'O') AS description, CASE WHEN l_returnflag = 'N' THEN 'none' ELSE l_returnflag END AS raw_text FROM lineitem)"
 _MEMBERS = "(SELECT c_custkey::VARCHAR AS member_id, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_name END AS name, c_mktsegment AS tag, c_acctbal > 5000 AS is_popular, c_custkey AS ordinal FROM customer)"
 _FIRST = "QUALIFY row_number() OVER (PARTITION BY s.post_id ORDER BY s.starts_at, s.id) = 1"
@@ -370,7 +370,7 @@ def insert_ignore(spark: SparkSession, d: str) -> DataFrame:
     return mg.insert_ignore(target, source, ["post_id"]).select("post_id", "title")
 
 
-@query("""SELECT o_orderkey AS post_id, CASE WHEN o_custkey = 10 THEN 'edited' ELSE o_orderpriority END AS title, floor(o_totalprice)::INT AS views FROM orders""")
+@query("""SELECT o_orderkey AS post_id, CASE WHEN o_custkey = 10 THEN 'edited' ELSE o_orderpriority END AS title, o_totalprice AS views FROM orders""")
 def partial_update(spark: SparkSession, d: str) -> DataFrame:
     return mg.partial_update(posts(spark, d), "member_id", "10", title="edited", member_name="").select("post_id", "title", "views")
 
