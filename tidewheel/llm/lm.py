@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .scratch import stored
 
-UNIT = 8 << 20
+#: Bytes of text that a task reads, counts and scores together, and of text whose n-grams a task sums up. Every unit has a row for every
+#: part, so on a corpus of many terabytes units are made larger, as far as executors' memory goes: about 30 bytes for each byte of a unit.
+UNIT, PART = 8 << 20, 16 << 20
 #: Of the failure weights.
 KNEE, SLOPE, D = 20.0, 0.2, 0.7
 #: Rows of the byte tables, by number of bytes of context, and pseudo-counts.
@@ -118,13 +120,13 @@ class Spelling:
         return out
 
 
-def _units(docs: DataFrame, text: str, training: Column) -> DataFrame:
+def _units(docs: DataFrame, text: str, training: Column, size: int) -> DataFrame:
     """Rows (unit, row, texts, training): texts packed with zstd, and the rows' own numbers."""
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, marks = tk.as_bytes(batch.column("text")), batch.column("training").to_pylist()
             ids = batch.column("row")
-            for a, b in tk.slices(texts, UNIT):
+            for a, b in tk.slices(texts, size):
                 sizes = np.array([len(t) for t in texts[a:b]], dtype=np.int64)
                 whole = b"".join(texts[a:b])
                 yield pa.RecordBatch.from_arrays(
@@ -278,15 +280,15 @@ def _scores(texts: list[bytes], words: np.ndarray, word_counts: np.ndarray, pair
     return out
 
 
-def score(docs: DataFrame, training: Column, text: str = "text", prefix: str = "") -> DataFrame:
+def score(docs: DataFrame, training: Column, text: str = "text", prefix: str = "", unit: int = UNIT, part: int = PART) -> DataFrame:
     """docs with `n_tokens`, `n_known`, `train_tokens`, `base_score` and `score`, each named with the prefix.
 
     training is a condition on columns of docs that marks the rows to learn from. All columns of docs ride with the texts."""
     spark = docs.sparkSession
     row = F.struct(F.col(text).isNull().alias("__null"), *[F.col(f"`{c}`") for c in docs.columns if c != text])
-    units = stored(_units(docs.select(F.col(text).alias(text), F.coalesce(training, F.lit(False)).alias("__training"), row.alias("__row")), text, F.col("__training")), "lm-units")
+    units = stored(_units(docs.select(F.col(text).alias(text), F.coalesce(training, F.lit(False)).alias("__training"), row.alias("__row")), text, F.col("__training"), unit), "lm-units")
     n = units.count()
-    parts = max(8, -(-n // 2))
+    parts = max(8, -(-n * unit // part))
     asked = units.mapInArrow(_requests(parts), "part int, unit long, order int, n long, values binary, counts binary")
     answers = stored(asked.groupBy("part", "order").applyInArrow(_answers, _ANSWER), "lm-answers")
     tokens = different = 0
