@@ -21,7 +21,6 @@ query meets no row of its own identifier. An empty table gives no rows; fewer th
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,6 @@ SCALE = 64
 BUCKET, BLOCK = 4096, 512
 COORDINATE, FOCUS, SLACK = 0.8, 4, 1e-6
 
-Verified = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[int, np.ndarray]]]
 
 
 def whole(vector: Column, scale: int = SCALE) -> Column:
