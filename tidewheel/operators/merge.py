@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import filled
-from .relational import last_by
 
 
 def merge(target: DataFrame, source: DataFrame, keys: list[str], update: list[str], order: str | None = None) -> DataFrame:
@@ -81,6 +80,3 @@ def upsert_posts(target: DataFrame, source: DataFrame, order: str | None = None,
 def upsert_schedules(target: DataFrame, source: DataFrame, order: str | None = None, overwrite_member: bool = False) -> DataFrame:
     change = ["member_name", "ends_at", "description", "raw_text", "parsed_at", *(["member_id"] if overwrite_member else [])]
     return merge(target, source, ["post_id", "starts_at"], change, order)
-
-
-__all__ = ["append", "delete_key", "delete_set", "insert_ignore", "last_by", "merge", "partial_update", "upsert_posts", "upsert_schedules"]
