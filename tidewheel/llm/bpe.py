@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 #: The largest number of pieces kept with their ids by a worker; only time depends on it.
-CACHE = 1 << 20
+CACHE = 1 << 19
 #: Pieces that are encoded as one text.
 TOGETHER = 2000
 SLICE = 1 << 22
@@ -144,7 +144,9 @@ def ids(text: Column, path: str, pattern: str) -> Column:
                 flat += found
                 size, start = 0, end
         ends = np.cumsum(np.array(sizes, dtype=np.int64)).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(flat), dtype=np.int32)))
+        joined = b"".join(flat)
+        del flat, texts
+        return pa.ListArray.from_arrays(pa.array(ends), pa.Array.from_buffers(pa.int32(), len(joined) // 4, [None, pa.py_buffer(joined)]))
 
     return encoded(text)
 

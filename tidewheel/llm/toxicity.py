@@ -42,7 +42,7 @@ PURITY = 0.75
 #: Of the character model's mass, the lexicon's share.
 LEXICON_SHARE = 0.1
 #: Entries kept by a worker of what tokens say; only time depends on it.
-CACHE = 1 << 20
+CACHE = 1 << 18
 BEAM = 12
 
 # Letters with a class of their own, and the letters that each character imitates.
