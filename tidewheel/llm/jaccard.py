@@ -101,6 +101,26 @@ def signed(text: Column, n: int, bands: int, rows: int) -> Column:
     return made(text)
 
 
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of the sets have in common: products of membership matrices, COLUMNS values at a time."""
+    m, flat = len(sets), np.concatenate(sets)
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])
+    _, column, often = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = often > 1
+    place = np.cumsum(shared) - 1
+    kept = shared[column]
+    owner, column = owner[kept], place[column[kept]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common, total = np.zeros((m, m)), int(shared.sum())
+    for low in range(0, total, COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        part = np.zeros((m, min(COLUMNS, total - low)), dtype=np.float32)
+        part[owner[a:b], column[a:b] - low] = 1
+        common += part @ part.T
+    return common
+
+
 def verified(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     """Which of the sets (sorted, without repeats) have a Jaccard coefficient of the threshold or more, as a matrix."""
     m, sizes = len(sets), np.array([len(s) for s in sets], dtype=np.int64)
@@ -108,20 +128,7 @@ def verified(sets: list[np.ndarray], threshold: float) -> np.ndarray:
         common = np.array([[0, len(np.intersect1d(*sets, assume_unique=True))]] * 2, dtype=np.float64)
         common[1, 0] = common[0, 1]
     else:
-        flat, owner = np.concatenate(sets), np.repeat(np.arange(m), sizes)
-        values, column, often = np.unique(flat, return_inverse=True, return_counts=True)
-        shared = often > 1
-        place = np.cumsum(shared) - 1
-        kept = shared[column]
-        owner, column = owner[kept], place[column[kept]]
-        order = np.argsort(column, kind="stable")
-        owner, column = owner[order], column[order]
-        common = np.zeros((m, m), dtype=np.float64)
-        for low in range(0, int(shared.sum()), COLUMNS):
-            a, b = np.searchsorted(column, [low, low + COLUMNS])
-            part = np.zeros((m, COLUMNS), dtype=np.float32)
-            part[owner[a:b], column[a:b] - low] = 1
-            common += part @ part.T
+        common = _common(sets)
     near = common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-9
     np.fill_diagonal(near, False)
     return near & (common > 0)
@@ -153,10 +160,7 @@ def _task(group: pa.Table, threshold: float) -> pa.Table:
         near &= blocks[:, None] != blocks[None, :]
     buckets = [np.array(x, dtype=np.int64) for x in group["buckets"].to_pylist()]
     earlier = [b[b < name] for b in buckets]
-    rows, columns = np.nonzero(np.triu(near))
-    for a, b in zip(rows.tolist(), columns.tolist()):
-        if len(earlier[a]) and len(earlier[b]) and np.isin(earlier[a], earlier[b]).any():
-            near[a, b] = near[b, a] = False
+    near &= _common(earlier) == 0
     links = near @ copies
     tree = _forest(near)
     has = np.flatnonzero(links)
