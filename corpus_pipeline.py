@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next stage's docs; all
 but the last return the columns of documents.
 
-1. toxicity: a model is fitted on the labels; documents of a score of TOXIC or more go.
+1. toxicity: a model is fitted on the labels; documents of a score of TOXIC or more go; where no word was learned, all stay.
 2. near duplicates: one document of each group of similar texts stays, one with the group's smallest doc_id.
 3. secrets: their spans are replaced by a mark, and n_chars follows the text; every document stays.
 4. mixing: documents are taken or repeated until each source meets its target of words; a document at a budget's edge is
@@ -29,7 +29,7 @@ TOXIC = 0.3
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.where(toxicity.score(F.col("text"), model) < TOXIC)
+    return docs.where(toxicity.score(F.col("text"), model) < TOXIC) if model.learned else docs
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -316,6 +316,31 @@ def test_pipeline(spark, edge, none, tmp_path):
         assert len(last) == now.count() and all(r["exact"] for r in last)
 
 
+@pytest.mark.parametrize("labels", [[], [(1, 0), (7, 0)], [(1, 1), (7, 1)], [(1, 0), (7, 1)]])
+def test_pipeline_keeps_documents_without_a_model(spark, edge, tmp_path, labels):
+    import corpus_pipeline as pipe
+    from tidewheel.llm.queries import op2_toxicity
+
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    edge.write.parquet(f"{tmp_path}/documents.parquet")
+    assert pipe.drop_toxic(spark, edge, str(tmp_path)).count() == edge.count()
+    assert all(r["predicted"] == 0 for r in op2_toxicity(spark, str(tmp_path)).collect())
+    rows = pipe.run(spark, str(tmp_path)).collect()
+    assert {1, 7} <= {r["doc_id"] for r in rows} and all(r["exact"] for r in rows)
+
+
+def test_toxicity_of_positives_in_one_fold(spark):
+    """Whichever fold the positives fall in, the model knows them, and texts without findings stay below the threshold."""
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(5))
+    for rest in (True, False):
+        toxic = (F.col("n") % 4 == 0) & ((fold == 0) if rest else (fold != 0))
+        docs = spark.range(800).select(F.col("id").alias("doc_id"), F.expr("id div 5").alias("n"))
+        docs = docs.withColumn("toxic", toxic.cast("int"))
+        docs = docs.withColumn("text", F.concat(F.lit("the river n"), "doc_id", F.lit(" was near m"), "doc_id", F.when(toxic, F.lit(" idiot")).otherwise(F.lit(" house"))))
+        model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+        assert "idiot" in model.lexicon and model.score("you idiot") > 0.5 and model.score("the river") < 0.3
+
+
 def test_pipeline_run(spark):
     import corpus_pipeline as pipe
 

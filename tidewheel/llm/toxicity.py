@@ -9,10 +9,11 @@ under a character trigram model, and the restored words are scored.
   learned lexicon a fixed share of its mass, so that a hidden insult is worth reading as one.
 * The lexicon holds words that labelled texts of class 1 have far more often than others, by a
   likelihood ratio, and seldom otherwise. It is learned from about SAMPLE labelled texts, chosen by a hash of their key; four fifths of
-  them give the lexicon, the rest the logistic calibration of a text's score.
+  them give the lexicon, the rest the logistic calibration of a text's score; where a part lacks a class, all of them take its place.
 
 Defined results: null and empty texts have no findings and get the score of any text without findings; without labels
-every score is the prior 0.5. Several labels of a key count as 1 if any is 1; null labels are left out. Labels
+every score is the prior 0.5, and 0 where all labels are of one class: nothing sets toxic texts apart then. Where no word was
+learned (`Model.learned`), scores are the same for all texts and are no reason to drop one. Several labels of a key count as 1 if any is 1; null labels are left out. Labels
 whose key is null or unknown have no effect. Repeated rows get equal scores. A column of the output's name is replaced.
 """
 
@@ -170,6 +171,11 @@ class Model:
         self.lexicon, self.characters, self.curve = lexicon, CharacterModel(counts), curve
         self.known: dict[str, tuple[tuple[str, float], ...]] = {}
 
+    @property
+    def learned(self) -> bool:
+        """Whether a text can be told from others; without it, every text has one score."""
+        return bool(self.lexicon)
+
     def __getstate__(self) -> dict:
         return self.__dict__ | {"known": {}}
 
@@ -209,6 +215,8 @@ class Model:
         return max(found.values(), default=0.0), math.log1p(sum(found.values()))
 
     def score(self, text: str) -> float:
+        if self.curve[0] == -math.inf:
+            return 0.0
         a, b = self.inputs(text)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.curve[0] + self.curve[1] * a + self.curve[2] * b))))
 
@@ -259,11 +267,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 names=["feature", "n0", "n1"],
             )
 
-    first = rows.where("fold != 0")
-    total = {r["label"]: r["count"] for r in first.groupBy("label").count().collect()}
-    t1, t0 = sum(v for k, v in total.items() if k > 0), sum(v for k, v in total.items() if k <= 0)
+    total = {(r["rest"], r["toxic"]): r["count"] for r in rows.groupBy((F.col("fold") == 0).alias("rest"), (F.col("label") > 0).alias("toxic")).count().collect()}
+    t1, t0 = (sum(n for (_, toxic), n in total.items() if toxic == x) for x in (True, False))
     if not t1 or not t0:
-        return Model({}, counts)
+        return Model({}, counts, (-math.inf, 0.0, 0.0) if t1 or t0 else (0.0, 0.0, 0.0))
+    whole = F.lit(True)
+    first = rows.where(F.col("fold") != 0 if (False, True) in total and (False, False) in total else whole)
+    if (False, True) in total and (False, False) in total:
+        t1, t0 = total[False, True], total[False, False]
     prior = t1 / (t0 + t1)
     seen = first.mapInArrow(features, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     rate = F.col("n1") / (F.col("n0") + F.col("n1"))
@@ -277,11 +288,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def seen_by(column: pa.Array) -> pa.Array:
         return pa.array([list(model.inputs(t or "")) for t in column.to_pylist()], pa.list_(pa.float64()))
 
-    rest = rows.where("fold = 0").select(seen_by("text").alias("x"), (F.col("label") > 0).cast("double").alias("y")).collect()
-    if rest and 0 < sum(r["y"] for r in rest) < len(rest):
-        model.curve = _fitted(np.array([r["x"] for r in rest]), np.array([r["y"] for r in rest]))
-    else:
-        model.curve = (math.log(prior / (1 - prior)), 1.0, 0.5)
+    rest = rows.where(F.col("fold") == 0 if (True, True) in total and (True, False) in total else whole)
+    seen_rows = rest.select(seen_by("text").alias("x"), (F.col("label") > 0).cast("double").alias("y")).collect()
+    model.curve = _fitted(np.array([r["x"] for r in seen_rows]), np.array([r["y"] for r in seen_rows]))
     return model
 
 
