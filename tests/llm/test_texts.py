@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -135,6 +136,29 @@ def test_licences(spark, edge, none):
     assert all(r["licences"] == [] for r in licenses.scan(edge).collect()) and licenses.scan(none).count() == 0
 
 
+def test_wrapped_licences():
+    rules, known = licenses.standard(), licenses.SENTENCES
+    texts = {
+        "MIT": [known[k][0] for k in ("mit-grant", "mit-notice-kept", "as-is", "no-liability")],
+        "BSD-2-Clause": [known["bsd-grant"][0], "1. " + known["bsd-source"][0], "2. " + known["bsd-binary"][0]],
+        "BSD-3-Clause": [known["bsd-grant"][0], "1. " + known["bsd-source"][0], "2. " + known["bsd-binary"][0], "3. " + known["bsd-names"][0]],
+        "GPL-3.0": [known[k][0] for k in ("gpl-free", "gpl-hope", "gpl-see")],
+        "GPL-2.0": [known[k][0] for k in ("gpl2-free", "gpl-hope", "gpl-see")],
+        "LGPL-2.1": [known["lgpl21-free"][0]], "LGPL-3.0": [known["lgpl3-free"][1]], "AGPL-3.0": [known["agpl3-free"][0]], "ISC": [known["isc-grant"][0]],
+        "MPL-2.0": [known["mpl-notice"][0]], "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"],
+    }
+    for name, paragraphs in texts.items():
+        for width in (40, 72, 80):
+            for mark in ("", " * ", "# ", "// ", "dnl ", "REM ", ";; "):
+                lines = [mark + x for p in ["Copyright (c) 2020 Some One", *paragraphs] for x in [*textwrap.wrap(p, width), ""]]
+                text = "\n".join(lines + ["int main() { return 0; }"])
+                found = rules.matches(text)
+                assert [n for _, _, n in found] == [name], (name, width, mark, found)
+                words = licenses.normalised(re.sub(r"(?m)^(dnl|REM) ", "", text[found[0][0] : found[0][1]]))
+                assert words.startswith(licenses.normalised(paragraphs[0])[:20]) or name == "EPL-2.0"
+    assert rules.matches("Licensed under the\nMIT. License") != [] and rules.matches("Licensed under the MIT or another License") == []
+
+
 def test_licence_query(spark):
     from tidewheel.llm.queries import op7_license_scan
 

@@ -1,10 +1,12 @@
 """Licence scans by sentence rules.
 
-A text is cut in sentences, each is normalised to lower-case words and numbers, and a known one becomes its
-identifier. A rule is an ordered list of identifiers; it matches where its identifiers follow each other in the
-text's sequence with at most GAP unknown sentences between two. At each place the longest rule wins, and its sentences are
-used up. A known sentence that stands within a longer one, without a full stop before or after it, counts as well: such
-sentences are looked for by their rarest word.
+Known sentences are looked for in a text's sequence of lower-case words and numbers, by their rarest word: line ends, comment
+prefixes and punctuation don't count, so a hard-wrapped licence or one in a comment reads as the plain one. Each that is found
+becomes its identifier; one that stands within a longer one doesn't count. A rule is an ordered list of identifiers; it
+matches where its identifiers follow each other in the text with at most GAP unknown sentences between two; sentences end at
+full stops and blank lines. At each place the longest rule wins, and its sentences are used up.
+
+A span goes from the first word to the last; where these begin and end a line or sentence, its punctuation belongs to it.
 
 Defined results: null and empty texts have no matches; repeated rows give equal results; two rules of one length that
 match at one place are both given, by name. A column of the output's name is replaced.
@@ -13,6 +15,7 @@ match at one place are both given, by name. A column of the output's name is rep
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from functools import lru_cache
 
@@ -36,6 +39,18 @@ SENTENCES = {
     "apache-see": ["See the License for the specific language governing permissions and limitations under the License."],
     "gpl3-notice": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-or-later"],
     "gpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "gpl2-notice": ["SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-or-later", "This work is licensed under the GNU General Public License, version 2.", "Licensed under the GNU General Public License, version 2."],
+    "gpl2-free": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "lgpl21-notice": ["SPDX-License-Identifier: LGPL-2.1-only", "SPDX-License-Identifier: LGPL-2.1-or-later"],
+    "lgpl21-free": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "lgpl3-notice": ["SPDX-License-Identifier: LGPL-3.0-only", "SPDX-License-Identifier: LGPL-3.0-or-later"],
+    "lgpl3-free": [f"This {thing} is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version." for thing in ("library", "program")],
+    "agpl3-notice": ["SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later"],
+    "agpl3-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "isc-notice": ["SPDX-License-Identifier: ISC", "Licensed under the ISC License."],
+    "isc-grant": [f"Permission to use, copy, modify, {and_or} distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies." for and_or in ("and/or", "and")],
+    "epl1-notice": ["SPDX-License-Identifier: EPL-1.0", "made available under the terms of the Eclipse Public License v1.0"],
+    "epl2-notice": ["SPDX-License-Identifier: EPL-2.0", "made available under the terms of the Eclipse Public License 2.0", "made available under the terms of the Eclipse Public License v2.0", "made available under the terms of the Eclipse Public License v. 2.0"],
     "gpl-hope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
     "gpl-see": ["See the GNU General Public License for more details."],
     "bsd-grant": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
@@ -54,6 +69,13 @@ RULES = {
     "MIT": [["mit-notice"], ["mit-grant", "mit-notice-kept", "as-is", "no-liability"], ["mit-grant", "mit-notice-kept"], ["mit-grant"]],
     "Apache-2.0": [["apache-notice"], ["apache-notice", "apache-compliance", "apache-copy", "apache-as-is", "apache-see"], ["apache-compliance", "apache-copy"]],
     "GPL-3.0": [["gpl3-notice"], ["gpl-free", "gpl-hope", "gpl-see"], ["gpl-free"]],
+    "GPL-2.0": [["gpl2-notice"], ["gpl2-free", "gpl-hope", "gpl-see"], ["gpl2-free"]],
+    "LGPL-2.1": [["lgpl21-notice"], ["lgpl21-free"]],
+    "LGPL-3.0": [["lgpl3-notice"], ["lgpl3-free"]],
+    "AGPL-3.0": [["agpl3-notice"], ["agpl3-free"]],
+    "ISC": [["isc-notice"], ["isc-grant"]],
+    "EPL-1.0": [["epl1-notice"]],
+    "EPL-2.0": [["epl2-notice"]],
     "BSD-2-Clause": [["bsd-grant", "bsd-source", "bsd-binary"]],
     "BSD-3-Clause": [["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]],
     "CC-BY-NC-4.0": [["cc-by-nc"]],
@@ -65,7 +87,10 @@ RULES = {
     "LicenseRef-reserved": [["reserved"]],
 }
 
+# Where spans may end with their punctuation, where sentences end, and words that only mark a comment at a line's start.
 _CUT = re.compile(r"(?<=[.:;!?])\s+|\n+")
+_STOP = re.compile(r"(?<=[.:;!?])\s+|\n(?:[^\w\n]*+\n)+")
+_MARKS = {"dnl", "rem"}
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
 
@@ -77,14 +102,15 @@ class Rules:
     """sentences: texts by identifier; rules: lists of identifiers by licence."""
 
     def __init__(self, sentences: dict[str, list[str]], rules: dict[str, list[list[str]]]):
-        self.known = {normalised(s): k for k, several in sentences.items() for s in several}
+        self.known = {tuple(normalised(s).split()): k for k, several in sentences.items() for s in several}
         often: dict[str, int] = defaultdict(int)
-        for text in self.known:
-            for word in set(text.split()):
+        for words in self.known:
+            for word in set(words):
                 often[word] += 1
-        self.anchors: dict[str, list[str]] = defaultdict(list)
-        for text in sorted(self.known):
-            self.anchors[min(text.split(), key=lambda w: (often[w], -len(w), w))].append(text)
+        self.anchors: dict[str, list[tuple[int, tuple[str, ...]]]] = defaultdict(list)
+        for words in sorted(self.known):
+            rarest = min(words, key=lambda w: (often[w], -len(w), w))
+            self.anchors[rarest].append((words.index(rarest), words))
         self.anywhere = re.compile("|".join(map(re.escape, sorted(self.anchors, key=lambda w: (-len(w), w)))))
         by_first: dict[str, list[tuple[list[str], str]]] = defaultdict(list)
         for name, several in rules.items():
@@ -92,61 +118,65 @@ class Rules:
                 by_first[rule[0]].append((rule, name))
         self.by_first = {k: sorted(v, key=lambda x: (-len(x[0]), x[1])) for k, v in by_first.items()}
 
-    def identifiers(self, text: str) -> list[tuple[int, int, int, str]]:
-        """Known sentences in order: number of the sentence in the text, start, end, identifier. A text that has no
-        known sentence's rarest word has none of them, and is not cut."""
+    def identifiers(self, text: str) -> list[tuple[int, int, int, int, str]]:
+        """Known sentences in order: numbers of the sentences of the text where each begins and ends, start, end, identifier.
+        A text that has no known sentence's rarest word has none of them, and is not read."""
         if not self.anywhere.search(text.lower()):
             return []
-        out, at, number = [], 0, 0
+        places, words = [], []
+        for m in _WORD.finditer(text):
+            word = m[0].lower()
+            if word in _MARKS:
+                line = text.rfind("\n", 0, m.start()) + 1
+                if not text[line : m.start()].strip():
+                    continue
+            places.append((m.start(), m.end()))
+            words.append(word)
+        found = []
+        for i, word in enumerate(words):
+            for offset, known in self.anchors.get(word, ()):
+                a = i - offset
+                if a >= 0 and words[a + len(known) - 1 : a + len(known)] == [known[-1]] and tuple(words[a : a + len(known)]) == known:
+                    found.append((a, a + len(known) - 1, self.known[known]))
+        if not found:
+            return []
+        begins = [a for a, _ in places]
+        first, last, begin = {}, {}, 0
         for piece in [*_CUT.finditer(text), None]:
             end = piece.start() if piece else len(text)
-            sentence = normalised(text[at:end])
-            if sentence:
-                if sentence in self.known:
-                    out.append((number, at, end, self.known[sentence]))
-                else:
-                    out += ((number, a, b, k) for a, b, k in self._within(text, at, end, sentence))
-                number += 1
-            at = piece.end() if piece else end
+            a, b = bisect_left(begins, begin), bisect_left(begins, end) - 1
+            if a <= b:
+                first[a], last[b] = begin, end
+            begin = piece.end() if piece else end
+        stops = sorted({bisect_left(begins, m.end()) for m in _STOP.finditer(text)} - {0})
+        out, reach = [], -1
+        for a, b, name in sorted(set(found), key=lambda x: (x[0], -x[1], x[2])):
+            if b <= reach:  # within the one before
+                continue
+            reach = b
+            whole = a in first and b in last
+            start, end = (first[a], last[b]) if whole else (places[a][0], places[b][1])
+            out.append((bisect_right(stops, a), bisect_right(stops, b), start, end, name))
         return out
 
-    def _within(self, text: str, start: int, end: int, sentence: str) -> list[tuple[int, int, str]]:
-        present = [known for word in dict.fromkeys(sentence.split()) if word in self.anchors for known in self.anchors[word] if f" {known} " in f" {sentence} "]
-        present = [a for a in present if not any(a != b and a in b for b in present)]
-        if not present:
-            return []
-        places = [(m.start() + start, m.end() + start) for m in _WORD.finditer(text[start:end].lower())] if len(text[start:end].lower()) == end - start else []
-        out, sizes = [], [0]
-        for word in sentence.split():
-            sizes.append(sizes[-1] + len(word) + 1)
-        index = {size: i for i, size in enumerate(sizes)}
-        for known in present:
-            at = f"{sentence} ".find(f"{known} ")
-            while at >= 0:
-                if at in index:
-                    first, last = index[at], index[at] + known.count(" ")
-                    out.append((*((places[first][0], places[last][1]) if places else (start, end)), self.known[known]))
-                at = f"{sentence} ".find(f"{known} ", at + 1)
-        return sorted(out)
-
     def matches(self, text: str) -> list[tuple[int, int, str]]:
         """Spans of licences: start, end, name."""
         found, out, i = self.identifiers(text), [], 0
         while i < len(found):
             best, names, last = 0, [], i
-            for rule, name in self.by_first.get(found[i][3], ()):
+            for rule, name in self.by_first.get(found[i][4], ()):
                 if len(rule) < best:
                     break
                 j = i
                 for wanted in rule[1:]:
-                    if j + 1 < len(found) and found[j + 1][3] == wanted and found[j + 1][0] - found[j][0] <= GAP + 1:
+                    if j + 1 < len(found) and found[j + 1][4] == wanted and found[j + 1][0] - found[j][1] <= GAP + 1:
                         j += 1
                     else:
                         break
                 else:
                     best, last = len(rule), j
                     names.append(name)
-            out += ((found[i][1], found[last][2], name) for name in names)
+            out += ((found[i][2], found[last][3], name) for name in names)
             i = last + 1
         return out
 
