@@ -103,6 +103,20 @@ def test_secrets(spark, edge, none):
     assert secret_scan.spans(cleaned[0]["t"]) == []
 
 
+def test_secrets_of_words_repeats_and_addresses():
+    guessed = lambda text: [text[a:b] for a, k, b in secret_scan.spans(text) if k == 3]
+    for text in ("the token is invalid", "the secret is nothing", "auth: missing", "password: required", "the secret is ingredients", "the token is optional."):
+        assert guessed(text) == [], text
+    cost = secret_scan.guess_decades
+    for n in (64, 200, 5000):
+        assert guessed("password: " + "_" * n) == [] and cost("ab1" * n) < 9
+    split = "q" * 61 + "nothing"
+    assert cost(split) <= cost("q" * 61) + cost("nothing") + 0.31, "a word counts as one wherever it stands"
+    secret = "x8Kq2-Lm9ZtW"
+    assert guessed(f"see https://{'u' * 80}:{secret}@host") == [secret] and guessed(f"token is {secret}") == [secret]
+    assert cost(secret * 3) >= cost(secret) > 9
+
+
 def test_secret_query(spark):
     from tidewheel.llm.queries import op8_secret_scan
 

@@ -15,23 +15,27 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bpe
+
 KINDS = ("assign", "access", "hex", "guess")
 #: A value of this guess cost or more, as a power of ten, is a secret.
 MIN_DECADES = 9.0
-#: Values longer than this are cut in parts of this size, whose costs add up; it bounds the dynamic programme's work.
-PART = 64
+#: The vocabulary whose whole words, by rank, a guesser tries.
+WORDS = "byte_bpe_multi_50k.tiktoken"
 
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 CONTEXT = re.compile(
-    r"""(?ai:(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth(?:orization)?|bearer|credentials?)\b["']?\x20*(?:=>|:=|[:=]|\bis\b)\x20*(?:bearer\x20+|basic\x20+)?["'`]?|://[^\s:/@]{1,64}:)([^\s"'`<>,;@]{6,})"""
+    r"""(?ai:(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth(?:orization)?|bearer|credentials?)\b["']?\x20*(?:=>|:=|[:=]|\bis\b)\x20*(?:bearer\x20+|basic\x20+)?["'`]?|://[^\s:/@]+:)([^\s"'`<>,;@]{6,})"""
 )
 _CONTEXT_HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "://")
 
@@ -46,12 +50,22 @@ COMMON = (
 ).split()
 KEY_ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 
-_RANK = {w: i + 1 for i, w in enumerate(COMMON)}
-_LONGEST = max(map(len, COMMON))
 _PLAIN = str.maketrans("4@310!5$7", "aaeioisst")
 _DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
 
 
+@lru_cache(maxsize=1)
+def _ranked() -> tuple[dict[str, int], int]:
+    """The rank of each word of three letters or more, and the greatest length."""
+    out = {w: i + 1 for i, w in enumerate(COMMON)}
+    for token, rank in sorted(bpe.ranks(public_tokenizers.path(WORDS)).items(), key=lambda x: x[1]):
+        if token[:1] == b" " and len(token) > 3:
+            word = token[1:].decode("utf-8", "ignore").lower()
+            if len(word) > 2 and word.isalpha() and word.encode() == token[1:].lower():
+                out.setdefault(word, rank + 1)
+    return out, max(map(len, out))
+
+
 @lru_cache(maxsize=1)
 def _neighbours() -> dict[str, str]:
     """The keys beside each key: in its row, and above and below it."""
@@ -70,36 +84,52 @@ def _charset(part: str) -> int:
     return size + 33 * any(c.isascii() and not c.isalnum() for c in part) or 10
 
 
-def _part_decades(value: str) -> float:
-    n, lower, size = len(value), value.lower(), math.log10(_charset(value))
-    plain, near = lower.translate(_PLAIN), _neighbours()
-    dates = [[m.end() - s for m in [_DATE.match(value, s)] if m] for s in range(n)]
+def _runs(n: int, goes_on: Callable[[int], bool]) -> list[int]:
+    """For each position, how many of the next ones go on."""
+    out = [0] * (n + 1)
+    for i in range(n - 2, -1, -1):
+        out[i] = out[i + 1] + 1 if goes_on(i) else 0
+    return out
+
+
+@lru_cache(maxsize=1 << 16)
+def guess_decades(value: str) -> float:
+    """log10 of the guesses that the cheapest way of guessing the value takes; 0 for the empty value. Work grows with its length."""
+    if not value:
+        return 0.0
+    lower = value.lower()
+    if len(lower) != len(value):
+        lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+    n, size = len(value), math.log10(_charset(value))
+    (rank_of, longest), near = _ranked(), _neighbours()
+    plain = lower.translate(_PLAIN)
+    texts = [(lower, 0.0), (plain, 0.7)] if plain != lower else [(lower, 0.0)]
+    walks = _runs(n, lambda i: lower[i + 1] in near.get(lower[i], ""))
+    steps = [_runs(n, lambda i: ord(lower[i + 1]) - ord(lower[i]) == step) for step in (1, -1)]
+    again = []
+    for unit in range(1, min(8, n // 2) + 1):
+        same = [0] * (n + 1)
+        for i in range(n - unit - 1, -1, -1):
+            same[i] = same[i + 1] + 1 if lower[i] == lower[i + unit] else 0
+        again.append(same)
     best = [0.0] + [math.inf] * n
     for i in range(n):
         ways = [(1, size)]
-        for width in range(3, min(_LONGEST, n - i) + 1):
-            for text, more in ((lower, 0.0), (plain, 0.7)):
-                if (rank := _RANK.get(text[i : i + width])) is not None:
+        for width in range(3, min(longest, n - i) + 1):
+            for text, more in texts:
+                if (rank := rank_of.get(text[i : i + width])) is not None:
                     shape = value[i : i + width]
-                    ways.append((width, math.log10(rank + 1) + more + (0.0 if shape.islower() else 0.5)))
+                    ways.append((width, math.log10(rank + 1) + more + (0.0 if shape == lower[i : i + width] else 0.5)))
                     break
-        ways += ((width, 4.5 if width > 4 else 2.1) for width in dates[i])
-        for unit in range(1, min(8, (n - i) // 2) + 1):
-            times = 1
-            while lower.startswith(lower[i : i + unit], i + times * unit):
-                times += 1
-            if times * unit >= 3 and times > 1:
+        if lower[i].isdigit() and (m := _DATE.match(value, i)):
+            ways.append((m.end() - i, 4.5 if m.end() - i > 4 else 2.1))
+        for unit, same in enumerate(again, 1):
+            if (times := same[i] // unit + 1) > 1 and times * unit >= 3:
                 ways.append((times * unit, unit * size + math.log10(times)))
-        width = 1
-        while i + width < n and lower[i + width] in near.get(lower[i + width - 1], ""):
-            width += 1
-        if width >= 3:
+        if (width := walks[i] + 1) >= 3:
             ways.append((width, 1.7 + 0.6 * math.log10(width) + 0.2 * (width - 1)))
-        for step in (1, -1):
-            width = 1
-            while i + width < n and ord(lower[i + width]) - ord(lower[i + width - 1]) == step:
-                width += 1
-            if width >= 3:
+        for run in steps:
+            if (width := run[i] + 1) >= 3:
                 ways.append((width, 1.3 + math.log10(width)))
         for width, cost in ways:
             joint = 0.3 if i and width > 1 else 0.0
@@ -107,12 +137,6 @@ def _part_decades(value: str) -> float:
     return best[n]
 
 
-@lru_cache(maxsize=1 << 16)
-def guess_decades(value: str) -> float:
-    """log10 of the guesses that the cheapest way of guessing the value takes; 0 for the empty value."""
-    return sum(_part_decades(value[i : i + PART]) for i in range(0, len(value), PART))
-
-
 def spans(text: str) -> list[tuple[int, int, int]]:
     """All spans (start, kind's number, end), sorted."""
     out = []
