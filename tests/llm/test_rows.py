@@ -291,6 +291,73 @@ def test_toxicity(spark, edge, none):
     assert empty.score("anything") == 0.5
 
 
+def test_toxicity_of_hidden_words():
+    plain = "the house was near a river and people walked along its quiet green banks every day you had been seen letter i am"
+    counts = np.bincount(toxicity._trigrams(" ".join([plain] * 50)), minlength=toxicity.ALPHABET**3)
+    model = toxicity.Model({"idiot": 3.0, "moron": 3.0, "stupid": 3.0, "ass": 3.0, "slag": 3.0}, counts, plain=frozenset({"green", "letter"}))
+    hidden = {"stuupid": "stupid", "iddiot": "idiot", "mmorron": "moron", "1d!0t": "idiot", "$|@9": "slag", "you/1d10t": "idiot", "1d1#0t": "idiot"}
+    hidden |= {c.join("idiot"): "idiot" for c in toxicity.SEPARATORS}
+    hidden |= {x: "idiot" for x in ("i d i o t!", '"i d i o t"', "a i d i o t", "y o u i d i o t", "(i. d. i. o. t.)", "i-d i-o-t", "1 d ! 0 t", "i\nd\ni\no\nt", "i   d   i   o   t")}
+    hidden |= {"a s s": "ass", "a.s.s": "ass", "$ | @ 9": "slag", "$ t u p ! d": "stupid"}
+    for text, word in hidden.items():
+        assert word in model.findings(f"the river {text} was near"), text
+        assert word in model.findings(text), text
+    for text in (plain, "the house of 2020 was near 10 rivers, and 3rd street", "it's 1 2 3 4 5 and/or 455", "a b c d e f g"):
+        assert model.findings(text) == {}, text
+    assert model.characters.decode("x1!|0+" * 300)
+
+
+def test_toxicity_decodes_the_best_of_all_readings():
+    """Against brute force over all readings of short tokens."""
+    counts = np.bincount(toxicity._trigrams("bigs of oils zips gobs lists bit slags " * 9), minlength=toxicity.ALPHABET**3)
+    model = toxicity.CharacterModel(counts)
+    size = toxicity.ALPHABET
+
+    def cost(token, i, text):
+        def log(text, c):
+            last = ([0, 0] + [toxicity._CLASS[x] for x in text])[-2:]
+            return -model.logs[(last[0] * size + last[1]) * size + c]
+
+        if i == len(token):
+            return log(text, 0) if text else 0.0
+        c, out = token[i], []
+        out += [more + log(text, toxicity._CLASS[x]) + cost(token, i + 1, text + x) for x, more in [(x, 1.0) for x in toxicity.IMITATES.get(c, "")] + [(c, 0.0)] * c.isalpha()]
+        if not c.isalpha() and (c not in toxicity.IMITATES or c in toxicity.SEPARATORS):
+            out.append(1.5 + cost(token, i + 1, text))
+        if i and text and (c == token[i - 1] or text[-1] in toxicity.IMITATES.get(c, "") or text[-1] == c):
+            out.append(0.7 + cost(token, i + 1, text))
+        return min(out)
+
+    def told(token):
+        """The cost of the decoded text's cheapest way."""
+        read = model.decode(token)
+        seen = {}
+
+        def walk(i, n):
+            if (i, n) not in seen:
+                text, c, out = read[:n], token[i] if i < len(token) else "", []
+                last = ([0, 0] + [toxicity._CLASS[x] for x in text])[-2:]
+                at = (last[0] * size + last[1]) * size
+                if i == len(token):
+                    seen[i, n] = (-model.logs[at] if n else 0.0) if n == len(read) else 1e9
+                    return seen[i, n]
+                if n < len(read) and (read[n] == c or read[n] in toxicity.IMITATES.get(c, "")):
+                    out.append((0.0 if read[n] == c else 1.0) - model.logs[at + toxicity._CLASS[read[n]]] + walk(i + 1, n + 1))
+                if not c.isalpha() and (c not in toxicity.IMITATES or c in toxicity.SEPARATORS):
+                    out.append(1.5 + walk(i + 1, n))
+                if i and text and (c == token[i - 1] or text[-1] in toxicity.IMITATES.get(c, "") or text[-1] == c):
+                    out.append(0.7 + walk(i + 1, n))
+                seen[i, n] = min(out, default=1e9)
+            return seen[i, n]
+
+        return walk(0, 0)
+
+    r = random.Random(7)
+    for _ in range(60):
+        token = "".join(r.choice("16!|b0-5g") for _ in range(8))
+        assert abs(told(token) - cost(token, 0, "")) < 1e-5, token
+
+
 def test_toxicity_query_is_accurate(spark):
     from tidewheel.llm.queries import op2_toxicity
 

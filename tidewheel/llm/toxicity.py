@@ -2,7 +2,7 @@
 
 Insults are often written with leetspeak, spacing or repeated letters. A token that may hide a word becomes a lattice: each
 character may stand for itself, for the letters it imitates, for a mere separator, or for the repetition of the
-letter before it. Viterbi's algorithm picks the reading with the best sum of channel costs and of log-probabilities
+letter before it; in runs of single characters, separators may also be the edge of a word. Viterbi's algorithm picks the reading with the best sum of channel costs and of log-probabilities
 under a character trigram model, and the restored words are scored.
 
 * The character model counts the letter trigrams of all documents, in a table of at most ALPHABET**3 cells, and gives the
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -44,7 +45,8 @@ PURITY = 0.75
 LEXICON_SHARE = 0.1
 #: Entries kept by a worker of what tokens say; only time depends on it.
 CACHE = 1 << 18
-BEAM = 12
+#: A word with a doubled letter that so many clean texts of the sample have is a plain word.
+PLAIN_TEXTS = 2
 
 # Letters with a class of their own, and the letters that each character imitates.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäãåæçèéêëìíîïñòóôöõøœùúûüÿß"
@@ -61,8 +63,14 @@ _SAME, _IMITATED, _SKIPPED, _REPEATED = 0.0, 1.0, 1.5, 0.7
 _DRESS = re.compile(r"([^\w\s])\1+$|^([^\w\s])\2+")
 _STRIP = " .,;:?\"'()[]{}<>«»“”„-–—_*#%&^~`/\\="
 _PLAIN_CUT = re.compile(r"[^\W\d_]+")
-_THRICE = re.compile(r"(.)\1\1")
-_SPACED = re.compile(r"(?<!\S)(?:\S[ .\-_*]{1,3}){3,}\S(?!\S)")
+_TWICE, _THRICE = re.compile(r"([^\W\d_])\1"), re.compile(r"(.)\1\1")
+_BETWEEN = re.compile("[" + re.escape("".join(c for c in SEPARATORS if c not in IMITATES)) + "]+")
+_ALONE = "[" + re.escape("".join(c for c in IMITATES if not c.isalnum())) + "]"
+#: Three or more single characters, with anything but letters and digits between two: letters and digits, or characters that imitate letters.
+_SPACED = re.compile(
+    rf"(?:(?<!\S){_ALONE}[\s.\-_*]++)*(?<![^\W_])[^\W_](?:[\W_]++[^\W_](?![^\W_]))+(?:[\s.\-_*]++{_ALONE}(?!\S))*|(?<!\S)(?:{_ALONE}[\s.\-_*]++)+[^\W_](?![^\W_])(?:[\s.\-_*]++{_ALONE}(?!\S))*"
+    rf"|(?<![^\W_])[^\W_](?:[\s.\-_*]++{_ALONE}(?!\S)){{2,}}|(?<!\S)(?:{_ALONE}[\s.\-_*]++){{2,}}{_ALONE}(?!\S)"
+)
 
 
 @lru_cache(maxsize=1)
@@ -120,38 +128,58 @@ class CharacterModel:
         two, one = three.sum(axis=0), three.sum(axis=(0, 1))
         p1 = (one + 0.5) / (one.sum() + 0.5 * ALPHABET)
         p2 = (two + 20 * p1) / (two.sum(axis=1, keepdims=True) + 20)
-        self.logs = np.log((three + 20 * p2[None]) / (three.sum(axis=2, keepdims=True) + 20)).astype(np.float32)
+        logs = np.log((three + 20 * p2[None]) / (three.sum(axis=2, keepdims=True) + 20)).astype(np.float32)
+        self.logs = array("f", logs.tobytes())
 
-    def decode(self, token: str) -> str:
-        """The best reading of a lower-case token: letters, and a blank at each edge that was read within it."""
-        logs, paths = self.logs, {(0, 0): (0.0, "")}
+    def decode(self, token: str, split: bool = False) -> str:
+        """The best reading of a lower-case token: letters, and, if `split`, a blank at each edge that was read within it.
+
+        All states are kept: the class before the last letter, and the last letter; so at most ALPHABET**2 but for letters without a class."""
+        logs, paths = self.logs, {(0, ""): (0.0, None)}
         for i, c in enumerate(token):
-            reads = [(x, _IMITATED) for x in IMITATES.get(c, "")]
-            if c in _CLASS:
-                reads.append((c, _SAME))
-            elif c.isalpha():
-                reads.append((c, _SAME))
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, text) in paths.items():
-                ways = [((b, k := _CLASS.get(x, _OTHER)), cost + more - float(logs[a, b, k]), text + x) for x, more in reads]
-                if not c.isalpha() and (not reads or c in SEPARATORS):
-                    ways.append(((a, b), cost + _SKIPPED, text))
-                if i and text and (c == token[i - 1] or text[-1] in IMITATES.get(c, "") or text[-1] == c):
-                    ways.append(((a, b), cost + _REPEATED, text))
-                for state, value, said in ways:
+            reads = [(x, _CLASS[x], _IMITATED) for x in IMITATES.get(c, "")]
+            if c.isalpha():
+                reads.append((c, _CLASS.get(c, _OTHER), _SAME))
+            skips, imitated = not c.isalpha() and (not reads or c in SEPARATORS), IMITATES.get(c, "")
+            new: dict[tuple[int, str], tuple[float, tuple | None]] = {}
+            for (a, last), (cost, text) in paths.items():
+                b = (_CLASS.get(last, _OTHER) if last else 0)
+                at = (a * ALPHABET + b) * ALPHABET
+                for x, k, more in reads:
+                    value, state = cost + more - logs[at + k], (b, x)
                     if state not in new or value < new[state][0]:
-                        new[state] = (value, said)
-            if not new:
-                continue
-            paths = dict(sorted(new.items(), key=lambda x: x[1])[:BEAM]) if len(new) > BEAM else new
-        return min((cost - float(logs[a, b, 0]), text) for (a, b), (cost, text) in paths.items())[1]
+                        new[state] = (value, (text, x))
+                if skips and ((a, last) not in new or cost + _SKIPPED < new[a, last][0]):
+                    new[a, last] = (cost + _SKIPPED, text)
+                if skips and split and last:
+                    value = cost + _SKIPPED - logs[at]
+                    if (0, "") not in new or value < new[0, ""][0]:
+                        new[0, ""] = (value, (text, " "))
+                if last and i and (c == token[i - 1] or last in imitated or last == c):
+                    value = cost + _REPEATED
+                    if (a, last) not in new or value < new[a, last][0]:
+                        new[a, last] = (value, text)
+            paths = new or paths
+        ends = ((cost - (logs[(a * ALPHABET + _CLASS.get(last, _OTHER)) * ALPHABET] if last else 0.0), a, last) for (a, last), (cost, _) in paths.items())
+        _, a, last = min(ends)
+        out, link = [], paths[a, last][1]
+        while link is not None:
+            link, x = link
+            out.append(x)
+        return "".join(reversed(out))
 
 
 def suspicious(token: str) -> bool:
-    """Whether a token, stripped of what surrounds it, may hide a word: letters mixed with imitations, or thrice a letter."""
+    """Whether a token, stripped of what surrounds it, may hide a word: a letter twice in a row, or letters or imitations of letters
+    mixed with anything else. Numbers are plain."""
     if token.isalpha():
-        return _THRICE.search(token) is not None
-    return any(c.isalpha() for c in token) and (any(c in IMITATES for c in token) or _THRICE.search(token) is not None or any(c in "*_.-" for c in token))
+        return _TWICE.search(token) is not None
+    return any(c.isalpha() or c in IMITATES and not c.isdigit() for c in token)
+
+
+def mixed(token: str) -> bool:
+    """Whether a token can't be a plain or a compound word: letters mixed with imitations, or thrice a letter."""
+    return _THRICE.search(token) is not None or not token.isalpha() and any(c in IMITATES or c in "*_.-" for c in token) and any(c.isalpha() for c in token)
 
 
 def plain_words(text: str) -> set[str]:
@@ -159,16 +187,16 @@ def plain_words(text: str) -> set[str]:
 
 
 class Model:
-    """lexicon: the weight of each word; curve: intercept and factors of the calibration."""
+    """lexicon: the weight of each word; curve: intercept and factors of the calibration; plain: words with a doubled letter that hide none."""
 
-    def __init__(self, lexicon: dict[str, float], counts: np.ndarray, curve: tuple[float, float, float] = (0.0, 0.0, 0.0)):
+    def __init__(self, lexicon: dict[str, float], counts: np.ndarray, curve: tuple[float, float, float] = (0.0, 0.0, 0.0), plain: frozenset[str] = frozenset()):
         counts = counts.astype(np.float64)
         if lexicon:
             share = np.zeros_like(counts)
             for word in lexicon:
                 np.add.at(share, _trigrams(word), 1.0)
             counts = counts * (1 - LEXICON_SHARE) + share * (LEXICON_SHARE * max(counts.sum(), 1.0) / share.sum())
-        self.lexicon, self.characters, self.curve = lexicon, CharacterModel(counts), curve
+        self.lexicon, self.characters, self.curve, self.plain = lexicon, CharacterModel(counts), curve, plain
         self.known: dict[str, tuple[tuple[str, float], ...]] = {}
 
     @property
@@ -179,20 +207,34 @@ class Model:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"known": {}}
 
+    def readings(self, bare: str) -> list[str]:
+        """Decoded readings of a stripped token that may hide a word: whole, and, where separators stand in it, with edges between words and by parts."""
+        if bare in self.plain or bare in self.lexicon or not suspicious(bare):
+            return []
+        out = [self.characters.decode(bare)]
+        if not bare.isalpha() and _BETWEEN.search(bare):
+            out.append(self.characters.decode(bare, True))
+            parts = _BETWEEN.split(bare)
+            out += [self.characters.decode(p) for p in parts if len(p) > 1 and p not in self.plain and suspicious(p)]
+        return out
+
     def restored(self, token: str) -> str:
-        """A lower-case token as it is meant."""
+        """A lower-case token as it is meant; a plain or compound word is read anew only if the reading is a known word."""
         bare = _DRESS.sub("", token).strip(_STRIP)
-        return self.characters.decode(bare) if suspicious(bare) else bare
+        read = self.readings(bare)
+        return next((x for x in read[:2] if self._weights(x.split())), read[0] if read and mixed(bare) else bare)
 
     def _weights(self, words: list[str]) -> tuple[tuple[str, float], ...]:
         return tuple((w, self.lexicon[w]) for w in words if w in self.lexicon)
 
     def says(self, token: str) -> tuple[tuple[str, float], ...]:
-        """The words in a token, as written and as restored, that the lexicon knows, with their weights."""
+        """The words in a token, as written, as its letters alone and as restored, that the lexicon knows, with their weights."""
         bare = _DRESS.sub("", token).strip(_STRIP)
         words = _PLAIN_CUT.findall(bare)
-        if suspicious(bare):
-            words += _PLAIN_CUT.findall(self.characters.decode(bare))
+        for read in self.readings(bare):
+            words += _PLAIN_CUT.findall(read)
+        if not bare.isalpha():
+            words.append("".join(filter(str.isalpha, bare)))
         return self._weights(list(dict.fromkeys(words)))
 
     def findings(self, text: str) -> dict[str, float]:
@@ -206,9 +248,16 @@ class Model:
             if said:
                 out.update(said)
         for m in _SPACED.finditer(lower):
-            out.update(self._weights([self.characters.decode(m[0])]))
+            out.update(self._weights([*self.spaced(m[0]), "".join(filter(str.isalpha, m[0]))]))
         return out
 
+    def spaced(self, run: str) -> list[str]:
+        """The words of a run of single characters: of its reading with edges, and that as one word. A run of numbers has none."""
+        run = " ".join(run.split())
+        if not any(c.isalpha() or c in IMITATES and not c.isdigit() for c in run):
+            return []
+        return [*self.characters.decode(run, True).split(), self.characters.decode(run)]
+
     def inputs(self, text: str) -> tuple[float, float]:
         """What the calibration sees: the greatest weight of a known word, and the logarithm of all weights' sum."""
         found = self.findings(text)
@@ -282,7 +331,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     kept = seen.where((F.col("n1") > 0) & (rate > max(PURITY, prior))).withColumn("ratio", ratio).where(F.col("ratio") >= EVIDENCE)
     odds = lambda r: math.log((r["n1"] + 0.5) / (r["n0"] + 0.5) * (1 - prior) / prior)
     lexicon = {r["feature"]: odds(r) for r in kept.orderBy(F.desc("ratio"), "feature").limit(ENTRIES).collect()}
-    model = Model(lexicon, counts)
+    doubled = seen.where((F.col("n0") >= PLAIN_TEXTS) & (rate <= prior) & F.col("feature").rlike(r"(\p{L})\1"))
+    model = Model(lexicon, counts, plain=frozenset(r["feature"] for r in doubled.select("feature").collect()))
 
     @F.arrow_udf("array<double>")
     def seen_by(column: pa.Array) -> pa.Array:
@@ -315,7 +365,7 @@ def restore(docs: DataFrame, model: Model, text: str = "text", out: str = "resto
     @F.arrow_udf("string")
     def read(column: pa.Array) -> pa.Array:
         def one(t: str) -> str:
-            spaced = _SPACED.sub(lambda m: model.characters.decode(m[0]), t.lower())
+            spaced = _SPACED.sub(lambda m: " ".join(model.spaced(m[0])[:-1]) or m[0], t.lower())
             return " ".join(map(model.restored, spaced.split()))
 
         return pa.array([None if t is None else one(t) for t in column.to_pylist()], pa.string())
