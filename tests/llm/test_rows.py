@@ -245,6 +245,24 @@ def test_lm_is_a_distribution():
     assert score(b"a b") > score(b"b a") - 5 and np.isfinite(score(b"zzz \xc3\xa9"))
 
 
+def test_lm_long_unknown_tokens():
+    """The price of an unknown word is its whole spelling, however long it is."""
+    texts = [b"a b a b a c", b"b c", b"c c a"]
+    done, cells = lm._ngrams(texts, np.ones(3, dtype=bool), True)
+    table = np.bincount(cells, minlength=int(lm.Spelling.OFFSETS[-1])).astype(np.float32)
+    (words, counts), _ = done
+    totals, spelling = lm.Totals(int(counts.sum()), len(words), table), lm.Spelling(table)
+    for n in (10, 300, 5000):
+        for of in (totals, lm.Totals(0, 0, table)):
+            own, _ = lm._ngrams([b"x" * n], np.zeros(1, dtype=bool), False)
+            none = [np.zeros(len(own[k][0]), np.int64) for k in (0, 1)]
+            got = lm._scores([b"x" * n], own[0][0], none[0], own[1][0], none[1], of, spelling)[0][0, 3]
+            q = spelling.logs(np.frombuffer(b"x" * n + b"\n", dtype=np.uint8), np.array([0]), np.array([n]))[0] + np.log10(0.99)
+            share = np.log10(lm.D * of.different / of.tokens) if of.tokens else 0.0
+            assert abs(got - (share + q + share + np.log10(0.01))) < 1e-6 * abs(q), n
+    assert q < -1000
+
+
 def _first_byte(spelling, byte):
     """log10 of the probability that a word begins with a byte; 0x20 ends it at once."""
     data = np.array([byte, 10], dtype=np.uint8)

@@ -42,6 +42,7 @@ UNIT, PART = 8 << 20, 16 << 20
 KNEE, SLOPE, D = 20.0, 0.2, 0.7
 #: Rows of the byte tables, by number of bytes of context, and pseudo-counts.
 ROWS, BYTE_A = (1, 1 << 8, 1 << 12, 1 << 14), 4.0
+_LN10 = np.log(10.0)
 _END = np.uint64(0xE7D0C0DE5EED0001)
 
 
@@ -268,12 +269,13 @@ def _scores(texts: list[bytes], words: np.ndarray, word_counts: np.ndarray, pair
         chosen = tokens.word[is_word[first]]
         if len(different):
             q[is_word] = np.log10(0.99) + spelling.logs(tokens.found.data, tokens.found.start[chosen], tokens.found.end[chosen])[where]
-        spelled = 10.0 ** np.maximum(q, -300)
-        alone = np.maximum(c - D, 0) / n + D * totals.different / n * spelled if n else spelled
+        # In logarithms throughout: an unknown word of many bytes is less likely than floating-point numbers go.
         seen = tokens.before(c, end)
         fail = (1 + seen / KNEE) ** -SLOPE
         held = pair_counts[np.searchsorted(pairs, tokens.pairs())]
-        after = np.log10((1 - fail) * held / np.maximum(seen, 1) + fail * alone)
+        with np.errstate(divide="ignore"):
+            alone = np.logaddexp(np.log(np.maximum(c - D, 0) / n), np.log(D * totals.different / n) + q * _LN10) if n else q * _LN10
+            after = np.logaddexp(np.log((1 - fail) * held / np.maximum(seen, 1)), np.log(fail) + alone) / _LN10
         base = np.log10((c + 0.1) / (n + 0.1 * (totals.different + 1)))
         begin = tokens.ends - tokens.count
         out.append(np.stack([tokens.count, np.add.reduceat(c > 0, begin, dtype=np.int64), np.add.reduceat(base, begin), np.add.reduceat(after, begin)], axis=1))
