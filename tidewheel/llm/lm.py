@@ -2,7 +2,8 @@
 
 States are contexts: the last word, no word, and within an unknown word its last bytes. A state's arcs carry the
 log-probability of a token; a token without an arc follows the failure arc to the next shorter context, whose weight is
-added. A text is read once from left to right; its state moves with each token, and an end token closes it.
+added. No automaton is built: the state is one word at most, so looking up each token's word and word pair gives the same sums, for all
+tokens of a text at once. An end token closes a text.
 
 * word after word:  p(w|h) = (1 - v) c(hw) / c(h) + v p(w); the failure weight v = (1 + c(h) / KNEE) ** -SLOPE falls with the
   context's count as the share of new words does that one meets in running text; it is 1 for an unseen context
