@@ -198,6 +198,16 @@ def test_languages(spark, edge, none):
     assert langid.Profiles({"b": [1, 2], "a": [1, 2]}).predict("q")[0] == "a", "ties go by name"
 
 
+def test_languages_of_copies(spark):
+    """A language of few texts in many copies is learned, and its copies count once."""
+    few = spark.range(300).select(F.element_at(F.array(*(F.lit(f"{w} {w}") for w in ("xyx", "yzy", "zxz"))), (F.col("id") % 3 + 1).cast("int")).alias("text"), F.lit("xx").alias("lang"))
+    once = spark.createDataFrame([("xyx xyx", "xx"), ("yzy yzy", "xx"), ("zxz zxz", "xx"), ("aba", "aa")], "text string, lang string")
+    more = few.union(once.where("lang = 'aa'")).union(few.where("text = 'xyx xyx'"))
+    for sample in (3, 20):
+        learned, plain = langid.fit(more, sample=sample), langid.fit(once, sample=sample)
+        assert learned.names == ["aa", "xx"] and (learned.codes == plain.codes).all() and (learned.ranks == plain.ranks).all()
+
+
 def test_out_of_place_by_hand():
     from collections import Counter
 

@@ -4,7 +4,7 @@ A profile is a language's PROFILE most frequent character n-grams (1 to 4 letter
 frequency. A text's own most frequent n-grams are compared with each profile: an n-gram costs the distance between its
 two ranks, or PROFILE if the profile lacks it, and the language with the least sum wins.
 
-Profiles are fitted on about SAMPLE labelled texts of each language, chosen by a hash of the text. Whole texts are
+Profiles are fitted on about SAMPLE different labelled texts of each language, chosen by a hash of the text; copies count once. Whole texts are
 used in fitting and in prediction.
 
 Defined results: a null text, or one without a letter, is `und` with score 0, as is every text where nothing was
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 ORDERS = 4
 PROFILE = 400
-#: About as many labelled texts of each language are learned from; it bounds the fit, not the prediction.
+#: About as many different labelled texts of each language are learned from; it bounds the fit, not the prediction.
 SAMPLE = 4000
 UNKNOWN = "und"
 _EDGE = 0x5F
@@ -89,11 +89,12 @@ class Profiles:
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", sample: int = SAMPLE) -> Profiles:
     """Profiles of the labels in docs; rows with a null text or label are left out."""
     rows = docs.select(F.col(text).alias("text"), F.col(label).cast("string").alias("label")).where("text is not null and label is not null")
-    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    rows = rows.withColumn("name", F.xxhash64(F.lit("langid"), "text"))
+    sizes = {r["label"]: r["count"] for r in rows.select("label", "name").distinct().groupBy("label").count().collect()}
     if not sizes:
         return Profiles({})
     share = F.element_at(F.create_map(*(F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, sample / n)))), F.col("label"))
-    chosen = rows.where(F.pmod(F.xxhash64(F.lit("langid"), "text"), F.lit(1 << 20)) < share * (1 << 20))
+    chosen = rows.where(F.pmod("name", F.lit(1 << 20)) < share * (1 << 20)).dropDuplicates(["label", "name"]).select("text", "label")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
