@@ -1,6 +1,7 @@
 """Fingerprints, secrets, licences and languages: edge cases, and brute force on a small table."""
 
 import hashlib
+import math
 import random
 import re
 import textwrap
@@ -117,6 +118,25 @@ def test_secrets_of_words_repeats_and_addresses():
     assert cost(secret * 3) >= cost(secret) > 9
 
 
+def test_repeats_and_the_least_cost_by_brute_force():
+    r = random.Random(8)
+    for n in [*range(1, 11)] * 15 + [40] * 5:
+        value = "".join(r.choice("é§ж") for _ in range(n))  # no words, dates or walks
+        longest = [max((k for j in range(i) for k in range(n - i + 1) if value[j : j + k] == value[i : i + k]), default=0) for i in range(n)]
+        assert secret_scan.repeats(value) == longest, value
+        size, far = math.log10(secret_scan._charset(value)), math.log10(n)
+
+        def least(i):
+            """By trying every first part of what is left."""
+            again = [math.log10(i) + (0.3 if k == longest[i] else far) + 0.3 + least(i + k) for k in range(secret_scan.REPEAT, longest[i] + 1)] if i < n else []
+            return min([size + least(i + 1), *again]) if i < n else 0.0
+
+        assert n > 10 or abs(secret_scan.guess_decades(value) - least(0)) < 1e-9, value
+    assert [secret_scan.guess_decades(x * 7) < secret_scan.MIN_DECADES for x in ("a", "abcdefghi", "qwertyuiop1")] == [True] * 3
+    assert secret_scan.guess_decades("k3Jx9Qz7" * 40) < secret_scan.guess_decades("k3Jx9Qz7") + 7
+    assert secret_scan.guess_decades("x" * 20_000) < secret_scan.MIN_DECADES
+
+
 def test_secret_query(spark):
     from tidewheel.llm.queries import op8_secret_scan
 

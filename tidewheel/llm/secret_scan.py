@@ -4,7 +4,7 @@ Kinds, each leftmost and not overlapping itself: `assign` (a credential name, an
 characters), `access` (AKIA and capitals or digits, 18 or more), `hex` (16 or more lower-case hexadecimal
 digits), and `guess`: the value that follows a credential name, a header word or a user in an address, if the cheapest way to
 guess it costs at least MIN_DECADES powers of ten. The cost is a dynamic programme over positions of the value: it is cut in
-common words, dates, repeats, keyboard walks and brute-force spans, a cut's cost is the sum of its parts' and a charge for
+common words, dates, repeats of what stands before, keyboard walks and brute-force spans, a cut's cost is the sum of its parts' and a charge for
 each further part, and the cheapest cut counts. A `guess` span equal to a base span's value is still listed.
 
 Defined results: null text is the empty text and has no spans; repeated rows give equal results; whole texts of any
@@ -13,21 +13,26 @@ length are scanned. Columns of the output's names are replaced, all others stay.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
+from . import textkit as tk
 
 KINDS = ("assign", "access", "hex", "guess")
 #: A value of this guess cost or more, as a power of ten, is a secret.
 MIN_DECADES = 9.0
+#: Characters of the shortest repeat.
+REPEAT = 3
 #: The vocabulary whose whole words, by rank, a guesser tries.
 WORDS = "byte_bpe_multi_50k.tiktoken"
 
@@ -92,6 +97,48 @@ def _runs(n: int, goes_on: Callable[[int], bool]) -> list[int]:
     return out
 
 
+def repeats(text: str) -> list[int]:
+    """From each place, how many characters occur in the same order from an earlier place as well, which they may overlap.
+
+    Ranks of pieces of 1, 2, 4, ... characters give the order of all suffixes; of those before and after a suffix in that order, the nearest
+    that start earlier share most with it. Work is some n log(n)^2."""
+    n = len(text)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    rank, width = np.unique(codes, return_inverse=True)[1].astype(np.int64), 1
+    while True:
+        order = np.argsort(rank, kind="stable") if width == 1 else order
+        if rank[order[-1]] == n - 1:
+            break
+        after = np.zeros(n, dtype=np.int64)
+        if width < n:
+            after[:-width] = rank[width:] + 1
+        both = rank * (n + 1) + after
+        order = np.argsort(both, kind="stable")
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = np.concatenate(([0], np.cumsum(both[order[1:]] != both[order[:-1]])))
+        width *= 2
+    place, where = order.tolist(), rank.tolist()
+    shared, k = [0] * n, 0  # of each suffix with the one before it in order
+    for i in range(n):
+        if where[i]:
+            j = place[where[i] - 1]
+            while i + k < n and j + k < n and text[i + k] == text[j + k]:
+                k += 1
+            shared[where[i]] = k
+            k = max(0, k - 1)
+        else:
+            k = 0
+    out, held = [0] * n, []  # held: suffixes in order whose later neighbours are not known yet, starts growing
+    for at in range(n + 1):
+        i, k = (place[at], shared[at]) if at < n else (-1, 0)
+        while held and held[-1][0] > i:
+            j, own = held.pop()
+            out[j] = max(own, k)
+            k = min(own, k)
+        held.append((i, k))
+    return out
+
+
 @lru_cache(maxsize=1 << 16)
 def guess_decades(value: str) -> float:
     """log10 of the guesses that the cheapest way of guessing the value takes; 0 for the empty value. Work grows with its length."""
@@ -106,15 +153,22 @@ def guess_decades(value: str) -> float:
     texts = [(lower, 0.0), (plain, 0.7)] if plain != lower else [(lower, 0.0)]
     walks = _runs(n, lambda i: lower[i + 1] in near.get(lower[i], ""))
     steps = [_runs(n, lambda i: ord(lower[i + 1]) - ord(lower[i]) == step) for step in (1, -1)]
-    again = []
-    for unit in range(1, min(8, n // 2) + 1):
-        same = [0] * (n + 1)
-        for i in range(n - unit - 1, -1, -1):
-            same[i] = same[i + 1] + 1 if lower[i] == lower[i + unit] else 0
-        again.append(same)
+    again, far = repeats(lower), math.log10(n)
     best = [0.0] + [math.inf] * n
-    for i in range(n):
+    open_: list[tuple[float, int]] = []  # repeats that have begun: what the value costs to their end, and the last place for that
+    for i in range(n + 1):
+        if i >= REPEAT and again[i - REPEAT] >= REPEAT:
+            # From which earlier place, and how many characters: so much is guessed. All that go on are among `ways`.
+            heapq.heappush(open_, (best[i - REPEAT] + math.log10(max(i - REPEAT, 1)) + far + 0.3, i - REPEAT + again[i - REPEAT]))
+        while open_ and open_[0][1] < i:
+            heapq.heappop(open_)
+        if open_:
+            best[i] = min(best[i], open_[0][0])
+        if i == n:
+            break
         ways = [(1, size)]
+        if again[i] >= REPEAT:
+            ways.append((again[i], math.log10(i) + 0.3))
         for width in range(3, min(longest, n - i) + 1):
             for text, more in texts:
                 if (rank := rank_of.get(text[i : i + width])) is not None:
@@ -123,9 +177,6 @@ def guess_decades(value: str) -> float:
                     break
         if lower[i].isdigit() and (m := _DATE.match(value, i)):
             ways.append((m.end() - i, 4.5 if m.end() - i > 4 else 2.1))
-        for unit, same in enumerate(again, 1):
-            if (times := same[i] // unit + 1) > 1 and times * unit >= 3:
-                ways.append((times * unit, unit * size + math.log10(times)))
         if (width := walks[i] + 1) >= 3:
             ways.append((width, 1.7 + 0.6 * math.log10(width) + 0.2 * (width - 1)))
         for run in steps:
@@ -158,6 +209,7 @@ def found(text: Column) -> Column:
     """The spans of each text: array<struct<kind,start,end>>, in order of start, then of kind."""
 
     @F.arrow_udf("array<struct<kind:string,start:int,end:int>>")
+    @tk.lean
     def scan(column: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         return pa.array([[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans(t or "")] for t in column.to_pylist()], kind)
@@ -174,6 +226,7 @@ def redacted(text: Column, mark: str = "[SECRET]") -> Column:
     """Each text with its secrets replaced by the mark, spans that overlap as one; null stays null."""
 
     @F.arrow_udf("string")
+    @tk.lean
     def cleaned(column: pa.Array) -> pa.Array:
         out = []
         for value in column.to_pylist():
@@ -186,5 +239,3 @@ def redacted(text: Column, mark: str = "[SECRET]") -> Column:
         return pa.array(out, pa.string())
 
     return cleaned(text)
-
-
