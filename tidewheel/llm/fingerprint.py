@@ -70,6 +70,7 @@ def fingerprint(text: Column) -> Column:
     """The fingerprint of each text, in hexadecimal."""
 
     @F.arrow_udf("string")
+    @tk.lean
     def made(column: pa.Array) -> pa.Array:
         texts, out = tk.as_bytes(column), []
         for a, b in tk.slices(texts):
@@ -109,6 +110,7 @@ def in_sequence(docs: DataFrame, key: str = "doc_id", text: str = "text", parts:
         return np.where(np.asarray(column.is_null()), len(bounds) + 1, out)
 
     @F.arrow_udf("int")
+    @tk.lean
     def bucket(column: pa.Array) -> pa.Array:
         return pa.array(bucket_of(column).astype(np.int32))
 
@@ -117,6 +119,7 @@ def in_sequence(docs: DataFrame, key: str = "doc_id", text: str = "text", parts:
     before = {b: order[i - 1] for i, b in enumerate(order)}
 
     @F.arrow_udf("array<int>")
+    @tk.lean
     def places(column: pa.Array) -> pa.Array:
         own = bucket_of(column).tolist()
         out = [[b, before[b]] if k == heads[b] else [b] for b, k in zip(own, column.to_pylist())]

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import textkit as tk
+
 ORDERS = 4
 PROFILE = 400
 #: About as many different labelled texts of each language are learned from; it bounds the fit, not the prediction.
@@ -125,6 +127,7 @@ def language(text: Column, profiles: Profiles) -> Column:
     """struct<lang, score> of each text."""
 
     @F.arrow_udf("struct<lang:string,score:double>")
+    @tk.lean
     def predicted(column: pa.Array) -> pa.Array:
         out = [profiles.predict(t or "") for t in column.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([a for a, _ in out], pa.string()), pa.array([b for _, b in out], pa.float64())], names=["lang", "score"])

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import textkit as tk
+
 GAP = 2
 
 # Sentences of public licences and notices, and the rules made of them, in order.
@@ -190,6 +192,7 @@ def licences(text: Column, rules: Rules | None = None) -> Column:
     """array<struct<start, end, licence>> of each text."""
 
     @F.arrow_udf("array<struct<start:int,end:int,licence:string>>")
+    @tk.lean
     def scanned(column: pa.Array) -> pa.Array:
         own = rules or standard()
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("licence", pa.string())]))

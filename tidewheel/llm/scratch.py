@@ -39,9 +39,15 @@ def dropped(*frames: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: Bytes of a batch of rows that a Python worker is given, where the session has not set it: a worker holds some copies of a batch.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a Spark context: for drivers whose executors have it not installed."""
+    """Sends this package to the executors, once a Spark context: for drivers whose executors have it not installed. Bounds workers' batches."""
     context = spark.sparkContext
+    if BATCH[0] not in dict(context.getConf().getAll()):
+        spark.conf.set(BATCH[0], str(BATCH[1]))
     if getattr(context, "_tidewheel_shipped", False):
         return
     top = Path(__file__).resolve().parent.parent

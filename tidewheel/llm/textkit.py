@@ -7,7 +7,9 @@ of texts so that a slice holds about `limit` bytes, or a single longer text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 from typing import NamedTuple
 
 import numpy as np
@@ -17,8 +19,8 @@ SLICE_BYTES = 1 << 20
 _M = (1 << 64) - 1
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 _POWERS: list[np.ndarray] = []
 
 
@@ -44,6 +46,31 @@ def slices(texts: list, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def released() -> None:
+    """Gives memory that nothing uses any more back to the system: Spark keeps a Python worker for tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def lean(f: Callable) -> Callable:
+    """A function of Arrow columns that leaves no unused memory with its worker."""
+
+    @wraps(f)
+    def run(*columns: pa.Array) -> pa.Array:
+        try:
+            return f(*columns)
+        finally:
+            released()
+
+    return run
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective mixing of 64-bit values."""
     x = x ^ (x >> np.uint64(30))
@@ -68,6 +95,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of the bytes."""
+    powers, inverse = _powers(len(data))
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=sums[1:])
+    hashed = (sums[end] - sums[start]) * inverse[np.minimum(start, len(inverse) - 1)]
+    return mix64(hashed + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 class Words(NamedTuple):
     """Words of a slice: bytes of all texts, where each word starts and ends in them, its text's number, its hash."""
 
@@ -80,17 +116,13 @@ class Words(NamedTuple):
 
 def words(texts: list[bytes]) -> Words:
     data = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", dtype=np.uint8)
-    space = _SPACE[data]
+    space = SPACE[data]
     edges = np.flatnonzero(space[1:] != space[:-1]) + 1
     start, end = edges[0::2], edges[1::2]
     sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     begins = np.concatenate(([1], 1 + np.cumsum(sizes + 1)))[:-1]
     doc = np.searchsorted(begins, start, side="right") - 1
-    powers, inverse = _powers(len(data))
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=sums[1:])
-    hashed = (sums[end] - sums[start]) * inverse[start]
-    return Words(data, start, end, doc, mix64(hashed + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    return Words(data, start, end, doc, hashes(data, start, end))
 
 
 def shingles(found: Words, n_docs: int, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
