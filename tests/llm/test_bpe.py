@@ -24,7 +24,7 @@ def test_as_the_other_library(texts):
 
 
 def test_odd_spaces():
-    odd = ["", " ", "  a  b", "a \n b", "x  y", "　 z z", "don't I'll", "a\x1c b \x1c c", "a  ", " a", "\u0085 a\u0085b", "tab\t a\tb"]
+    odd = ["", " ", "  a  b", "a \n b", "x  y", "　 z z", "don't I'll", "a\x1c b \x1c c", "a  ", " a", "\u0085 a\u0085b", "tab\t a\tb", "x \n", "  ", " b  \n\n c", "\n\n", "a " * 400_000, "x" * 100_000, "\u3000".join("abc") + " d" * 9]
     assert _ids(odd) == [OTHER.encode_ordinary(t) for t in odd]
 
 

@@ -14,9 +14,9 @@ the output's name is replaced; all other columns stay as they are.
 from __future__ import annotations
 
 import base64
+import os
 import re
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-#: The largest number of pieces kept with their ids by a worker; only time depends on it.
-CACHE = 1 << 19
-#: Pieces that are encoded as one text.
-TOGETHER = 2000
-SLICE = 1 << 22
-_SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
+from . import textkit as tk
+
+#: Different pieces that a worker keeps with their ids, some 40 bytes each; only time depends on it.
+CACHE = 1 << 20
+#: Blanks other than the six of ASCII: texts that have one are encoded as they are.
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+# A task has its core; the library must not start threads of its own.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
 @lru_cache(maxsize=1)
@@ -68,52 +70,84 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
 
 
 class Encoder:
-    """Encodes texts piece by piece: a space between two non-space characters always starts a match of the pattern, so
-    texts are cut there, and each different piece is encoded once per worker."""
+    """Encodes texts piece by piece: a word with the blanks before it, as matches of the pattern start where blanks start.
+
+    Each different piece is encoded once and kept by its hash. The ids are decoded and compared with the texts, so that
+    pieces whose hashes agree by chance are found out, and those texts are encoded as they are."""
 
     def __init__(self, path: str, pattern: str):
-        self.tokenizer = tokenizer(path, pattern)
-        self.begins = np.zeros(max(ranks(path).values()) + 1, dtype=bool)
-        self.begins[[r for t, r in ranks(path).items() if t[:1] == b" "]] = True
-        self.known: dict[str, bytes] = {}
-        self.unsafe: set[str] = set()
-
-    def _learn(self, pieces: set[str]) -> None:
-        whole = [p for p in pieces if p and not p[0].isspace() and not p[-1].isspace()]
-        if len(whole) < len(pieces):  # the spaces around the others are not safe cuts
-            self.unsafe |= pieces.difference(whole)
-            self.known.update(dict.fromkeys(self.unsafe, b""))
-        for k in range(0, len(whole), TOGETHER):  # in one text: a piece has its only space byte at its start
-            found = self.tokenizer.encode_batch_fast([" " + " ".join(whole[k : k + TOGETHER])], add_special_tokens=False)
-            flat = np.array(found[0].ids, dtype=np.int32)
-            ends = 4 * np.append(np.flatnonzero(self.begins[flat])[1:], len(flat))
-            data, start = flat.tobytes(), 0
-            for piece, end in zip(whole[k:], ends.tolist()):
-                self.known[piece] = data[start:end]
-                start = end
+        self.tokenizer, self.table = tokenizer(path, pattern), _table(path)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.start = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, as bytes of int32."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-            self.unsafe.clear()
-        cut = [t.split(" ") for t in texts]
-        known = self.known
-        self._learn({p for parts in cut for p in parts[1:] if p not in known})
-        heads = self.tokenizer.encode_batch_fast([parts[0] for parts in cut], add_special_tokens=False)
-        out = []
-        for text, parts, head in zip(texts, cut, heads):
-            first, rest = parts[0], parts[1:]
-            if rest and (not first or first[-1].isspace() or (self.unsafe and not self.unsafe.isdisjoint(rest))):
-                out.append(self._uneven(text))
-            else:
-                out.append(b"".join([np.array(head.ids, dtype=np.int32).tobytes(), *map(known.__getitem__, rest)]))
+        out: list[bytes] = []
+        for a, b in tk.slices(texts):
+            out += self._slice(texts[a:b])
         return out
 
-    def _uneven(self, text: str) -> bytes:
-        pieces = _SAFE_CUT.split(text)
-        found = self.tokenizer.encode_batch_fast([pieces[0], *(" " + p for p in pieces[1:])], add_special_tokens=False)
-        return np.fromiter(chain.from_iterable(x.ids for x in found), dtype=np.int32).tobytes()
+    def _slice(self, texts: list[str]) -> list[bytes]:
+        plain = [i for i, t in enumerate(texts) if t and not _ODD.search(t)]
+        out = dict(zip(plain, self._pieces([texts[i].encode() for i in plain]))) if plain else {}
+        rest = [i for i in range(len(texts)) if out.get(i) is None]
+        found = self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)
+        out |= {i: np.array(x.ids, dtype=np.int32).tobytes() for i, x in zip(rest, found)}
+        return [out[i] for i in range(len(texts))]
+
+    def _pieces(self, texts: list[bytes]) -> list[bytes | None]:
+        """Ids of texts that are not empty; None where hashes misled."""
+        whole = b"".join(texts)
+        data, ends = np.frombuffer(whole, dtype=np.uint8), np.cumsum([len(t) for t in texts])
+        space = tk.SPACE[data]
+        begins = np.append(False, space[1:] & ~space[:-1])
+        begins[np.append(0, ends[:-1])] = True
+        starts = np.flatnonzero(begins)
+        stops = np.append(starts[1:], len(data))
+        hashed = tk.hashes(data, starts, stops)
+        order = np.argsort(hashed)
+        new = np.append(True, hashed[order[1:]] != hashed[order[:-1]])
+        first, where = order[new], np.empty(len(order), dtype=np.int64)
+        where[order] = np.cumsum(new) - 1
+        different = hashed[first]
+        if len(self.known) + len(different) > CACHE:
+            self._forget()
+        at = np.minimum(np.searchsorted(self.known, different), max(len(self.known) - 1, 0))
+        new = np.flatnonzero(self.known[at] != different) if len(self.known) else np.arange(len(different))
+        if len(new):
+            self._learn(whole, data, different[new], starts[first[new]], stops[first[new]])
+        place = np.searchsorted(self.known, different)[where]
+        size = self.size[place]
+        last = np.cumsum(size)
+        flat = self.flat[np.arange(last[-1]) + np.repeat(self.start[place] - last + size, size)]
+        bounds = last[np.searchsorted(stops, ends)].tolist()
+        if self.table.joined(flat) == whole:
+            return [flat[a:b].tobytes() for a, b in zip([0, *bounds], bounds)]
+        parts = [flat[a:b] for a, b in zip([0, *bounds], bounds)]
+        return [p.tobytes() if self.table.joined(p) == t else None for p, t in zip(parts, texts)]
+
+    def _learn(self, whole: bytes, data: np.ndarray, hashed: np.ndarray, start: np.ndarray, stop: np.ndarray) -> None:
+        """Encodes pieces: words with blanks before them in one text, which their lengths divide again, the others one by one."""
+        spaced = tk.SPACE[data[start]] & ~tk.SPACE[data[stop - 1]]
+        bare = [whole[a:b].decode() for a, b in zip(start[~spaced].tolist(), stop[~spaced].tolist())]
+        found = [np.array(x.ids, dtype=np.int32) for x in self.tokenizer.encode_batch_fast(bare, add_special_tokens=False)]
+        order = np.concatenate((np.flatnonzero(~spaced), np.flatnonzero(spaced)))
+        sizes = [np.array([len(x) for x in found], dtype=np.int64)]
+        if spaced.any():
+            joined = "".join([whole[a:b].decode() for a, b in zip(start[spaced].tolist(), stop[spaced].tolist())])
+            flat = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=np.int32)
+            ends = np.searchsorted(np.cumsum(self.table.size[flat]), np.cumsum(stop[spaced] - start[spaced])) + 1
+            found.append(flat)
+            sizes.append(np.diff(ends, prepend=0))
+        size = np.concatenate(sizes)
+        begin = len(self.flat) + np.cumsum(size) - size
+        self.flat = np.concatenate((self.flat, *found))
+        known = np.concatenate((self.known, hashed[order]))
+        sort = np.argsort(known, kind="stable")
+        self.known, self.start, self.size = known[sort], np.concatenate((self.start, begin))[sort], np.concatenate((self.size, size))[sort]
 
     def offsets(self, text: str) -> list[tuple[int, int]]:
         return self.tokenizer.encode(text, add_special_tokens=False).offsets
@@ -132,20 +166,11 @@ def ids(text: Column, path: str, pattern: str) -> Column:
     """The ids of each text, array<int>."""
 
     @F.arrow_udf("array<int>")
+    @tk.lean
     def encoded(column: pa.Array) -> pa.Array:
-        texts, own = [x or "" for x in column.to_pylist()], encoder(path, pattern)
-        flat, sizes = [], [0]
-        size, start = 0, 0
-        for end in range(1, len(texts) + 1):
-            size += len(texts[end - 1])
-            if size >= SLICE or end == len(texts):
-                found = own.ids(texts[start:end])
-                sizes += (len(x) // 4 for x in found)
-                flat += found
-                size, start = 0, end
-        ends = np.cumsum(np.array(sizes, dtype=np.int64)).astype(np.int32)
-        joined = b"".join(flat)
-        del flat, texts
+        found = encoder(path, pattern).ids(tk.as_texts(column))
+        ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
+        joined = b"".join(found)
         return pa.ListArray.from_arrays(pa.array(ends), pa.Array.from_buffers(pa.int32(), len(joined) // 4, [None, pa.py_buffer(joined)]))
 
     return encoded(text)
@@ -171,27 +196,42 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
     return docs.withColumns(more)
 
 
+class Table:
+    """The bytes of each id, one after the other."""
+
+    def __init__(self, path: str):
+        shown = {c: b for b, c in enumerate(byte_characters())}
+        vocabulary = {"".join(byte_characters()[b] for b in t): r for t, r in ranks(path).items()}
+        tokens = {r: bytes(shown[c] for c in token) for token, r in vocabulary.items()}
+        every = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+        self.size = np.array([len(t) for t in every], dtype=np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(every), dtype=np.uint8)
+
+    def joined(self, ids: np.ndarray) -> bytes | None:
+        """The ids' bytes; None if one isn't in the table."""
+        if not len(ids):
+            return b""
+        if ids.min() < 0 or ids.max() >= len(self.size) or not (size := self.size[ids]).all():
+            return None
+        ends = np.cumsum(size)
+        return self.data[np.arange(ends[-1]) + np.repeat(self.start[ids] - ends + size, size)].tobytes()
+
+
 @lru_cache(maxsize=4)
-def _table(path: str) -> dict[int, bytes]:
-    shown = {c: b for b, c in enumerate(byte_characters())}
-    vocabulary = {"".join(byte_characters()[b] for b in t): r for t, r in ranks(path).items()}
-    return {r: bytes(shown[c] for c in token) for token, r in vocabulary.items()}
+def _table(path: str) -> Table:
+    return Table(path)
 
 
 def decoded(tokens: Column, path: str) -> Column:
     """The bytes that ids stand for, binary."""
 
     @F.arrow_udf("binary")
+    @tk.lean
     def joined(column: pa.Array) -> pa.Array:
-        table, out = _table(path), []
-        values = column.values.to_numpy(zero_copy_only=False)
-        starts = column.offsets.to_numpy()
-        for k, valid in enumerate(column.is_valid().to_pylist()):
-            try:
-                out.append(b"".join([table[i] for i in values[starts[k] : starts[k + 1]].tolist()]) if valid else None)
-            except KeyError:
-                out.append(None)
-        return pa.array(out, pa.binary())
+        table, values, starts = _table(path), column.values.fill_null(-1).to_numpy(), column.offsets.to_numpy()
+        valid = column.is_valid().to_pylist()
+        return pa.array([table.joined(values[a:b]) if ok else None for a, b, ok in zip(starts, starts[1:], valid)], pa.binary())
 
     return joined(tokens)
 
