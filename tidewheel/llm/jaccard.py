@@ -5,7 +5,7 @@
 2. `plan` chooses the bands and rows with the least number of hash functions whose recall at the threshold is at
    least the target. Band hashes are shuffled, and those that two or more classes share are buckets. Buckets with the same
    members, as the bands of a close pair, are kept once.
-3. Members' full sets go to their buckets, a bucket of more than BLOCK members in pairs of blocks, and every pair of a bucket is verified
+3. Members' full sets go to their buckets, a larger bucket (by members or by their sets' bytes) in pairs of blocks, and every pair of a bucket is verified
    on its full sets. A pair that shares several buckets counts in the one with the smallest name only. A task gives the
    number of links of each member, and a spanning forest of the links instead of all pairs.
 4. Components of the forests are the groups.
@@ -33,7 +33,8 @@ from .scratch import stored
 N, THRESHOLD, RECALL = 5, 0.8, 0.9995
 #: Hash functions at most.
 HASHES = 128
-BLOCK = 256
+#: Members of a block, and bytes of its members' sets, on average: two blocks meet in a task.
+BLOCK, BLOCK_BYTES = 256, 4 << 20
 #: Columns of the membership matrix that a verification holds at a time.
 COLUMNS = 1 << 14
 
@@ -66,6 +67,7 @@ def signed(text: Column, n: int, bands: int, rows: int) -> Column:
     kind = pa.struct([("size", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     @F.arrow_udf("struct<size:long,low:long,high:long,bands:array<long>>")
+    @tk.lean
     def made(column: pa.Array) -> pa.Array:
         texts = tk.as_bytes(column)
         sizes, names, hashed = [], [], []
@@ -187,10 +189,11 @@ def _spread(n: int):
                 for i, row in enumerate(held[a:b]):
                     data, buckets = found[at[i] : at[i + 1]].tobytes(), sorted(x["bucket"] for x in row["in"])
                     for x in row["in"]:
-                        blocks = -(-x["m"] // BLOCK)
+                        blocks = x["blocks"]
                         own = int(tk.mix64(np.array([row["class"] ^ x["bucket"]], dtype=np.int64).view(np.uint64))[0] % np.uint64(blocks))
                         out += ((x["bucket"], min(own, k), max(own, k), own, row["class"], row["copies"], data, buckets) for k in range(blocks))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 8, kinds)], names=names)
+        tk.released()
 
     return spread
 
@@ -203,18 +206,19 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N,
     marked = named.withColumn("s", signed(F.col("text"), n, bands, rows))
     # A class is named by a hash of its set's two 64-bit names and its size.
     name = F.when(F.col("s").isNotNull(), F.xxhash64("s.low", "s.high", "s.size"))
-    marked = stored(marked.select("key", "text_name", name.alias("class"), F.col("s.bands").alias("bands")), "jaccard")
+    marked = stored(marked.select("key", "text_name", name.alias("class"), F.col("s.size").alias("size"), F.col("s.bands").alias("bands")), "jaccard")
     first = F.struct(F.col("key").isNull().alias("none"), "key", "text_name")
-    classes = marked.where("class is not null").groupBy("class").agg(F.count(F.lit(1)).alias("copies"), F.min(first).alias("first"), F.min("bands").alias("bands"))
+    classes = marked.where("class is not null").groupBy("class").agg(F.count(F.lit(1)).alias("copies"), F.min(first).alias("first"), F.min("size").alias("size"), F.min("bands").alias("bands"))
     classes = stored(classes, "jaccard-classes")
 
-    member = classes.select("class", F.posexplode("bands").alias("band", "hash"))
+    member = classes.select("class", "size", F.posexplode("bands").alias("band", "hash"))
     bucket = member.groupBy("band", "hash").agg(
-        F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("sum"), F.min("class").alias("low"), F.max("class").alias("high")
+        F.count(F.lit(1)).alias("m"), F.sum("size").alias("grams"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("sum"), F.min("class").alias("low"), F.max("class").alias("high")
     )
     bucket = bucket.where("m > 1").withColumn("same", F.xxhash64("m", "sum", "low", "high"))
-    one = bucket.groupBy("same").agg(F.min(F.struct("band", "hash")).alias("x"), F.min("m").alias("m")).select("x.band", "x.hash", "same", "m")
-    inside = member.join(one, ["band", "hash"]).groupBy("class").agg(F.collect_list(F.struct(F.col("same").alias("bucket"), "m")).alias("in"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("grams") * 8 / BLOCK_BYTES)).cast("int")
+    one = bucket.groupBy("same").agg(F.min(F.struct("band", "hash")).alias("x"), F.min("m").alias("m"), F.max("grams").alias("grams")).select("x.band", "x.hash", "same", blocks.alias("blocks"))
+    inside = member.join(one, ["band", "hash"]).groupBy("class").agg(F.collect_list(F.struct(F.col("same").alias("bucket"), "blocks")).alias("in"))
     wanted = classes.join(inside, "class").select("class", "copies", "in", F.col("first.key").alias("want_key"), F.col("first.text_name").alias("want_text"))
 
     # The text of one row of each class that shares a bucket.
