@@ -37,8 +37,8 @@ from .scratch import stored
 
 #: About as many labelled texts are learned from; it bounds the fit, not the scoring.
 SAMPLE = 30_000
-#: The lexicon's entries have at least this likelihood ratio (twice the log), and there are at most so many of them.
-EVIDENCE, ENTRIES = 25.0, 20_000
+#: The lexicon's entries have at least this likelihood ratio (twice the log). That takes several texts of the sample each, so the sample bounds their number.
+EVIDENCE = 25.0
 #: And at least this share of the texts that have an entry is of class 1.
 PURITY = 0.75
 #: Of the character model's mass, the lexicon's share.
@@ -65,6 +65,10 @@ _STRIP = " .,;:?\"'()[]{}<>«»“”„-–—_*#%&^~`/\\="
 _PLAIN_CUT = re.compile(r"[^\W\d_]+")
 _TWICE, _THRICE = re.compile(r"([^\W\d_])\1"), re.compile(r"(.)\1\1")
 _BETWEEN = re.compile("[" + re.escape("".join(c for c in SEPARATORS if c not in IMITATES)) + "]+")
+# Letters that one character imitates count as one, and a character that imitates letters as them.
+_LIKE = str.maketrans({"l": "i", "g": "b"} | {c: x[0].translate({108: "i", 103: "b"}) for c, x in IMITATES.items() if c not in SEPARATORS})
+_EITHER = frozenset(IMITATES) & frozenset(SEPARATORS)
+_AGAIN = re.compile(r"(.)\1+")
 _ALONE = "[" + re.escape("".join(c for c in IMITATES if not c.isalnum())) + "]"
 #: Three or more single characters, with anything but letters and digits between two: letters and digits, or characters that imitate letters.
 _SPACED = re.compile(
@@ -103,6 +107,7 @@ def character_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
         for batch in batches:
             for part in joined_slices(batch.column(0).to_pylist()):
                 total += np.bincount(_trigrams(part), minlength=ALPHABET**3)
+        tk.released()
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["cell", "n"])
 
@@ -177,6 +182,11 @@ def suspicious(token: str) -> bool:
     return any(c.isalpha() or c in IMITATES and not c.isdigit() for c in token)
 
 
+def outline(token: str) -> str:
+    """What all whole readings of a token have in common, if it has no character of _EITHER: its letters, with likes as one and repetitions once."""
+    return _AGAIN.sub(r"\1", "".join(filter(str.isalpha, token.translate(_LIKE))))
+
+
 def mixed(token: str) -> bool:
     """Whether a token can't be a plain or a compound word: letters mixed with imitations, or thrice a letter."""
     return _THRICE.search(token) is not None or not token.isalpha() and any(c in IMITATES or c in "*_.-" for c in token) and any(c.isalpha() for c in token)
@@ -197,6 +207,7 @@ class Model:
                 np.add.at(share, _trigrams(word), 1.0)
             counts = counts * (1 - LEXICON_SHARE) + share * (LEXICON_SHARE * max(counts.sum(), 1.0) / share.sum())
         self.lexicon, self.characters, self.curve, self.plain = lexicon, CharacterModel(counts), curve, plain
+        self.outlines = frozenset(map(outline, lexicon))
         self.known: dict[str, tuple[tuple[str, float], ...]] = {}
 
     @property
@@ -218,6 +229,13 @@ class Model:
             out += [self.characters.decode(p) for p in parts if len(p) > 1 and p not in self.plain and suspicious(p)]
         return out
 
+    def may_hide(self, bare: str) -> bool:
+        """False only where no reading of a stripped token has a word of the lexicon: every word read is a run of its outline's letters."""
+        if not _EITHER.isdisjoint(bare):
+            return True
+        own = outline(bare)
+        return own in self.outlines or not bare.isalpha() and _BETWEEN.search(bare) is not None and any(x in own for x in self.outlines)
+
     def restored(self, token: str) -> str:
         """A lower-case token as it is meant; a plain or compound word is read anew only if the reading is a known word."""
         bare = _DRESS.sub("", token).strip(_STRIP)
@@ -231,7 +249,7 @@ class Model:
         """The words in a token, as written, as its letters alone and as restored, that the lexicon knows, with their weights."""
         bare = _DRESS.sub("", token).strip(_STRIP)
         words = _PLAIN_CUT.findall(bare)
-        for read in self.readings(bare):
+        for read in self.readings(bare) if suspicious(bare) and self.may_hide(bare) else ():
             words += _PLAIN_CUT.findall(read)
         if not bare.isalpha():
             words.append("".join(filter(str.isalpha, bare)))
@@ -330,11 +348,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     ratio = 2 * (F.col("n1") * F.log(rate / prior) + F.when(F.col("n0") > 0, F.col("n0") * F.log((1 - rate) / (1 - prior))).otherwise(0.0))
     kept = seen.where((F.col("n1") > 0) & (rate > max(PURITY, prior))).withColumn("ratio", ratio).where(F.col("ratio") >= EVIDENCE)
     odds = lambda r: math.log((r["n1"] + 0.5) / (r["n0"] + 0.5) * (1 - prior) / prior)
-    lexicon = {r["feature"]: odds(r) for r in kept.orderBy(F.desc("ratio"), "feature").limit(ENTRIES).collect()}
+    lexicon = {r["feature"]: odds(r) for r in kept.collect()}
     doubled = seen.where((F.col("n0") >= PLAIN_TEXTS) & (rate <= prior) & F.col("feature").rlike(r"(\p{L})\1"))
     model = Model(lexicon, counts, plain=frozenset(r["feature"] for r in doubled.select("feature").collect()))
 
     @F.arrow_udf("array<double>")
+    @tk.lean
     def seen_by(column: pa.Array) -> pa.Array:
         return pa.array([list(model.inputs(t or "")) for t in column.to_pylist()], pa.list_(pa.float64()))
 
@@ -348,6 +367,7 @@ def score(text: Column, model: Model) -> Column:
     """The score of each text, 0 to 1."""
 
     @F.arrow_udf("double")
+    @tk.lean
     def scored(column: pa.Array) -> pa.Array:
         return pa.array([model.score(t or "") for t in column.to_pylist()], pa.float64())
 
@@ -363,6 +383,7 @@ def restore(docs: DataFrame, model: Model, text: str = "text", out: str = "resto
     """docs with the whole text as it is meant, in lower case, tokens joined by blanks; null stays null."""
 
     @F.arrow_udf("string")
+    @tk.lean
     def read(column: pa.Array) -> pa.Array:
         def one(t: str) -> str:
             spaced = _SPACED.sub(lambda m: " ".join(model.spaced(m[0])[:-1]) or m[0], t.lower())
