@@ -52,6 +52,8 @@ def test_mixing(spark, edge, none):
     _check_mix(rows)
     again = mixing.taken(edge.repartition(3)).collect()
     assert sorted(map(str, ((r["doc_id"], r["taken"]) for r in rows))) == sorted(map(str, ((r["doc_id"], r["taken"]) for r in again)))
+    lean = mixing.shared(mixing.sized(edge))
+    assert "text" not in lean.columns and sorted(map(str, ((r["doc_id"], r["taken"]) for r in rows))) == sorted(map(str, ((r["doc_id"], r["taken"]) for r in lean.collect())))
     mixed = mixing.mix(edge)
     assert mixed.columns == edge.columns and mixing.mix(none).count() == 0
     words = Counter()
@@ -325,6 +327,20 @@ def test_toxicity_of_hidden_words():
     assert model.characters.decode("x1!|0+" * 300)
 
 
+def test_toxicity_skips_no_lattice_that_may_hide_a_word():
+    r, lexicon = random.Random(5), {w: 3.0 for w in "idiot stupid moron scumbag glibly eggs".split()}
+    own, full = (toxicity.Model(lexicon, np.ones(toxicity.ALPHABET**3)) for _ in range(2))
+    full.may_hide = lambda bare: True
+    written = {}
+    for c, letters in toxicity.IMITATES.items():
+        for x in letters:
+            written.setdefault(x, []).append(c)
+    for _ in range(400):
+        word = "".join(r.choice(list(lexicon))[: r.randint(2, 9)] for _ in range(r.randint(1, 2)))
+        token = "".join((r.choice(written[c]) if c in written and r.random() < 0.3 else c) * r.choice([1, 1, 2]) + (r.choice(toxicity.SEPARATORS[1:]) if r.random() < 0.2 else "") for c in word)
+        assert own.says(token) == full.says(token), token
+
+
 def test_toxicity_decodes_the_best_of_all_readings():
     """Against brute force over all readings of short tokens."""
     counts = np.bincount(toxicity._trigrams("bigs of oils zips gobs lists bit slags " * 9), minlength=toxicity.ALPHABET**3)

@@ -6,9 +6,10 @@ sorts a whole source. The sum of words before a row is the sum of its source's e
 within its own range. A source's budget of target words is met by whole epochs and by the rows whose words
 still fit in the last one; the row at the budget's edge gives only its first words.
 
-Only (source, key, size) is shuffled for this. Its outcome is one cut a source, and texts meet the cuts where they
-are: cuts are broadcast while their counted number is at most BROADCAST_SOURCES, beyond it they are joined by
-shuffle.
+Texts are read and hashed once, unless the mixed texts are wanted; (source, key, size) is written, and only that is shuffled. Its outcome is one
+cut a source, and rows meet the cuts where they are: cuts are broadcast while their counted number is at most BROADCAST_SOURCES,
+beyond it they are joined by shuffle. Targets are worked out over one row a source, and ranges over one row for each RANGE_ROWS rows of a
+source, each in one task.
 
 Defined results: a null or empty text has size 0 and takes 0 words; null is a source of its own, last in order. Rows that are
 equal in key and text have one key and share what is left for them alike, each the whole part of its share. A source of no words
@@ -66,9 +67,9 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: floa
     return sums.select("__source", "__total", target.alias("__target"))
 
 
-def cuts(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, seed: int = 0) -> DataFrame:
-    """One row a source: its words, target, whole epochs, the key at the edge, and the words left for each row there."""
-    narrow = _keyed(docs, key, text, source, seed).select("__source", "__key", "__size")
+def cuts(keyed: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5) -> DataFrame:
+    """One row a source of `_keyed` rows: its words, target, whole epochs, the key at the edge, and the words left for each row there."""
+    narrow = keyed.select("__source", "__key", "__size")
     ties = narrow.groupBy("__source", "__key").agg(F.sum("__size").alias("__size"), F.count(F.lit(1)).alias("__rows"))
     ties = stored(ties, "mixing")  # (source, key, size, rows): some 30 bytes a row, read twice below
     totals = ties.groupBy("__source").agg(F.sum("__size").alias("__total"), F.sum("__rows").alias("__count"))
@@ -104,12 +105,26 @@ def cuts(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     return per.select("__source", "__total", "__target", "__epochs", F.col("__edge.__key").alias("__cut"), F.floor(left / F.col("__edge.__rows")).cast("long").alias("__rest"))
 
 
+def sized(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0) -> DataFrame:
+    """docs without their text, written with its size and key for `shared`."""
+    return stored(_keyed(docs, key, text, source, seed).drop(text), "mixing-sizes")
+
+
+def shared(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5) -> DataFrame:
+    """Rows of `sized` with `size`, `source_size`, `target`, `taken` (words, repeats counted) and `epochs` (whole repeats)."""
+    return _met(rows, stored(cuts(rows, weights, share), "mixing-cuts"))
+
+
 def taken(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, seed: int = 0) -> DataFrame:
-    """docs with `size`, `source_size`, `target`, `taken` (words, repeats counted) and `epochs` (whole repeats)."""
-    found = stored(cuts(docs, key, text, source, weights, share, seed), "mixing-cuts")
+    """docs with their text and what `shared` adds; the texts are read again for that."""
+    rows = _keyed(docs, key, text, source, seed)
+    return _met(rows, stored(cuts(stored(rows.select("__source", "__key", "__size"), "mixing-sizes"), weights, share), "mixing-cuts"))
+
+
+def _met(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """`_keyed` rows with what `cuts` gives them."""
     few = found.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     named = found.withColumnRenamed("__source", "__s")
-    rows = _keyed(docs, key, text, source, seed)
     joined = rows.join(F.broadcast(named) if few else named, F.col("__source").eqNullSafe(F.col("__s")))
     last = F.when(F.col("__key") < F.col("__cut"), F.col("__size")).when(F.col("__key") == F.col("__cut"), F.least(F.col("__rest"), F.col("__size"))).otherwise(0)
     out = joined.withColumns(
@@ -124,12 +139,14 @@ def taken(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     return out.drop("__source", "__size", "__key", "__s", "__total", "__target", "__epochs", "__cut", "__rest")
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", chars: str | None = "n_chars", **how) -> DataFrame:
+def mix(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", chars: str | None = "n_chars", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, seed: int = 0
+) -> DataFrame:
     """The mixed documents, with the columns of docs: each row as often as it is taken, the edge's rows cut after their last
     word that is taken. A row without words is kept once, as it costs nothing. `chars`, if docs have it, follows the cut text."""
     columns = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), F.col(key).alias(key), F.col(text).alias(text), F.col(source).alias(source))
-    rows = taken(packed, key, text, source, **how)
+    rows = taken(packed, key, text, source, weights, share, seed)
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
     part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0).cast("int")
     copies = F.concat(F.when(whole > 0, F.array_repeat(F.lit(-1), whole)).otherwise(F.array().cast("array<int>")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))

@@ -23,7 +23,7 @@ def _fold(n: int) -> Column:
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document, at weights 5, 2, 1 and 150 % of all words."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.taken(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.shared(mixing.sized(docs)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
