@@ -224,41 +224,106 @@ def test_lm_base_and_gain(spark):
     assert held[1] > held[0] + 0.05 * abs(held[0])
 
 
+def _local_model(texts):
+    """The totals, the spelling and the n-gram counts of texts, and a function that gives the automaton of other texts."""
+    unit, every = lm.Unit(texts), np.ones(len(texts), dtype=bool)
+    held = [dict(zip(v.tolist(), c.tolist())) for v, c in unit.counted(every)]
+    table = np.zeros(int(lm.Spelling.OFFSETS[-1]), dtype=np.float32)
+    cells, often = unit.cells(every)
+    table[cells] = often
+    totals = lm.Totals(sum(held[0].values()), len(held[0]), table)
+
+    def counts(other):
+        return [np.array([h.get(v, 0) for v in g.values.tolist()], dtype=np.int64) for h, g in zip(held, (other.words, other.pairs, other.triples))]
+
+    return totals, lm.Spelling(table), counts
+
+
+def _brute_score(text, training, spelling):
+    """log10 of a text's probability, by the formulas of the docstring on dictionaries."""
+    tokens = lambda t: [*WORD.findall(t.lower()), "\n"]
+    one, two, three = Counter(), Counter(), Counter()
+    for t in training:
+        own = ["\n", *tokens(t)]
+        one.update(own[1:])
+        two.update(zip(own, own[1:]))
+        three.update(zip(own, own[1:], own[2:]))
+    n = sum(one.values())
+
+    def spelled(w):
+        data = np.frombuffer(w.encode() + b"\n", dtype=np.uint8)
+        return 0.01 if w == "\n" else 0.99 * 10 ** spelling.logs(data, np.array([0]), np.array([len(data) - 1]))[0]
+
+    def alone(w):
+        return max(one[w] - lm.D, 0) / n + lm.D * len(one) / n * spelled(w)
+
+    def after(h, w):
+        v = (1 + one[h] / lm.KNEE[0]) ** -lm.SLOPE[0]
+        return (1 - v) * two[h, w] / max(one[h], 1) + v * alone(w)
+
+    def last(g, h, w):
+        v = (1 + two[g, h] / lm.KNEE[1]) ** -lm.SLOPE[1]
+        return (1 - v) * three[g, h, w] / max(two[g, h], 1) + v * after(h, w)
+
+    own = ["\n", *tokens(text)]
+    return np.log10(after(own[0], own[1])) + sum(np.log10(last(*own[i - 2 : i + 1])) for i in range(2, len(own)))
+
+
+def _small_corpus(seed, texts, words="a b c dd eé ff".split()):
+    r = random.Random(seed)
+    return [" ".join(r.choice(words) for _ in range(r.randint(0, 30))) for _ in range(texts)]
+
+
+@pytest.mark.parametrize("fan", [256, 2])
+def test_lm_by_brute_force(spark, fan):
+    """Units that ask each other directly, and over several levels of a tree, score as dictionaries of the whole corpus do."""
+    train, rest = _small_corpus(1, 40), _small_corpus(2, 12, "a b c dd zz Qx".split())
+    docs = spark.createDataFrame([(i, t, i < 40) for i, t in enumerate(train + rest)], "doc_id long, text string, own boolean").repartition(5)
+    got = {r["doc_id"]: r for r in lm.score(docs, F.col("own"), unit=150, fan=fan).collect()}
+    assert len(got) == 52
+    table = _local_model([t.encode() for t in train])[1]
+    for i, t in enumerate(train + rest):
+        want = _brute_score(t, train, table)
+        assert abs(got[i]["score"] - want) < 1e-5 * max(1, abs(want)), (i, t)
+
+
+def test_lm_reads_pieces_of_a_text_as_the_whole():
+    train = [t.encode() for t in _small_corpus(3, 30)]
+    totals, spelling, counts = _local_model(train)
+    unit = lm.Unit([t.encode() for t in _small_corpus(4, 9, "a b c dd zz".split())] + [b"a b " * 900])
+    automaton = lm.Automaton(unit, counts(unit), totals, spelling)
+    assert np.allclose(automaton.read(unit, 10**6), automaton.read(unit, 3)) and np.allclose(automaton.read(unit, 10**6), automaton.read(unit))
+
+
 def test_lm_is_a_distribution():
-    """Probabilities of all next tokens sum to one: of words after a word, and of bytes in the spelling."""
-    texts = [b"a b a b a c", b"b c", b"c c a"]
-    done, cells = lm._ngrams(texts, np.ones(3, dtype=bool), True)
-    table = np.bincount(cells, minlength=int(lm.Spelling.OFFSETS[-1])).astype(np.float32)
-    (words, counts), (pairs, pair_counts) = done
-    totals = lm.Totals(int(counts.sum()), len(words), table)
-
-    def score(text):
-        own, _ = lm._ngrams([text], np.zeros(1, dtype=bool), False)
-        known = [dict(zip(k.tolist(), c.tolist())) for k, c in ((words, counts), (pairs, pair_counts))]
-        held = [np.array([known[i].get(h, 0) for h in own[i][0].tolist()]) for i in (0, 1)]
-        return lm._scores([text], own[0][0], held[0], own[1][0], held[1], totals, lm.Spelling(table))[0][0, 3]
-
-    # log p(x) of texts "x": p(x) p(end | x); of the unigram part, known tokens and the discounted mass make one.
-    known = np.maximum(counts - lm.D, 0).sum() / totals.tokens + lm.D * totals.different / totals.tokens
-    assert abs(known - 1) < 1e-9
-    spelling = lm.Spelling(table)
+    """In every state the probabilities of all next tokens sum to one: those of known ones, and the share of the unknown ones' spelling."""
+    train = [t.encode() for t in _small_corpus(6, 25)]
+    totals, spelling, counts = _local_model(train)
+    unit = lm.Unit(train)
+    automaton = lm.Automaton(unit, counts(unit), totals, spelling)
+    words = np.arange(len(unit.words.values))
+    assert automaton.known.all()
+    at = unit.words.first
+    q = np.array([0.01 if unit.start[p] < 0 else 0.99 * 10 ** spelling.logs(unit.data, unit.start[[p]], unit.end[[p]])[0] for p in at])
+    for state in np.flatnonzero(automaton.fail != 1 + unit.end_word).tolist():  # nothing is read after a text's end
+        logs, to = automaton.step(np.full(len(words), state), words)
+        assert (to > 0).all()
+        unknown, s = np.log(lm.D * totals.different / totals.tokens), state
+        while s:
+            unknown, s = unknown + automaton.weight[s], automaton.fail[s]
+        assert abs(np.exp(logs).sum() + np.exp(unknown) * (1 - q.sum()) - 1) < 1e-6, state
     first = 10 ** np.array([_first_byte(spelling, b) for b in range(256)])
     assert abs(first.sum() - 1) < 1e-6
-    assert score(b"a b") > score(b"b a") - 5 and np.isfinite(score(b"zzz \xc3\xa9"))
 
 
 def test_lm_long_unknown_tokens():
     """The price of an unknown word is its whole spelling, however long it is."""
-    texts = [b"a b a b a c", b"b c", b"c c a"]
-    done, cells = lm._ngrams(texts, np.ones(3, dtype=bool), True)
-    table = np.bincount(cells, minlength=int(lm.Spelling.OFFSETS[-1])).astype(np.float32)
-    (words, counts), _ = done
-    totals, spelling = lm.Totals(int(counts.sum()), len(words), table), lm.Spelling(table)
+    totals, spelling, counts = _local_model([b"a b a b a c", b"b c", b"c c a"])
     for n in (10, 300, 5000):
-        for of in (totals, lm.Totals(0, 0, table)):
-            own, _ = lm._ngrams([b"x" * n], np.zeros(1, dtype=bool), False)
-            none = [np.zeros(len(own[k][0]), np.int64) for k in (0, 1)]
-            got = lm._scores([b"x" * n], own[0][0], none[0], own[1][0], none[1], of, spelling)[0][0, 3]
+        for of in (totals, lm.Totals(0, 0, totals.cells)):
+            unit = lm.Unit([b"x" * n])
+            none = [np.zeros(len(g.values), np.int64) for g in (unit.words, unit.pairs, unit.triples)]
+            got = lm._scores([b"x" * n], none, of, spelling)[0, 3]
             q = spelling.logs(np.frombuffer(b"x" * n + b"\n", dtype=np.uint8), np.array([0]), np.array([n]))[0] + np.log10(0.99)
             share = np.log10(lm.D * of.different / of.tokens) if of.tokens else 0.0
             assert abs(got - (share + q + share + np.log10(0.01))) < 1e-6 * abs(q), n

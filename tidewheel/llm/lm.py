@@ -1,23 +1,25 @@
 """Language-model scores by a weighted backoff automaton over words and, below them, over letters.
 
-States are contexts: the last word, no word, and within an unknown word its last bytes. A state's arcs carry the
-log-probability of a token; a token without an arc follows the failure arc to the next shorter context, whose weight is
-added. No automaton is built: the state is one word at most, so looking up each token's word and word pair gives the same sums, for all
-tokens of a text at once. An end token closes a text.
-
-* word after word:  p(w|h) = (1 - v) c(hw) / c(h) + v p(w); the failure weight v = (1 + c(h) / KNEE) ** -SLOPE falls with the
-  context's count as the share of new words does that one meets in running text; it is 1 for an unseen context
-* word alone:       p(w) = max(c(w) - D, 0) / N + D V / N q(w): absolute discounting, whose failure weight is D V / N
-* spelling:         q(w), the product over a word's bytes and an end of byte probabilities, each after up to three bytes, longer
+States are contexts of the training texts: no word (the root), a word, or two words; the start of a text counts as a word, which is
+the end of another. A state's arcs carry log-probabilities of a next token and lead to the state of the longest known context that the
+token makes. A token without an arc follows the state's failure arc to the context without its first word, whose weight is
+added. At the root, a token without an arc is spelled. A text is read once, from left to right, with its state: see `Automaton`.
+
+* after two words: p(w|gh) = (1 - v) c(ghw) / c(gh) + v p(w|h), and after one, p(w|h) = (1 - v) c(hw) / c(h) + v p(w); the failure weight
+  v = (1 + c / KNEE) ** -SLOPE of the context's count c falls as the share of new words does that one meets in running text; 1 for c = 0
+* word alone: p(w) = max(c(w) - D, 0) / N + D V / N q(w): absolute discounting, whose failure weight is D V / N
+* spelling: q(w), the product over a word's bytes and an end of byte probabilities, each after up to three bytes, longer
   contexts backing off to shorter ones in the same way; contexts of three bytes share rows of a table by hash.
 
 Every level sums to one, so scores are log-probabilities of texts. Counts are taken over all training texts, whole.
 
 How it is distributed. Texts are packed, in the order they are read, into units of about UNIT bytes, which are
-written once. Each unit asks for its different words and word pairs (64-bit hashes), already counted within
-the unit; requests are grouped by parts of the hash space, summed up there over all units, and the sums go back to the
-units that asked. So what is shuffled are the units' different n-grams, not their tokens, and no task ever holds the whole
-model. The table of byte counts has a fixed size and is broadcast.
+written once. Each unit asks for its different n-grams (hashes), already counted within the unit, and builds the part of the automaton that its
+texts can pass from the sums. Requests go up a tree: FAN units' requests for one of FAN ranges of the hashes meet in a task, which
+sums them; where there are more than FAN units, the sums go on, in FAN narrower ranges, to be met by those of FAN such groups, and so on;
+the sums of the last step go the same way back. So a unit has FAN rows for each order and a level adds no more than that, every task
+holds about a unit's n-grams, and what is shuffled are different n-grams, not tokens. No task holds the whole model. The
+table of byte counts has a fixed size and is broadcast.
 
 Defined results: null is the empty text, which is one end token; tokens are words with A-Z in lower case. Without training
 rows every token is unknown. Repeated rows count and score separately. Columns of the outputs' names are replaced.
@@ -36,54 +38,91 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .scratch import stored
 
-#: Bytes of text that a task reads, counts and scores together, and of text whose n-grams a task sums up. Every unit has a row for every
-#: part, so on a corpus of many terabytes units are made larger, as far as executors' memory goes: about 30 bytes for each byte of a unit.
-UNIT, PART = 8 << 20, 16 << 20
-#: Of the failure weights.
-KNEE, SLOPE, D = 20.0, 0.2, 0.7
+#: Bytes of text that a task reads, counts and scores together, and how many requests meet in a task.
+UNIT, FAN = 8 << 20, 256
+#: Of the failure weights of one and of two words, and of the words alone.
+KNEE, SLOPE, D = (20.0, 5.0), (0.2, 0.3), 0.7
+#: Tokens of a long text that are read in one go: pieces of a text are read side by side, each after the two tokens before it, which lead from any state to the text's own.
+PIECE = 512
 #: Rows of the byte tables, by number of bytes of context, and pseudo-counts.
 ROWS, BYTE_A = (1, 1 << 8, 1 << 12, 1 << 14), 4.0
+ORDERS = (1, 2, 3)
 _LN10 = np.log(10.0)
 _END = np.uint64(0xE7D0C0DE5EED0001)
 
 
-class Tokens:
-    """Tokens of texts: words and an end after each text."""
-
-    def __init__(self, texts: list[bytes]):
-        found = tk.words([t.lower() for t in texts])
-        count = np.bincount(found.doc, minlength=len(texts)) + 1
-        self.ends = np.cumsum(count)
-        total = int(self.ends[-1]) if len(texts) else 0
-        self.doc = np.repeat(np.arange(len(texts)), count)
-        self.hash = np.full(total, _END, dtype=np.uint64)
-        is_word = np.ones(total, dtype=bool)
-        is_word[self.ends - 1] = False
-        self.hash[is_word] = found.hash
-        self.word = np.full(total, -1, dtype=np.int64)
-        self.word[is_word] = np.arange(len(found.hash))
-        self.found, self.count = found, count
-
-    def pairs(self) -> np.ndarray:
-        """A hash of each token and the one before it; an end stands before a text's first. 48 bits, as they only meet their like."""
-        before = np.concatenate((np.array([_END]), self.hash[:-1]))
-        return tk.mix64(before * np.uint64(0x9FB21C651E98DF25) + self.hash) >> np.uint64(16) << np.uint64(16)
-
-    def before(self, counts: np.ndarray, end: int) -> np.ndarray:
-        """The count of the token before each, given every token's own and the end's."""
-        return np.concatenate(([end], counts[:-1]))
-
-
 def _sums(hashes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different hashes in order, and the sum of their weights."""
     if not len(hashes):
         return hashes, np.zeros(0, np.int64)
-    order = np.argsort(hashes, kind="stable")
+    order = np.argsort(hashes)
     hashes, sums = hashes[order], np.concatenate(([0], np.cumsum(weights[order])))
     first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
     return hashes[first], np.diff(sums[np.append(first, len(hashes))])
 
 
+class Grams:
+    """Different n-grams of one order: hashes in order, the number of each place's n-gram, and a place of each."""
+
+    def __init__(self, hashes: np.ndarray):
+        order = np.argsort(hashes)
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+        self.first = order[new]
+        self.values = hashes[self.first]
+        self.number = np.empty(len(order), dtype=np.int32)
+        self.number[order] = np.cumsum(new) - 1
+
+    def counts(self, learned: np.ndarray) -> np.ndarray:
+        return np.bincount(self.number, weights=learned, minlength=len(self.values)).astype(np.int64)
+
+
+class Unit:
+    """The tokens of texts, in order: words, and an end after each text; and their n-grams."""
+
+    def __init__(self, texts: list[bytes]):
+        parts, at = [], 0
+        for a, b in tk.slices(texts):
+            found = tk.words([t.lower() for t in texts[a:b]])
+            count = np.bincount(found.doc, minlength=b - a) + 1
+            word = np.ones(int(count.sum()), dtype=bool)
+            word[np.cumsum(count) - 1] = False
+            token, start, end = np.full(len(word), _END), np.full(len(word), -1), np.full(len(word), -1)
+            token[word], start[word], end[word] = found.hash, found.start + at, found.end + at
+            parts.append((found.data, token, start, end, count))
+            at += len(found.data)
+        self.data, token, self.start, self.end, self.count = (np.concatenate(x) for x in zip(*parts))
+        self.begin = np.cumsum(self.count) - self.count
+        self.opens = np.zeros(len(token), dtype=bool)
+        self.opens[self.begin] = True
+        before = np.where(self.opens, _END, np.concatenate((token[:1], token[:-1])))
+        # 48 bits, as only n-grams of one order meet.
+        pair = tk.mix64(before * np.uint64(0x9FB21C651E98DF25) + token) >> np.uint64(16) << np.uint64(16)
+        #: Places with two tokens before them, of which the start may be one.
+        self.inner = np.flatnonzero(~self.opens)
+        triple = tk.mix64(pair[self.inner - 1] * np.uint64(0xD6E8FEB86659FD93) + token[self.inner]) >> np.uint64(16) << np.uint64(16)
+        self.words, self.pairs, self.triples = Grams(token), Grams(pair), Grams(triple)
+        self.end_word = int(np.searchsorted(self.words.values, _END))
+
+    def counted(self, training: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The different n-grams of each order, and their counts in the training texts."""
+        learned = np.repeat(training, self.count)
+        return [(g.values, g.counts(x)) for g, x in ((self.words, learned), (self.pairs, learned), (self.triples, learned[self.inner]))]
+
+    def cells(self, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cells of the spelling of the training texts' words, and their counts."""
+        often = self.words.counts(np.repeat(training, self.count))
+        words = np.flatnonzero((often > 0) & (self.start[self.words.first] >= 0))
+        values, weights = [], []
+        for own in np.array_split(words, len(words) // (1 << 15) + 1):
+            at = self.words.first[own]
+            cells, word = Spelling.cells(self.data, self.start[at], self.end[at])
+            one = _sums(cells.ravel(), np.repeat(often[own][word], cells.shape[1]))
+            values.append(one[0])
+            weights.append(one[1])
+        return _sums(np.concatenate(values), np.concatenate(weights))
+
+
 class Spelling:
     """Byte counts after contexts of 0 to 3 bytes, as rows of 256; 0x20 ends a word and fills contexts before its start."""
 
@@ -172,81 +211,96 @@ def _read_counts(n: int, coded: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(coded, 4 * n, "zstd", asbytes=True), dtype=np.uint32).astype(np.int64)
 
 
-def _ngrams(texts: list[bytes], training: np.ndarray, spelled: bool) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """Of one unit: its different words and its different pairs, with their counts in its training texts; and, if
-    `spelled`, the cells of its different training words' bytes."""
-    kept: list[list[np.ndarray]] = [[], [], [], []]
-    cells, known = [], np.zeros(0, dtype=np.uint64)
-    for a, b in tk.slices(texts):
-        tokens = Tokens(texts[a:b])
-        learned = training[a:b][tokens.doc]
-        for k, hashes in enumerate((tokens.hash, tokens.pairs())):
-            own, sums = _sums(hashes, learned.astype(np.int64))
-            kept[2 * k].append(own)
-            kept[2 * k + 1].append(sums)
-        if spelled:
-            words = np.flatnonzero(learned & (tokens.word >= 0))
-            own, first = np.unique(tokens.hash[words], return_index=True)
-            new = ~np.isin(own, known)
-            known = np.concatenate((known, own[new]))
-            chosen = tokens.word[words[first[new]]]
-            if len(chosen):
-                cells.append(Spelling.cells(tokens.found.data, tokens.found.start[chosen], tokens.found.end[chosen])[0].ravel().astype(np.int32))
-    done = [_sums(np.concatenate(kept[i] or [np.zeros(0, np.uint64)]), np.concatenate(kept[i + 1] or [np.zeros(0, np.int64)])) for i in (0, 2)]
-    return done, np.concatenate(cells or [np.zeros(0, np.int32)])
-
-
-def _shares(values: np.ndarray, parts: int, bits: int) -> np.ndarray:
-    """Where each of `parts` equal parts of the numbers below 2**bits begins in ascending values."""
-    edges = [min((p << bits) // parts, (1 << bits) - 1) for p in range(parts)]
-    return np.append(np.searchsorted(values, np.array(edges, dtype=np.uint64)), len(values))
-
-
-def _requests(parts: int):
-    """Rows (part, unit, order, n, values, counts): the n-grams that a unit asks for, and, of order 0, its byte counts."""
+def _requests(fan: int):
+    """Rows (unit, order, part, n, values, counts): the n-grams that a unit asks for, and, of order 0, its byte counts."""
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in ("unit", "sizes", "texts", "training")}
-                done, cells = _ngrams(_texts(row["sizes"], row["texts"]), np.array(row["training"], dtype=bool), True)
-                spelled = np.unique(cells, return_counts=True)
+                unit, training = Unit(_texts(row["sizes"], row["texts"])), np.array(row["training"], dtype=bool)
+                held = [unit.cells(training), *unit.counted(training)]
+                del unit
                 out = []
-                for order, (values, counts) in enumerate([(spelled[0].astype(np.uint64), spelled[1]), *done]):
-                    bounds = _shares(values, parts, 64 if order else int(Spelling.OFFSETS[-1]).bit_length()).tolist()
-                    for p, (a, b) in enumerate(zip(bounds, bounds[1:])):
-                        if b > a:
-                            out.append((p, row["unit"], order, b - a, _coded(values[a:b]), _counts(counts[a:b])))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 6, kinds)], names=["part", "unit", "order", "n", "values", "counts"]
-                )
+                for order, (values, counts) in enumerate(held):
+                    out += _ranges(row["unit"], order, 0, 0, values.astype(np.uint64), counts, fan)
+                yield from _table(out, _ASKED).to_batches()
+        tk.released()
 
     return asked
 
 
-_ANSWER = "part int, unit long, order int, n long, values binary, counts binary, totals array<long>"
+_ASKED = pa.schema([("unit", pa.int64()), ("order", pa.int32()), ("part", pa.int64()), ("n", pa.int64()), ("values", pa.binary()), ("counts", pa.binary())])
+_ANSWER = pa.schema([*_ASKED, ("totals", pa.list_(pa.int64()))])
+_ASKED_SQL = "unit long, order int, part long, n long, values binary, counts binary"
 
 
-def _answers(group: pa.Table) -> pa.Table:
-    """The sums of one order in one part of the values, given back to each unit that asked; and a row without a unit, with the
-    totals, and for byte counts with all sums."""
-    order, part = group["order"][0].as_py(), group["part"][0].as_py()
-    sizes, units = group["n"].to_pylist(), group["unit"].to_pylist()
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * len(schema), schema)], schema=schema)
+
+
+def _ranges(unit: int, order: int, part: int, level: int, values: np.ndarray, counts: np.ndarray, fan: int) -> list[tuple]:
+    """Rows of a request, in `fan` parts of the range that `part` is at a level: of 2 ** (64 - level * log2(fan)) hashes, and of all byte
+    counts, which are few enough to stay in the parts of the first level."""
+    if order == 0:
+        if level:
+            return [(unit, 0, part, len(values), _coded(values), _counts(counts))]
+        bounds = np.searchsorted(values, np.arange(fan + 1) * int(Spelling.OFFSETS[-1]) // fan)
+    else:
+        width = fan.bit_length() - 1
+        own = (values >> np.uint64(64 - width * (level + 1))) & np.uint64(fan - 1)
+        bounds = np.searchsorted(own, np.arange(fan + 1, dtype=np.uint64))
+    bounds = bounds.tolist()
+    return [(unit, order, part * fan + p, b - a, _coded(values[a:b]), _counts(counts[a:b])) for p, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
+
+
+def _met(group: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The values of each request, all different values, and their sums."""
+    sizes = group["n"].to_pylist()
     values = [_decoded(n, v) for n, v in zip(sizes, group["values"].to_pylist())]
     counts = [_read_counts(n, v) for n, v in zip(sizes, group["counts"].to_pylist())]
-    own, sums = _sums(np.concatenate(values), np.concatenate(counts))
-    totals = [int(sums.sum()), int((sums > 0).sum())]
+    return values, *_sums(np.concatenate(values), np.concatenate(counts))
+
+
+def _given(group: pa.Table, values: list[np.ndarray], own: np.ndarray, sums: np.ndarray, more: tuple = ()) -> list[tuple]:
+    """Rows that give each request the sums of its values."""
+    order, part = group["order"][0].as_py(), group["part"][0].as_py()
+    return [(unit, order, part, len(v), None, _counts(sums[np.searchsorted(own, v)]), *more) for unit, v in zip(group["unit"].to_pylist(), values)]
+
+
+def _last(group: pa.Table) -> pa.Table:
+    """Where all requests for a range meet: their answers, and a row without a unit, with the range's totals or byte counts."""
+    order, part = group["order"][0].as_py(), group["part"][0].as_py()
+    values, own, sums = _met(group)
     if order == 0:
-        return pa.table([pa.array(c, k) for c, k in zip(([part], [None], [0], [len(own)], [_coded(own)], [_counts(sums)], [totals]), _KINDS)], names=_NAMES)
-    back = [_counts(sums[np.searchsorted(own, v)]) for v in values]
-    m = len(back)
-    columns = ([part] * (m + 1), [*units, None], [order] * (m + 1), [*sizes, 0], [None] * (m + 1), [*back, None], [*[None] * m, totals])
-    return pa.table([pa.array(c, k) for c, k in zip(columns, _KINDS)], names=_NAMES)
+        return _table([(None, 0, part, len(own), _coded(own), _counts(sums), None)], _ANSWER)
+    totals = [int(sums.sum()), int((sums > 0).sum())]
+    return _table([*_given(group, values, own, sums, (None,)), (None, order, part, 0, None, None, totals)], _ANSWER)
+
+
+def _answers(requests: DataFrame, n: int, level: int, fan: int) -> tuple[DataFrame, DataFrame]:
+    """The sums that each of n units asked for, and the totals of all."""
+    if n <= fan:
+        answers = stored(requests.groupBy("part", "order").applyInArrow(_last, _ASKED_SQL + ", totals array<long>"), "lm-answers")
+        return answers.where("unit is not null").drop("totals"), answers.where("unit is null")
+    groups = -(-n // fan)
+    grouped = stored(requests, "lm-requests").withColumn("over", F.pmod("unit", F.lit(groups)))
 
+    def summed(group: pa.Table) -> pa.Table:
+        _, own, sums = _met(group)
+        return _table(_ranges(group["over"][0].as_py(), group["order"][0].as_py(), group["part"][0].as_py(), level + 1, own, sums, fan), _ASKED)
 
-_KINDS = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-_NAMES = ["part", "unit", "order", "n", "values", "counts", "totals"]
+    def handed(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _table([], _ASKED)
+        values, own, _ = _met(left)
+        sums = np.concatenate([_read_counts(n, c) for _, n, c in sorted(zip(right["part"].to_pylist(), right["n"].to_pylist(), right["counts"].to_pylist()))])
+        return _table(_given(left, values, own, sums), _ASKED)
+
+    above, totals = _answers(grouped.groupBy("over", "part", "order").applyInArrow(summed, _ASKED_SQL), groups, level + 1, fan)
+    above = above.withColumns({"over": F.col("unit"), "under": F.floor(F.col("part") / fan)})
+    below = grouped.where("order > 0").groupBy("over", "part", "order").cogroup(above.groupBy("over", "under", "order"))
+    return stored(below.applyInArrow(handed, _ASKED_SQL), "lm-answers"), totals
 
 
 class Totals:
@@ -256,66 +310,126 @@ class Totals:
         self.tokens, self.different, self.cells = tokens, different, cells
 
 
-def _scores(texts: list[bytes], words: np.ndarray, word_counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, totals: Totals, spelling: Spelling) -> list[np.ndarray]:
-    """Of each text: tokens, known tokens, base score, score."""
-    n, out = totals.tokens, []
-    end_at = np.searchsorted(words, _END)
-    end = int(word_counts[end_at]) if end_at < len(words) and words[end_at] == _END else 0
-    for a, b in tk.slices(texts):
-        tokens = Tokens(texts[a:b])
-        c = word_counts[np.searchsorted(words, tokens.hash)]
-        q = np.full(len(c), np.log10(0.01))
-        is_word = np.flatnonzero(tokens.word >= 0)
-        different, first, where = np.unique(tokens.hash[is_word], return_index=True, return_inverse=True)
-        chosen = tokens.word[is_word[first]]
-        if len(different):
-            q[is_word] = np.log10(0.99) + spelling.logs(tokens.found.data, tokens.found.start[chosen], tokens.found.end[chosen])[where]
-        # In logarithms throughout: an unknown word of many bytes is less likely than floating-point numbers go.
-        seen = tokens.before(c, end)
-        fail = (1 + seen / KNEE) ** -SLOPE
-        held = pair_counts[np.searchsorted(pairs, tokens.pairs())]
-        with np.errstate(divide="ignore"):
-            alone = np.logaddexp(np.log(np.maximum(c - D, 0) / n), np.log(D * totals.different / n) + q * _LN10) if n else q * _LN10
-            after = np.logaddexp(np.log((1 - fail) * held / np.maximum(seen, 1)), np.log(fail) + alone) / _LN10
-        base = np.log10((c + 0.1) / (n + 0.1 * (totals.different + 1)))
-        begin = tokens.ends - tokens.count
-        out.append(np.stack([tokens.count, np.add.reduceat(c > 0, begin, dtype=np.int64), np.add.reduceat(base, begin), np.add.reduceat(after, begin)], axis=1))
-    return out
+class Automaton:
+    """What the texts of a unit can pass of the automaton, given the counts of the unit's n-grams.
 
+    State 0 is the root, 1 + i the unit's word i, and after these stand its pairs. An arc's key is its state and its word. The
+    root's arcs are the words themselves; those that are unknown are spelled, and lead back to the root."""
 
-def score(docs: DataFrame, training: Column, text: str = "text", prefix: str = "", unit: int = UNIT, part: int = PART) -> DataFrame:
+    def __init__(self, unit: Unit, counts: list[np.ndarray], totals: Totals, spelling: Spelling):
+        one, two, three = counts
+        words, pairs, triples, n = unit.words, unit.pairs, unit.triples, totals.tokens
+        spelled = np.full(len(words.values), np.log(0.01))
+        places = np.flatnonzero(unit.start[words.first] >= 0)
+        at = words.first[places]
+        spelled[places] = np.log(0.99) + spelling.logs(unit.data, unit.start[at], unit.end[at]) * _LN10
+        ways = [np.log((1 + c / knee) ** -slope) for c, knee, slope in ((one, KNEE[0], SLOPE[0]), (two, KNEE[1], SLOPE[1]))]
+        with np.errstate(divide="ignore"):
+            self.root = np.logaddexp(np.log(np.maximum(one - D, 0) / n), np.log(D * totals.different / n) + spelled) if n else spelled
+        self.known = one > 0
+        second = words.number[pairs.first].astype(np.int64)
+        first = np.where(unit.opens[pairs.first], unit.end_word, words.number[pairs.first - 1]).astype(np.int64)
+        base = 1 + len(words.values)
+        self.weight = np.concatenate(([0.0], *ways))
+        self.fail = np.concatenate((np.zeros(base, dtype=np.int64), 1 + second))
+
+        def arc(held: np.ndarray, seen: np.ndarray, way: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+            return np.logaddexp(np.log(-np.expm1(way)) + np.log(held) - np.log(seen), way + shorter)
+
+        some = np.flatnonzero(two)
+        after = np.full(len(two), -np.inf)
+        after[some] = arc(two[some], one[first[some]], ways[0][first[some]], self.root[second[some]])
+        keys, logs, to = [(1 + first[some]) << 32 | second[some]], [after[some]], [base + some]
+        some = np.flatnonzero(three)
+        place = unit.inner[triples.first[some]]
+        context, last = pairs.number[place - 1].astype(np.int64), pairs.number[place].astype(np.int64)
+        keys.append((base + context) << 32 | words.number[place])
+        logs.append(arc(three[some], two[context], ways[1][context], after[last]))
+        to.append(base + last)
+        keys = np.concatenate(keys)
+        order = np.argsort(keys)
+        self.keys, self.logs, self.to = keys[order], np.concatenate(logs)[order], np.concatenate(to)[order]
+        self.start = 1 + unit.end_word if self.known[unit.end_word] else 0
+
+    def step(self, states: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Reads a word in each state: the logarithms of their probabilities, and the next states."""
+        total, at, out = np.zeros(len(states)), states.copy(), np.zeros(len(states), dtype=np.int64)
+        todo = np.arange(len(states))
+        while len(todo):
+            own, word = at[todo], words[todo]
+            ends = own == 0
+            done = todo[ends]
+            total[done] += self.root[word[ends]]
+            out[done] = np.where(self.known[word[ends]], 1 + word[ends], 0)
+            todo, own, word = todo[~ends], own[~ends], word[~ends]
+            if not len(todo):
+                break
+            key = own << 32 | word
+            arc = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[arc] == key
+            total[todo[hit]] += self.logs[arc[hit]]
+            out[todo[hit]] = self.to[arc[hit]]
+            todo, own = todo[~hit], own[~hit]
+            total[todo] += self.weight[own]
+            at[todo] = self.fail[own]
+        return total, out
+
+    def read(self, unit: Unit, piece: int = PIECE) -> np.ndarray:
+        """log10 of the probability of each text."""
+        word = unit.words.number.astype(np.int64)
+        pieces = -(-unit.count // piece)
+        text = np.repeat(np.arange(len(unit.count)), pieces)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = unit.begin[text] + nth * piece
+        size = np.minimum(piece, unit.begin[text] + unit.count[text] - begin)
+        order = np.argsort(-size, kind="stable")
+        text, nth, begin, size = text[order], nth[order], begin[order], size[order]
+        states, sums = np.where(nth == 0, self.start, 0), np.zeros(len(text))
+        later = np.flatnonzero(nth > 0)
+        for back in (2, 1):
+            states[later] = self.step(states[later], word[begin[later] - back])[1]
+        live = len(size) - np.searchsorted(size[::-1], np.arange(int(size[0])), side="right")
+        for i, m in enumerate(live.tolist()):
+            logs, states[:m] = self.step(states[:m], word[begin[:m] + i])
+            sums[:m] += logs
+        return np.bincount(text, weights=sums, minlength=len(unit.count)) / _LN10
+
+
+def _scores(texts: list[bytes], counts, totals: Totals, spelling: Spelling) -> np.ndarray:
+    """Of each text: tokens, known tokens, base score, score. counts: of the unit's n-grams of each order, ascending by hash."""
+    unit = Unit(texts)
+    one = counts[0][unit.words.number]
+    base = np.log10((one + 0.1) / (totals.tokens + 0.1 * (totals.different + 1)))
+    score = Automaton(unit, counts, totals, spelling).read(unit)
+    return np.stack([unit.count, np.add.reduceat(one > 0, unit.begin, dtype=np.int64), np.add.reduceat(base, unit.begin), score], axis=1)
+
+
+def score(docs: DataFrame, training: Column, text: str = "text", prefix: str = "", unit: int = UNIT, fan: int = FAN) -> DataFrame:
     """docs with `n_tokens`, `n_known`, `train_tokens`, `base_score` and `score`, each named with the prefix.
 
-    training is a condition on columns of docs that marks the rows to learn from. All columns of docs ride with the texts."""
+    training is a condition on columns of docs that marks the rows to learn from. All columns of docs ride with the texts. fan is a power of two."""
     spark = docs.sparkSession
     row = F.struct(F.col(text).isNull().alias("__null"), *[F.col(f"`{c}`") for c in docs.columns if c != text])
     units = stored(_units(docs.select(F.col(text).alias(text), F.coalesce(training, F.lit(False)).alias("__training"), row.alias("__row")), text, F.col("__training"), unit), "lm-units")
-    n = units.count()
-    parts = max(8, -(-n * unit // part))
-    asked = units.mapInArrow(_requests(parts), "part int, unit long, order int, n long, values binary, counts binary")
-    answers = stored(asked.groupBy("part", "order").applyInArrow(_answers, _ANSWER), "lm-answers")
-    tokens = different = 0
+    given, sums = _answers(units.mapInArrow(_requests(fan), _ASKED_SQL), units.count(), 0, fan)
+    total = sums.where("order = 1").agg(F.sum(F.get("totals", F.lit(0))), F.sum(F.get("totals", F.lit(1)))).first()
+    tokens, different = total[0] or 0, total[1] or 0
     cells = np.zeros(int(Spelling.OFFSETS[-1]), dtype=np.int64)
-    for r in answers.where("unit is null").select("order", "n", "values", "counts", "totals").toLocalIterator():  # as many as parts, and the byte table
-        if r["order"] == 1:
-            tokens, different = tokens + r["totals"][0], different + r["totals"][1]
-        elif r["order"] == 0:
-            cells[_decoded(r["n"], bytes(r["values"])).astype(np.int64)] = _read_counts(r["n"], bytes(r["counts"]))
+    for r in sums.where("order = 0").select("n", "values", "counts").toLocalIterator():  # at most fan rows: the byte table
+        cells[_decoded(r["n"], bytes(r["values"])).astype(np.int64)] = _read_counts(r["n"], bytes(r["counts"]))
     held = spark.sparkContext.broadcast(Totals(tokens, different, cells.astype(np.float32)))
     kinds = units.schema["rows"].dataType.elementType
     names = [f"{prefix}{c}" for c in ("n_tokens", "n_known", "train_tokens", "base_score", "score")]
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         totals: Totals = held.value
-        spelling = Spelling(totals.cells)
-        parts_of: dict[int, list] = {1: [], 2: []}
-        for r in sorted(zip(right["order"].to_pylist(), right["part"].to_pylist(), right["n"].to_pylist(), right["counts"].to_pylist())):
-            parts_of[r[0]].append(_read_counts(r[2], r[3]))
+        parts_of: dict[int, list] = {k: [] for k in ORDERS}
+        for order, _, n, counts in sorted(zip(right["order"].to_pylist(), right["part"].to_pylist(), right["n"].to_pylist(), right["counts"].to_pylist())):
+            parts_of[order].append(_read_counts(n, counts))
         rows, texts = left["rows"].combine_chunks().flatten(), _texts(left["sizes"][0].as_py(), left["texts"][0].as_py())
-        done, _ = _ngrams(texts, np.zeros(len(texts), dtype=bool), False)
-        sums = [np.concatenate(parts_of[k] or [np.zeros(0, np.int64)]) for k in (1, 2)]
-        found = np.concatenate(_scores(texts, done[0][0], sums[0], done[1][0], sums[1], totals, spelling))
-        return pa.table(
+        sums = [np.concatenate(parts_of[k] or [np.zeros(0, np.int64)]) for k in ORDERS]
+        found = _scores(texts, sums, totals, Spelling(totals.cells))
+        out = pa.table(
             {
                 "row": rows,
                 "text": pa.array(texts, pa.binary()).cast(pa.string()),
@@ -325,9 +439,11 @@ def score(docs: DataFrame, training: Column, text: str = "text", prefix: str = "
                 "score": pa.array(found[:, 3]),
             }
         )
+        tk.released()
+        return out
 
     kind = f"row {kinds.simpleString()}, text string, n_tokens long, n_known long, base double, score double"
-    given = answers.where("unit is not null").select("unit", "order", "part", "n", "counts")
+    given = given.select("unit", "order", "part", "n", "counts")
     out = units.select("unit", "rows", "sizes", "texts").groupBy("unit").cogroup(given.groupBy("unit")).applyInArrow(scored, kind)
     shown = [F.when(~F.col("row.__null"), F.col("text")).alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in names]
     results = (F.col("n_tokens"), F.col("n_known"), F.lit(tokens).cast("long"), F.col("base"), F.col("score"))
