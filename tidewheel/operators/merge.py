@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import filled
+from ..functions.text import truthy
 
 
-def merge(target: DataFrame, source: DataFrame, keys: list[str], update: list[str], order: str | None = None) -> DataFrame:
+def merge(target: DataFrame, source: DataFrame, keys: list[str], update: list[str], order: str | None = None, filled_only: tuple[str, ...] = ()) -> DataFrame:
     """target after an upsert of source. Rows with a known key get source's `update` columns and keep the others; rows with a
     new key are added, with null in columns that source lacks. Of several source rows of one key the one with the last `order` wins for
-    updated columns, and the first gives the others. Null keys match nothing.
+    updated columns, and the first gives the others. Null keys match nothing. Columns of `filled_only` are updated where source's is neither
+    null nor empty.
 
     One full outer join on the keys; the source is made unique by a pre-aggregated maximum and minimum."""
     given = [c for c in target.columns if c in source.columns]
@@ -27,6 +28,8 @@ def merge(target: DataFrame, source: DataFrame, keys: list[str], update: list[st
     def value(c: str) -> Column:
         if c not in given:
             return F.col(c)
+        if c in filled_only:
+            return F.when(truthy(F.col(f"__s_{c}")) | ~here, F.col(f"__s_{c}")).otherwise(F.col(c))
         if c in update and c not in keys:
             return F.when(there, F.col(f"__s_{c}")).otherwise(F.col(c))
         return F.when(here, F.col(c)).otherwise(F.col(f"__s_{c}"))
@@ -69,12 +72,21 @@ def partial_update(target: DataFrame, key: str, value, **fields) -> DataFrame:
 
 def upsert_posts(target: DataFrame, source: DataFrame, order: str | None = None, overwrite_member: bool = False) -> DataFrame:
     """Posts after a fetch. Posts with a body overwrite all but their member and number; posts without one keep
-    the body that is known. With overwrite_member the member is overwritten as well."""
+    the body that is known. With overwrite_member the member is overwritten as well. Of several rows of a post those without a body
+    come after the others, each in the given order, as if they were written after them. One aggregate and one join."""
     change = ["member_name", "member_tag", "title", "views", "is_pinned", "posted_at", "updated_at"]
     change += ["member_id"] if overwrite_member else []
-    bodied = source.where(filled(F.col("body_html"), F.lit(None).cast("string")).isNotNull())
-    bare = source.where(filled(F.col("body_html"), F.lit(None).cast("string")).isNull())
-    return merge(merge(target, bodied, ["post_id"], [*change, "body_html"], order), bare, ["post_id"], change, order)
+    given = [c for c in target.columns if c in source.columns and c not in ("post_id", "body_html")]
+    later, fixed = [c for c in given if c in change], [c for c in given if c not in change]
+    bodied = truthy(F.col("body_html"))
+    place = F.struct((~bodied).alias("bare"), *([F.col(order).alias("order")] if order else []))
+    ranked = source.withColumn("__place", place)
+    one = ranked.groupBy("post_id").agg(
+        F.max(F.struct("__place", *later)).alias("__l"), F.min(F.struct("__place", *fixed, "body_html")).alias("__f"), F.max(F.when(bodied, F.struct("__place", "body_html"))).alias("__b")
+    )
+    body = F.coalesce("__b.body_html", "__f.body_html").alias("body_html")
+    one = one.select("post_id", *[F.col(f"__l.{c}").alias(c) for c in later], *[F.col(f"__f.{c}").alias(c) for c in fixed], body)
+    return merge(target, one, ["post_id"], change, filled_only=("body_html",))
 
 
 def upsert_schedules(target: DataFrame, source: DataFrame, order: str | None = None, overwrite_member: bool = False) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.paths import shared_folder
+
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order. Ranks are limited before the shuffle."""
@@ -34,9 +36,13 @@ def paginate(df: DataFrame, page: int, per_page: int, *order: Column) -> DataFra
 
 def page_numbers(df: DataFrame, per_page: int, *order: Column) -> DataFrame:
     """Adds `page`. Positions over the whole table come from per-range counts, not from one task: the rows are sorted by ranges, and each
-    range starts after the rows of those before it."""
+    range starts after the rows of those before it. The sorted rows are written once to the shared folder, so that counts and rows are of the
+    same ranges, whatever is run again."""
     parts = df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id())
     parts = parts.withColumns({"__part": F.shiftright("__id", 33), "__place": F.col("__id").bitwiseAND((1 << 33) - 1)})
+    path = shared_folder(df.sparkSession, "pages")
+    parts.write.parquet(path)
+    parts = df.sparkSession.read.schema(parts.schema).parquet(path)
     sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))

@@ -55,10 +55,12 @@ def csv_cells(line: Column, width: int) -> Column:
 
 
 def _grid(spark: SparkSession, path: str, width: int) -> DataFrame:
-    """A CSV grid by position, with each line's number; the first line of a file is skipped."""
-    lines = spark.read.text(path, wholetext=False).withColumn("__line", F.monotonically_increasing_id())
-    first = lines.agg(F.min("__line")).first()[0]
-    parsed = lines.where(F.col("__line") != F.lit(first if first is not None else -1)).select("__line", csv_cells(F.col("value"), width).alias("c"))
+    """A CSV grid by position, with each line's place in its file; the first line of every file is skipped. It is the first that is read of the
+    file's first block; there is one such row a file, and files come in order of their paths."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path, wholetext=False).select("value", place.alias("__line"))
+    first = lines.where(F.col("__line.block") == 0).groupBy("__line.file").agg(F.min("__line").alias("__first")).select("__first")
+    parsed = lines.join(first, F.col("__line") == F.col("__first"), "left_anti").select("__line", csv_cells(F.col("value"), width).alias("c"))
     return parsed.select("__line", "c.*")
 
 
