@@ -111,6 +111,9 @@ def test_search(spark, monkeypatch, spread):
     ids = [*range(400), 1080]
     expected = _brute(np.array(ids), [*whole.tolist(), [0] * 8], 7)
     assert {q: [v[i] for i in sorted(v)] for q, v in got.items()} == expected
+    monkeypatch.setattr(topk, "CHUNK", 300)  # a few queries at a time
+    again = {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in topk.search(df, F.col("vec_id") % 20 == 0, k=7).collect()}
+    assert again == {(q, i): x for q, v in got.items() for i, x in v.items()}
     few = spark.createDataFrame(vectors[:3], "vec_id long, embedding array<double>")
     assert topk.search(few, F.col("vec_id") % 20 == 0).count() == 2
     assert topk.search(few.where("false"), F.col("vec_id") % 20 == 0).count() == 0

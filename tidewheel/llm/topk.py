@@ -4,14 +4,19 @@ Candidates are grouped by length into buckets of at most BUCKET rows, longest fi
 of its k-th score, a bucket whose longest vector has length l can hold a better one only at a cosine of at least
 c = t / (|q| l):
 
-* c > 1: the bucket is left out before anything is shuffled;
+* c > 1: the bucket is left out;
 * c >= COORDINATE: coordinate pruning: of a unit vector at that cosine, coordinate f lies within
   q_f c -+ sqrt((1 - q_f^2)(1 - c^2)); of the query's FOCUS largest coordinates, the one whose range holds the fewest vectors of the
   bucket gives the vectors to verify;
 * else length pruning: only the bucket's vectors of length t / |q| or more are verified.
 
-The bound t comes from the bucket of the longest vectors. Products are verified in whole numbers, and ties go to the smaller
-identifier, so a score equal to t still counts. Bounds in floating point are widened by a relative SLACK.
+The bound t comes from the bucket of the longest vectors, and rises with what a task finds from bucket to bucket. Products are verified
+in whole numbers, and ties go to the smaller identifier, so a score equal to t still counts. Bounds in floating point are widened by a
+relative SLACK.
+
+How it is distributed. Every vector is shuffled once, to its bucket, which is written as one row. Queries are broadcast, at most CHUNK bytes
+of them at a time, and tasks go through the buckets where they are; of each chunk only scores that reach the bounds are shuffled. So
+the shuffle grows with the vectors and the queries, not with their product; the work grows with the product, less what is pruned.
 
 Vectors are integers: every component x becomes floor(SCALE * x). Defined results: a vector that is null, or has a null or
 non-finite component, takes no part, nor does a null identifier; vectors of another dimension than the query score over
@@ -21,20 +26,23 @@ query meets no row of its own identifier. An empty table gives no rows; fewer th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import textkit as tk
 from .scratch import stored
 
 SCALE = 64
-BUCKET, BLOCK = 4096, 512
+#: Vectors of a bucket, queries that a task takes together, and bytes of queries that are broadcast together.
+BUCKET, BLOCK, CHUNK = 4096, 512, 32 << 20
 COORDINATE, FOCUS, SLACK = 0.8, 4, 1e-6
 
 
-
 def whole(vector: Column, scale: int = SCALE) -> Column:
     """Components as floor(scale * x), array<long>; null for a vector that takes no part."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
@@ -64,17 +72,8 @@ def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best, ties to the smaller identifier."""
-    if len(scores) > 4 * k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        kept = np.flatnonzero(scores >= least)
-        return kept[np.lexsort((ids[kept], -scores[kept]))[:k]]
-    return np.lexsort((ids, -scores))[:k]
-
-
 class Bucket:
-    """Vectors of one bucket, with what pruning needs."""
+    """Vectors of one bucket, longest first, with what pruning needs."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         lengths = np.sqrt((rows.astype(np.float64) ** 2).sum(axis=1))
@@ -111,34 +110,95 @@ class Bucket:
         return np.arange(np.searchsorted(-self.lengths, -bound / length * (1 - SLACK), side="right"))
 
 
-def _found(query_ids: list, bounds: list, queries: np.ndarray, bucket: Bucket, k: int) -> pa.RecordBatch:
-    """The best rows of a bucket for each of a block of queries."""
-    out: list[tuple[int, int, int]] = []
-    for i, (own, bound) in enumerate(zip(query_ids, bounds)):
-        places = bucket.candidates(queries[i], -1.0 if bound is None else float(bound))
-        places = places[bucket.ids[places] != own]
-        scores = products(queries[i : i + 1], bucket.rows[places])[0]
-        if bound is not None:
-            places, scores = places[scores >= bound], scores[scores >= bound]
-        for j in best(scores, bucket.ids[places], k):
-            out.append((own, int(bucket.ids[places[j]]), int(scores[j])))
-    columns = list(zip(*out)) or [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
-
-
-def _pairs(queries: DataFrame, buckets: DataFrame, k: int) -> DataFrame:
-    """Meets (query_id, q, bound, block, bucket) with (bucket, vec_id, v): one task for each block of queries and bucket."""
-
-    def met(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "vec_id", "score")})
-        bucket = Bucket(right["vec_id"].to_numpy(), _matrix(right["v"].combine_chunks()))
-        rows = _matrix(left["q"].combine_chunks())
-        return pa.Table.from_batches([_found(left["query_id"].to_pylist(), left["bound"].to_pylist(), rows, bucket, k)])
-
-    wanted = queries.select(F.col("block").alias("to_block"), F.col("bucket").alias("to_bucket")).distinct()
-    right = buckets.join(wanted, F.col("bucket") == F.col("to_bucket"))
-    return queries.groupBy("block", "bucket").cogroup(right.groupBy("to_block", "to_bucket")).applyInArrow(met, "query_id long, vec_id long, score long")
+class Best:
+    """The k best rows of each of a block of queries so far, and the score from which another counts."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, bounds: np.ndarray, k: int):
+        self.ids, self.rows, self.bounds, self.k = ids, rows, bounds.copy(), k
+        self.lengths = np.sqrt((rows.astype(np.float64) ** 2).sum(axis=1))
+        self.query, self.found, self.score = (np.zeros(0, np.int64) for _ in range(3))
+
+    def meet(self, bucket: Bucket) -> None:
+        """Takes the bucket's rows that reach the bounds."""
+        longest = bucket.lengths[0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cosine = np.where((self.bounds > 0) & (self.lengths > 0) & (longest > 0), self.bounds / (self.lengths * longest) * (1 - SLACK), 0.0)
+        news: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for i in np.flatnonzero((cosine >= COORDINATE) & (cosine <= 1)).tolist():
+            places = bucket.candidates(self.rows[i], self.bounds[i])
+            news.append((np.full(len(places), i), places, products(self.rows[i : i + 1], bucket.rows[places])[0]))
+        some = np.flatnonzero(cosine < COORDINATE)
+        if len(some):
+            # By length: of each query's rows the longest ones, together for all queries as far as the farthest goes.
+            with np.errstate(divide="ignore", invalid="ignore"):
+                least = np.where(cosine[some] > 0, self.bounds[some] / self.lengths[some] * (1 - SLACK), -1.0)
+            reach = np.searchsorted(-bucket.lengths, -least, side="right")
+            scores = products(self.rows[some], bucket.rows[: int(reach.max())])
+            counts = np.arange(scores.shape[1]) < reach[:, None]
+            counts &= bucket.ids[None, : scores.shape[1]] != self.ids[some][:, None]
+            floor = self.bounds[some].copy()
+            if scores.shape[1] > 4 * self.k:
+                for j in np.flatnonzero(np.isneginf(floor)).tolist():
+                    own = scores[j, counts[j]]
+                    floor[j] = np.partition(own, len(own) - self.k)[len(own) - self.k] if len(own) >= self.k else -np.inf
+            query, place = np.nonzero(counts & (scores >= floor[:, None]))
+            news.append((some[query], place, scores[query, place]))
+        if news:
+            query, place, score = (np.concatenate(x) for x in zip(*news))
+            found = bucket.ids[place]
+            kept = (score >= self.bounds[query]) & (found != self.ids[query])
+            self._keep(query[kept], found[kept], score[kept])
+
+    def _keep(self, query: np.ndarray, found: np.ndarray, score: np.ndarray) -> None:
+        if not len(query):
+            return
+        query, found, score = np.concatenate((self.query, query)), np.concatenate((self.found, found)), np.concatenate((self.score, score))
+        order = np.lexsort((found, -score, query))
+        query, found, score = query[order], found[order], score[order]
+        begin = np.searchsorted(query, np.arange(len(self.ids)))
+        kept = np.arange(len(query)) - begin[query] < self.k
+        self.query, self.found, self.score = query[kept], found[kept], score[kept]
+        last = np.searchsorted(self.query, np.arange(len(self.ids)), side="right") - 1
+        full = np.flatnonzero(np.bincount(self.query, minlength=len(self.ids)) == self.k)
+        self.bounds[full] = np.maximum(self.bounds[full], self.score[last[full]])
+
+
+_FOUND = "query_id long, vec_id long, score long"
+
+
+def _met(queries: DataFrame, buckets: DataFrame, k: int) -> DataFrame:
+    """The k best rows of the buckets for each of a bounded number of queries (query_id, v, bound), as each task finds them."""
+    table = queries.toArrow()
+    bounds = table["bound"].cast(pa.float64()).fill_null(-np.inf).to_numpy()
+    held = queries.sparkSession.sparkContext.broadcast((table["query_id"].to_numpy(), _matrix(table["v"].combine_chunks()), bounds))
+
+    def gone_through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, rows, bounds = held.value
+        blocks = [Best(ids[a : a + BLOCK], rows[a : a + BLOCK], bounds[a : a + BLOCK], k) for a in range(0, len(ids), BLOCK)]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = np.frombuffer(batch.column("ids")[i].as_buffer(), dtype=np.int64)
+                bucket = Bucket(own, np.frombuffer(batch.column("rows")[i].as_buffer(), dtype=np.int64).reshape(len(own), -1))
+                for block in blocks:
+                    block.meet(bucket)
+        for block in blocks:
+            columns = (block.ids[block.query], block.found, block.score)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+        tk.released()
+
+    return buckets.select("ids", "rows").mapInArrow(gone_through, _FOUND)
+
+
+def _packed(group: pa.Table) -> pa.Table:
+    """A bucket's vectors as one row."""
+    ids, rows = group["vec_id"].to_numpy(), _matrix(group["v"].combine_chunks())
+    longest = float(group["length"].to_numpy().max())
+    return pa.table(
+        {
+            "range": group["range"][:1].cast(pa.int32()), "part": group["part"][:1].cast(pa.int32()), "longest": pa.array([longest]),
+            "ids": pa.array([ids.tobytes()], pa.binary()), "rows": pa.array([rows.astype(np.int64).tobytes()], pa.binary()),
+        }
+    )
 
 
 def _top(rows: DataFrame, k: int) -> DataFrame:
@@ -151,7 +211,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     columns of vectors."""
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), whole(F.col(vector), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("query"))
     rows = rows.where("vec_id is not null and v is not null").withColumn("length", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)))
-    rows = stored(rows, "topk-rows")
+    rows, spark = stored(rows, "topk-rows"), vectors.sparkSession
     n = rows.count()
     count = max(1, -(-n // BUCKET))
     # Buckets are ranges of the length between approximate quantiles; a range with more rows, as of equal lengths, is cut by a hash.
@@ -167,26 +227,21 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     cut = sizes.select("range", F.ceil(F.col("rows") / (2 * BUCKET)).cast("int").alias("parts"))
     placed = ranged.join(F.broadcast(cut) if count <= 100_000 else cut, "range")
     placed = placed.withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int"))
-    placed = stored(placed.select("vec_id", "v", "query", "length", F.struct("range", "part").alias("bucket")), "topk")
-    buckets = placed.groupBy("bucket").agg(F.max("length").alias("longest"))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n // (20 * BLOCK)))))
-    queries = placed.where("query").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "length", block.alias("block"))
-    candidates = placed.select("bucket", "vec_id", "v")
-
-    head = buckets.orderBy("bucket").limit(1).collect()
-    if not head:
-        return _top(queries.select("query_id", F.lit(0).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("score")).where("false"), k).select(
-            "query_id", F.col("rank"), "vec_id", "score"
-        )
-    first = F.struct(F.lit(head[0]["bucket"]["range"]).alias("range"), F.lit(head[0]["bucket"]["part"]).alias("part"))
-    seeds = _pairs(queries.select("query_id", "q", "block", first.alias("bucket"), F.lit(None).cast("long").alias("bound")), candidates.where(F.col("bucket") == first), k)
-    seeds = stored(_top(seeds, k).drop("rank"), "topk-seeds")
-    known = seeds.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
-    known = known.select(F.col("query_id").alias("seed_id"), F.when(F.col("n") >= k, F.col("least")).alias("bound"))
-    bounded = queries.join(known, F.col("query_id") == F.col("seed_id"), "left").drop("seed_id")
-    others = buckets.where(F.col("bucket") != first)
-    # Each query is sent to the buckets that may hold one of its best: the condition is the length pruning of whole buckets.
-    reach = F.col("bound").isNull() | (F.col("bound") <= 0) | (F.col("length") * F.col("longest") * (1 + SLACK) >= F.col("bound"))
-    sent = bounded.join(F.broadcast(others) if count <= 100_000 else others, reach).select("query_id", "q", "bound", "block", "bucket")
-    rest = _pairs(sent, candidates, k)
-    return _top(seeds.unionByName(rest), k).select("query_id", "rank", "vec_id", "score")
+    packed = placed.groupBy("range", "part").applyInArrow(_packed, "range int, part int, longest double, ids binary, rows binary")
+    buckets = stored(packed, "topk-buckets")
+    queries = rows.where("query").select(F.col("vec_id").alias("query_id"), "v")
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
+    first = buckets.select("range", "part").orderBy("range", "part").first()
+    if not first or not size["n"]:
+        return _top(spark.createDataFrame([], _FOUND), k).select("query_id", "rank", "vec_id", "score")
+    is_first = (F.col("range") == first["range"]) & (F.col("part") == first["part"])
+    others = buckets.where(~is_first).sortWithinPartitions(F.desc("longest"))
+    chunks = -(-size["n"] * 8 * max(1, size["width"]) // CHUNK)
+    out = []
+    for i in range(chunks):  # a job for each CHUNK bytes of queries, over all buckets
+        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == i)
+        seeds = stored(_top(_met(own.withColumn("bound", F.lit(None).cast("long")), buckets.where(is_first), k), k).drop("rank"), "topk-seeds")
+        known = seeds.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).select("query_id", F.when(F.col("n") >= k, F.col("least")).alias("bound"))
+        rest = _met(own.join(known, "query_id", "left"), others, k)
+        out.append(stored(_top(seeds.unionByName(rest), k), "topk-found") if chunks > 1 else _top(seeds.unionByName(rest), k))
+    return reduce(DataFrame.unionByName, out).select("query_id", "rank", "vec_id", "score")
