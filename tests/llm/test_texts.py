@@ -74,6 +74,20 @@ def test_fingerprint_query(spark):
     assert np.sqrt(np.mean(np.square(errors))) < 0.06
 
 
+def test_sequence_of_hot_and_null_keys(spark):
+    r = random.Random(3)
+    rows = [(r.choice([7, 7, 7, None, None, *range(50)]), prose(i, 6)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = fingerprint.in_sequence(df, parts=12)
+    sizes = [x["count"] for x in dealt.where("visitor = 0").groupBy("bucket").count().collect()]
+    assert sum(sizes) == 600 and max(sizes) < 200 and len(sizes) > 12
+    name = {t: x for t, x in df.select("text", F.xxhash64("text")).collect()}
+    order = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), name[x[1]], x[1]))
+    after = [order[(i + 1) % 600][1] for i in range(600)]
+    want = sorted(hashlib.sha256(fingerprint.edited(x[1], y).encode()).hexdigest() for x, y in zip(order, after))
+    assert sorted(x["edited_sha256"] for x in fingerprint.with_edits(df).collect()) == want
+
+
 def test_densified_bins_estimate():
     """Sets far smaller than the bins, and larger ones: the estimate stays near the true similarity."""
     for size in (20, 300):

@@ -7,13 +7,14 @@ are kept, two bins to a byte. Equal bits also arise by chance, once in 2**BITS;
 
 Defined results: null text is the empty text; a text without words has the fingerprint '' (likeness 1 to another
 such, else 0); a text of one to four words is one shingle. Equal texts have equal fingerprints. Ties in the order of
-documents go by text; rows that are wholly equal follow each other. A null doc_id comes last. A table of one row is
+documents go by a hash of the text, then by text; rows that are wholly equal follow each other. A null doc_id comes last; keys are whole numbers. A table of one row is
 its own next document; an empty table gives no rows. Columns of the output's names are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 
 BINS = 512
+#: Bytes of text of a partition, and partitions at most: a partition is streamed, so that larger ones take time, not memory.
+PART_BYTES, PARTS = 16 << 20, 50_000
 BITS = 4
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -97,36 +100,48 @@ def in_sequence(docs: DataFrame, key: str = "doc_id", text: str = "text", parts:
     """Rows (key, text, bucket, visitor) dealt so that each partition holds whole buckets, sorted by bucket, with every
     row followed by the next one in descending order of key; `visitor` rows are the first of the next bucket.
 
-    Buckets are ranges of the key between approximate quantiles, as many as there are shuffle partitions."""
-    spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    Buckets are ranges of the key between approximate quantiles, for PART_BYTES each. A key that several quantiles share, as null may, has a
+    bucket of its own, which ranges of the text's hash divide."""
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("key").isNull()).alias("none"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    parts = parts or max(1, min(-(-size["bytes"] // PART_BYTES), size["n"], PARTS))
     steps = [i / parts for i in range(1, parts)]
-    bounds = np.array(sorted(set(rows.select("key").approxQuantile("key", steps, 0.1 / parts))) if steps else [], dtype=np.float64)
-
-    def bucket_of(column: pa.Array) -> np.ndarray:
-        keys = column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64)
-        out = len(bounds) - np.searchsorted(bounds, keys, side="right")
-        return np.where(np.asarray(column.is_null()), len(bounds) + 1, out)
+    found = Counter(rows.select("key").approxQuantile("key", steps, 0.1 / parts) if steps else [])
+    alone = [b for b, n in found.items() if n > 1 and b + 1 > b]
+    bounds = np.array(sorted({*found, *(b + 1 for b in alone)}), dtype=np.float64)
+    # By bucket before its division: from the largest keys to the smallest, then null.
+    cuts = np.ones(len(bounds) + 2, dtype=np.int64)
+    for b in alone:
+        cuts[len(bounds) - np.searchsorted(bounds, b, side="right")] = found[b] + 1
+    cuts[-1] = max(1, -(-size["none"] * parts // max(size["n"], 1)))
+    starts = np.cumsum(cuts) - cuts
+
+    def bucket_of(keys: pa.Array, hashes: pa.Array) -> np.ndarray:
+        values = keys.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64)
+        whole = np.where(np.asarray(keys.is_null()), len(bounds) + 1, len(bounds) - np.searchsorted(bounds, values, side="right"))
+        share = hashes.to_numpy(zero_copy_only=False).astype(np.float64) / 2.0**64 + 0.5
+        return starts[whole] + np.minimum((share * cuts[whole]).astype(np.int64), cuts[whole] - 1)
 
     @F.arrow_udf("int")
     @tk.lean
-    def bucket(column: pa.Array) -> pa.Array:
-        return pa.array(bucket_of(column).astype(np.int32))
+    def bucket(keys: pa.Array, hashes: pa.Array) -> pa.Array:
+        return pa.array(bucket_of(keys, hashes).astype(np.int32))
 
-    heads = {r["bucket"]: r["head"] for r in rows.select(bucket("key").alias("bucket"), "key").groupBy("bucket").agg(F.max("key").alias("head")).collect()}
+    hashed = rows.withColumn("hash", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    first = hashed.select(bucket("key", "hash").alias("bucket"), "key", "hash").groupBy("bucket").agg(F.max(F.struct("key", F.bitwise_not("hash").alias("hash"))).alias("head"))
+    heads = {r["bucket"]: (r["head"]["key"], ~r["head"]["hash"]) for r in first.collect()}  # a row a bucket
     order = sorted(heads)
     before = {b: order[i - 1] for i, b in enumerate(order)}
 
     @F.arrow_udf("array<int>")
     @tk.lean
-    def places(column: pa.Array) -> pa.Array:
-        own = bucket_of(column).tolist()
-        out = [[b, before[b]] if k == heads[b] else [b] for b, k in zip(own, column.to_pylist())]
+    def places(keys: pa.Array, hashes: pa.Array) -> pa.Array:
+        own = bucket_of(keys, hashes).tolist()
+        out = [[b, before[b]] if x == heads[b] else [b] for b, x in zip(own, zip(keys.to_pylist(), hashes.to_pylist()))]
         return pa.array(out, pa.list_(pa.int32()))
 
-    dealt = rows.select("key", "text", F.posexplode(places("key")).alias("visitor", "bucket"))
-    return dealt.repartitionByRange(parts, "bucket").sortWithinPartitions("bucket", "visitor", F.desc_nulls_last("key"), "text")
+    dealt = hashed.select("key", "text", "hash", F.posexplode(places("key", "hash")).alias("visitor", "bucket"))
+    return dealt.repartitionByRange(parts, "bucket").sortWithinPartitions("bucket", "visitor", F.desc_nulls_last("key"), "hash", "text")
 
 
 def with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@
 
 Defined results: two texts without words have no n-grams and are linked only as members of one class; a null text is in no
 class, its group is its own key and it has no links. A group's name is the smallest key in it. Repeated rows are separate members of a
-class: each counts as a link of the others. Keys may be null or repeated; a class of null keys only has a null name. Extra columns
+class: each counts as a link of the others. Keys are whole numbers, and may be null or repeated; a class of null keys only has a null name. Extra columns
 stay, columns of the outputs' names are replaced. An empty table gives no rows.
 """
 

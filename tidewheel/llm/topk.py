@@ -20,7 +20,7 @@ the shuffle grows with the vectors and the queries, not with their product; the
 
 Vectors are integers: every component x becomes floor(SCALE * x). Defined results: a vector that is null, or has a null or
 non-finite component, takes no part, nor does a null identifier; vectors of another dimension than the query score over
-the components that both have; zero vectors score 0 and take part. Repeated identifiers are separate rows, and a
+the components that both have; zero vectors score 0 and take part. Identifiers are whole numbers. Repeated identifiers are separate rows, and a
 query meets no row of its own identifier. An empty table gives no rows; fewer than k candidates give all.
 """
 
