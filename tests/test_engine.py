@@ -216,3 +216,15 @@ def test_lookups_and_pages(spark):
     assert len(live) == 50 and [r["live"] for r in live[:3]] == [True, False, False]
     with pytest.raises(ValueError):
         rel.split_group(rows, rows, "post_id", "none")
+
+
+def test_table_in_ranges_of_a_key(spark):
+    """A database table, here one in memory, is read in parallel ranges of its key, whole."""
+    from tidewheel.sources.readers import jdbc_table
+
+    url = "jdbc:derby:memory:ranges;create=true"
+    rows = spark.range(1, 101).selectExpr("id AS K", "id * 2 AS V")
+    rows.write.format("jdbc").options(url=url, dbtable="T", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").save()
+    read = jdbc_table(spark, url, "T", "K", 1, 101, 4)
+    assert read.rdd.getNumPartitions() == 4
+    assert sorted((r["K"], r["V"]) for r in read.collect()) == [(i, 2 * i) for i in range(1, 101)]
