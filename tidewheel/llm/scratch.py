@@ -21,10 +21,15 @@ def folder(spark: SparkSession) -> str:
     return where
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{folder(spark)}/tidewheel/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: it cuts the lineage and outlives executors."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/tidewheel/{name}-{uuid.uuid4().hex}"
+    path = place(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

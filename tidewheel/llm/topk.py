@@ -27,15 +27,15 @@ query meets no row of its own identifier. An empty table gives no rows; fewer th
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .scratch import stored
+from .scratch import dropped, place, stored
 
 SCALE = 64
 #: Vectors of a bucket, queries that a task takes together, and bytes of queries that are broadcast together.
@@ -166,8 +166,8 @@ class Best:
 _FOUND = "query_id long, vec_id long, score long"
 
 
-def _met(queries: DataFrame, buckets: DataFrame, k: int) -> DataFrame:
-    """The k best rows of the buckets for each of a bounded number of queries (query_id, v, bound), as each task finds them."""
+def _met(queries: DataFrame, buckets: DataFrame, k: int) -> tuple[DataFrame, Broadcast]:
+    """The k best rows of the buckets for each of a bounded number of queries (query_id, v, bound), as each task finds them, and the queries' broadcast."""
     table = queries.toArrow()
     bounds = table["bound"].cast(pa.float64()).fill_null(-np.inf).to_numpy()
     held = queries.sparkSession.sparkContext.broadcast((table["query_id"].to_numpy(), _matrix(table["v"].combine_chunks()), bounds))
@@ -186,7 +186,7 @@ def _met(queries: DataFrame, buckets: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
         tk.released()
 
-    return buckets.select("ids", "rows").mapInArrow(gone_through, _FOUND)
+    return buckets.select("ids", "rows").mapInArrow(gone_through, _FOUND), held
 
 
 def _packed(group: pa.Table) -> pa.Table:
@@ -237,11 +237,18 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     is_first = (F.col("range") == first["range"]) & (F.col("part") == first["part"])
     others = buckets.where(~is_first).sortWithinPartitions(F.desc("longest"))
     chunks = -(-size["n"] * 8 * max(1, size["width"]) // CHUNK)
-    out = []
-    for i in range(chunks):  # a job for each CHUNK bytes of queries, over all buckets
+    where = place(spark, "topk-found")
+    for i in range(chunks):  # a job for each CHUNK bytes of queries, over all buckets; all jobs' rows go to one table
         own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == i)
-        seeds = stored(_top(_met(own.withColumn("bound", F.lit(None).cast("long")), buckets.where(is_first), k), k).drop("rank"), "topk-seeds")
+        found, held = _met(own.withColumn("bound", F.lit(None).cast("long")), buckets.where(is_first), k)
+        seeds = stored(_top(found, k).drop("rank"), "topk-seeds")
+        held.destroy()
         known = seeds.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).select("query_id", F.when(F.col("n") >= k, F.col("least")).alias("bound"))
-        rest = _met(own.join(known, "query_id", "left"), others, k)
-        out.append(stored(_top(seeds.unionByName(rest), k), "topk-found") if chunks > 1 else _top(seeds.unionByName(rest), k))
-    return reduce(DataFrame.unionByName, out).select("query_id", "rank", "vec_id", "score")
+        rest, held = _met(own.join(known, "query_id", "left"), others, k)
+        best = _top(seeds.unionByName(rest), k)
+        if chunks > 1:
+            best.write.mode("append").parquet(where)
+            held.destroy()
+            dropped(seeds)
+    out = spark.read.schema(best.schema).parquet(where) if chunks > 1 else best
+    return out.select("query_id", "rank", "vec_id", "score")
