@@ -27,12 +27,13 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The toxicity of every document, learned from labels outside the held-out fold."""
+    """The toxicity of every document, learned from labels outside the held-out fold; 0 for all where no word was learned, as nothing sets any apart."""
     docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
     held_out = F.coalesce(_fold(4) == 2, F.lit(False))
     model = toxicity.fit(docs, labels.where(~held_out))
     scored = toxicity.score_all(docs, model, out="score")
-    return scored.select("doc_id", held_out.alias("held_out"), "score", ((F.col("score") >= 0.3) & F.lit(model.learned)).cast("int").alias("predicted"))
+    score = F.col("score") if model.learned else F.lit(0.0)
+    return scored.select("doc_id", held_out.alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
 
 
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
