@@ -5,6 +5,7 @@ import math
 import random
 import re
 import textwrap
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -262,3 +263,96 @@ def test_language_query_is_accurate(spark):
     docs = _documents(spark)
     held = [r for r in op6_language_id(spark, "/root/testdata/sf0.001").collect() if r["held_out"]]
     assert sum(docs[r["doc_id"]]["lang"] == r["lang_pred"] for r in held) >= 0.95 * len(held)
+
+
+def _languages_by_hand(docs):
+    """Profiles and predictions by counters of strings: {doc_id: (lang, score)}."""
+    from collections import Counter
+
+    def ranked(texts):
+        grams = Counter()
+        for text in texts:
+            runs = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+            own = "_" + "_".join(runs) + "_" if runs else ""
+            grams.update(c for c in own if c != "_")
+            for n in range(2, langid.ORDERS + 1):
+                grams.update(own[i : i + n] for i in range(len(own) - n + 1))
+        return sorted(grams, key=lambda g: (-grams[g], len(g), g))[: langid.PROFILE]
+
+    learned = {}
+    for i, r in docs.items():
+        if zlib.crc32(str(i).encode()) % 5 and r["lang"] is not None and r["text"] is not None:
+            learned.setdefault(r["lang"], set()).add(r["text"])
+    profiles = {name: {g: k for k, g in enumerate(ranked(texts))} for name, texts in sorted(learned.items())}
+    out = {}
+    for i, r in docs.items():
+        top = ranked([r["text"] or ""])
+        apart = sorted((sum(abs(p[g] - k) if g in p else langid.PROFILE for k, g in enumerate(top)), name) for name, p in profiles.items())
+        out[i] = (apart[0][1], 1 - apart[0][0] / apart[1][0]) if top else (langid.UNKNOWN, 0.0)
+    return out
+
+
+def test_language_query_by_brute_force(spark):
+    from tidewheel.llm.queries import op6_language_id
+
+    want = _languages_by_hand(_documents(spark))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in op6_language_id(spark, SF).collect()}
+    assert got.keys() == want.keys()
+    for i, (lang, score) in want.items():
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-9, i
+
+
+def _licences_by_hand(text):
+    """Licences by trying every known sentence at every word and every rule at every sentence: (name, words of the span)."""
+    at = list(re.finditer(r"[^\W_]+(?:\.[0-9]+)*", text))
+    words = [m[0].lower() for m in at]
+    sentence = [0]
+    for a, b in zip(at, at[1:]):
+        between = text[a.end() : b.start()]
+        sentence.append(sentence[-1] + bool(re.search(r"[.:;!?]\s|\n[^\w\n]*\n", between)))
+    known = [(licenses.normalised(s).split(), k) for k, several in licenses.SENTENCES.items() for s in several]
+    seen = [(i, i + len(w) - 1, k) for w, k in known for i in range(len(words)) if words[i] == w[0] and words[i : i + len(w)] == w]
+    seen = sorted(x for x in seen if not any(y[:2] != x[:2] and y[0] <= x[0] and x[1] <= y[1] for y in seen))
+    out, i = [], 0
+    while i < len(seen):
+        fits = []
+        for name, rules in licenses.RULES.items():
+            for rule in rules:
+                run = seen[i : i + len(rule)]
+                near = all(sentence[b[0]] - sentence[a[1]] <= licenses.GAP + 1 for a, b in zip(run, run[1:]))
+                fits += [(len(rule), name)] if [x[2] for x in run] == rule and near else []
+        most = max((n for n, _ in fits), default=1)
+        out += [(name, words[seen[i][0] : seen[i + most - 1][1] + 1]) for n, name in sorted(fits) if n == most]
+        i += most
+    return out
+
+
+def test_licences_by_brute_force():
+    r, rules = random.Random(11), licenses.standard()
+    every = [s for several in licenses.SENTENCES.values() for s in several]
+    orders = [rule for several in licenses.RULES.values() for rule in several]
+    matched = 0
+    for n in range(400):
+        parts = []
+        for _ in range(r.randint(1, 5)):
+            parts += [r.choice(licenses.SENTENCES[k]) for k in r.choice(orders)] if r.random() < 0.6 else [r.choice(every)]
+            parts += [prose(n, 4) + r.choice(["", ".", "!"]) for _ in range(r.randint(0, 4))]
+        text = "".join(p + r.choice([" ", "\n", "\n\n", "\n # \n", " * "]) for p in parts)
+        want = _licences_by_hand(text)
+        matched += len(want)
+        assert [(name, licenses.normalised(text[a:b]).split()) for a, b, name in rules.matches(text)] == want, text
+    assert matched > 400
+
+
+def test_licence_query_by_brute_force(spark):
+    from tidewheel.llm.queries import op7_license_scan
+
+    docs = _documents(spark)
+    rows = op7_license_scan(spark, SF).collect()
+    assert len(rows) == len(docs)
+    for row in rows:
+        text = docs[row["doc_id"]]["text"] or ""
+        spans = [x.rsplit(":", 2) for x in row["spans"].split(",") if x]
+        want = _licences_by_hand(text)
+        assert [(name, licenses.normalised(text[int(a) : int(b)]).split()) for name, a, b in spans] == want, row["doc_id"]
+        assert row["n_matches"] == len(want) and row["licenses"] == ",".join(sorted({name for name, _ in want}))
