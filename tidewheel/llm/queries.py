@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, jaccard, langid, licenses, lm, mixing, secret_scan, topk, toxicity
+from . import bpe, fim, fingerprint, jaccard, langid, licenses, lm, mixing, secret_scan, topk, toxicity
 from .scratch import ship
 
 
@@ -100,10 +100,23 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text cut at two of its lines and rearranged, and the text rebuilt from that, as digests."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = fim.transform(docs).select("doc_id", "fim.*")
+    return done.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_source_mixing, op2_toxicity, op3_exact_top_k, op4_lm_scoring, op5_ngram_jaccard, op6_language_id, op7_license_scan, op8_secret_scan, op9_fingerprints, op10_byte_bpe)
-}
+    for f in (
+        op1_source_mixing, op2_toxicity, op3_exact_top_k, op4_lm_scoring, op5_ngram_jaccard, op6_language_id, op7_license_scan, op8_secret_scan, op9_fingerprints, op10_byte_bpe,
+        op11_fill_in_middle,
+    )
+}
 
 _TOP_K = """
 WITH v AS (
@@ -145,5 +158,19 @@ SELECT d.doc_id, d.size, e.total AS source_size, e.target,
   (e.epochs * d.size + greatest(0, least(d.size, CASE WHEN p.before + p.size <= e.words - e.epochs * e.total THEN d.size ELSE (e.words - e.epochs * e.total - p.before) // p.n END)))::BIGINT AS taken
 FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.key = p.key"""
 
+_FILL_IN_MIDDLE = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS a, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+r AS (
+  SELECT doc_id, t, a, len(a)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(a) + 1) AS x, ('0x' || substr(h, 9, 8))::BIGINT % (len(a) + 1) AS y,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 100 THEN 'plain'
+      WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (
+  SELECT *, coalesce(array_to_string(a[1:least(x, y)], ''), '') AS pre, coalesce(array_to_string(a[least(x, y) + 1:greatest(x, y)], ''), '') AS mid,
+    coalesce(array_to_string(a[greatest(x, y) + 1:n], ''), '') AS suf FROM r)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN t ELSE pre || mid || suf END) AS restored_sha256 FROM p"""
+
 #: Of the queries that SQL expresses: the others rest on models, on hashes or on libraries.
-ORACLE_SQL: dict[str, str] = {"op1_source_mixing": _MIXING, "op3_exact_top_k": _TOP_K, "op5_ngram_jaccard": _JACCARD}
+ORACLE_SQL: dict[str, str] = {"op1_source_mixing": _MIXING, "op3_exact_top_k": _TOP_K, "op5_ngram_jaccard": _JACCARD, "op11_fill_in_middle": _FILL_IN_MIDDLE}
