@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fim, fingerprint, jaccard, langid, licenses, lm, mixing, secret_scan, topk, toxicity
+from . import bpe, decontam, fim, fingerprint, jaccard, langid, licenses, lm, mixing, secret_scan, topk, toxicity
 from .scratch import ship
 
 
@@ -110,11 +110,20 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every document that stand in a passage of a benchmark item, and the items."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.contamination(docs, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated"
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_source_mixing, op2_toxicity, op3_exact_top_k, op4_lm_scoring, op5_ngram_jaccard, op6_language_id, op7_license_scan, op8_secret_scan, op9_fingerprints, op10_byte_bpe,
-        op11_fill_in_middle,
+        op11_fill_in_middle, op12_decontamination,
     )
 }
 
@@ -172,5 +181,19 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix
   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
   sha256(CASE form WHEN 'plain' THEN t ELSE pre || mid || suf END) AS restored_sha256 FROM p"""
 
+_DECONTAMINATION = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []::VARCHAR[]) AS a FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS a FROM benchmark WHERE text IS NOT NULL),
+w AS (SELECT item_id, least(len(a), 10) AS size, array_to_string(a[i:i + 9], ' ') AS g FROM (SELECT item_id, a, unnest(range(1, greatest(len(a) - 9, 1) + 1)) AS i FROM b WHERE len(a) > 0)),
+g AS (SELECT r, size, i, array_to_string(a[i:i + size - 1], ' ') AS g FROM (SELECT r, a, size, unnest(range(1, len(a) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM w) WHERE len(a) >= size)),
+m AS (SELECT DISTINCT r, i, g.size, item_id FROM g JOIN w ON g.g = w.g AND g.size = w.size),
+h AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, unnest(range(i, i + size)) AS p FROM m) GROUP BY r),
+s AS (SELECT r, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM m WHERE item_id IS NOT NULL GROUP BY r)
+SELECT doc_id, len(a)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN s USING (r)"""
+
 #: Of the queries that SQL expresses: the others rest on models, on hashes or on libraries.
-ORACLE_SQL: dict[str, str] = {"op1_source_mixing": _MIXING, "op3_exact_top_k": _TOP_K, "op5_ngram_jaccard": _JACCARD, "op11_fill_in_middle": _FILL_IN_MIDDLE}
+ORACLE_SQL: dict[str, str] = {
+    "op1_source_mixing": _MIXING, "op3_exact_top_k": _TOP_K, "op5_ngram_jaccard": _JACCARD, "op11_fill_in_middle": _FILL_IN_MIDDLE, "op12_decontamination": _DECONTAMINATION,
+}
