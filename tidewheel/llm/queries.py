@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, fim, fingerprint, jaccard, langid, licenses, lm, mixing, secret_scan, topk, toxicity
+from . import bpe, decontam, fim, fingerprint, jaccard, langid, licenses, lm, mixing, secret_scan, spelling, topk, toxicity
 from .scratch import ship
 
 
@@ -119,11 +119,21 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frequent words of all documents, some of which lose a letter by a hash, with the words that they are variants of."""
+    docs, run = _table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("run")
+    met = docs.select("doc_id", F.explode(spelling.runs(F.col("text"), spelling.LENGTH)).alias("run"))
+    hashed = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), run).cast("binary"))
+    at = (hashed % F.length(run)).cast("int")
+    less = F.concat(run.substr(F.lit(1), at), run.substr(at + 2, F.length(run)))
+    return spelling.variants(spelling.counted(met.select(F.when(hashed % 31 == 0, less).otherwise(run).alias("word"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_source_mixing, op2_toxicity, op3_exact_top_k, op4_lm_scoring, op5_ngram_jaccard, op6_language_id, op7_license_scan, op8_secret_scan, op9_fingerprints, op10_byte_bpe,
-        op11_fill_in_middle, op12_decontamination,
+        op11_fill_in_middle, op12_decontamination, op13_spelling_variants,
     )
 }
 
@@ -193,7 +203,32 @@ s AS (SELECT r, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM m WHERE i
 SELECT doc_id, len(a)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (r) LEFT JOIN s USING (r)"""
 
+# A CRC-32, four bits at a time: its table of 16 entries follows from the polynomial.
+_NIBBLES = [0]
+for _i in range(1, 16):
+    _NIBBLES.append(_i)
+    for _ in range(4):
+        _NIBBLES[_i] = _NIBBLES[_i] >> 1 ^ 0xEDB88320 * (_NIBBLES[_i] & 1)
+_SPELLING = rf"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents WHERE text IS NOT NULL),
+k AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || w AS s, w, count(*) AS c FROM r WHERE length(w) >= 7 GROUP BY ALL),
+x AS (
+  SELECT w, c, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(s)), '..'), lambda p: ('0x' || p)::BIGINT),
+    lambda a, b: xor(xor(a >> 4, {_NIBBLES}[(xor(a, b) & 15) + 1]) >> 4, {_NIBBLES}[(xor(xor(a >> 4, {_NIBBLES}[(xor(a, b) & 15) + 1]), b >> 4) & 15) + 1]), 4294967295::BIGINT), 4294967295) AS h FROM k),
+t AS (SELECT CASE WHEN h % 31 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, c FROM x),
+v AS (SELECT word, sum(c)::BIGINT AS n FROM t WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+del AS (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+e AS (
+  SELECT x.word AS a, y.word AS b FROM del x JOIN del y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+  UNION SELECT x.word, y.word FROM del x JOIN v y ON x.rest = y.word UNION SELECT y.word, x.word FROM del x JOIN v y ON x.rest = y.word),
+f AS (SELECT a, count(*)::BIGINT AS n_near, max(v.n) AS top, min_by(b, (-v.n, b)) AS best FROM e JOIN v ON v.word = e.b GROUP BY a),
+o AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * v.n THEN best END AS form, CASE WHEN top >= 10 * v.n THEN top END AS form_n FROM v LEFT JOIN f ON f.a = v.word),
+p AS (SELECT word, word AS last, 0 AS d FROM v UNION ALL SELECT p.word, o.form, d + 1 FROM p JOIN o ON o.word = p.last WHERE o.form IS NOT NULL)
+SELECT o.word, form, root, n, n_near, form_n FROM o JOIN (SELECT word, max_by(last, d) AS root FROM p GROUP BY word) q ON q.word = o.word"""
+
 #: Of the queries that SQL expresses: the others rest on models, on hashes or on libraries.
 ORACLE_SQL: dict[str, str] = {
     "op1_source_mixing": _MIXING, "op3_exact_top_k": _TOP_K, "op5_ngram_jaccard": _JACCARD, "op11_fill_in_middle": _FILL_IN_MIDDLE, "op12_decontamination": _DECONTAMINATION,
+    "op13_spelling_variants": _SPELLING,
 }
