@@ -11,7 +11,9 @@ from pyspark.sql import types as T
 # Entities in the order they are decoded; `&amp;` before `&lt;`, so that `&amp;lt;` ends as `<`.
 ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'))
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"))
-BLANK = r"(?U)[\s\x{FEFF}]+"
+# White space of the callers' language, as in a class: Unicode's, and U+FEFF.
+WHITE = r"\t-\r\x20\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+BLANK = f"[{WHITE}]+"
 
 PARSED = T.ArrayType(
     T.StructType(
@@ -58,14 +60,14 @@ def image_urls(html: Column, most: int = 5) -> Column:
 # Rules of the HTML sanitiser, in order: what is matched, and what stands in its place.
 SANITISE = (
     (r"(?i)<script[\s\S]*?</script>", ""),
-    (r"(?i)\s+on\w+\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*)", ""),
-    (r"(?i)href\s*=\s*[\"']javascript:[^\"']*[\"']", 'href="#"'),
-    (r"(?i)src\s*=\s*[\"']data:(?!image/)[^\"']*[\"']", 'src=""'),
+    (rf"(?i)[{WHITE}]+on\w+[{WHITE}]*=[{WHITE}]*(\"[^\"]*\"|'[^']*'|[^{WHITE}>]*)", ""),
+    (rf"(?i)href[{WHITE}]*=[{WHITE}]*[\"']javascript:[^\"']*[\"']", 'href="#"'),
+    (rf"(?i)src[{WHITE}]*=[{WHITE}]*[\"']data:(?!image/)[^\"']*[\"']", 'src=""'),
     (r"(?i)<iframe[\s\S]*?</iframe>", ""),
     (r"(?i)<(object|embed|form|input|button|textarea|select)[\s\S]*?</\1>", ""),
     (r"(?i)<(object|embed|form|input|button|textarea|select)[^>]*/?>", ""),
-    (r"(?i)expression\s*\([^)]*\)", ""),
-    (r"(?i)style\s*=\s*[\"'][^\"']*url\s*\([^)]*\)[^\"']*[\"']", ""),
+    (rf"(?i)expression[{WHITE}]*\([^)]*\)", ""),
+    (rf"(?i)style[{WHITE}]*=[{WHITE}]*[\"'][^\"']*url[{WHITE}]*\([^)]*\)[^\"']*[\"']", ""),
 )
 
 
@@ -98,7 +100,7 @@ def parse_items(json: Column) -> Column:
 
 def to_int(text: Column) -> Column:
     """The whole number that a text starts with, or null."""
-    return F.regexp_extract(text, r"^\s*([+-]?\d+)", 1).try_cast("int")
+    return F.regexp_extract(text, rf"^[{WHITE}]*([+-]?\d+)", 1).try_cast("int")
 
 
 def grouped_int(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import WHITE
+
 # The names of the days from Sunday, and the texts of ages in minutes, hours and days.
 WEEKDAYS = ("일", "월", "화", "수", "목", "금", "토")
 AGES = ("방금", "분 전", "시간 전", "일 전")
@@ -96,4 +98,4 @@ def synthetic_key(as_of) -> Column:
 
 def day_offset(text: Column) -> Column:
     """The whole number that a text starts with; 0 if there is none."""
-    return F.coalesce(F.try_to_number(F.regexp_extract(text, r"^\s*([+-]?\d{1,9})", 1), F.lit("S999999999")).cast("int"), F.lit(0))
+    return F.coalesce(F.try_to_number(F.regexp_extract(text, rf"^[{WHITE}]*([+-]?\d{{1,9}})", 1), F.lit("S999999999")).cast("int"), F.lit(0))
