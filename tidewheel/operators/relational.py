@@ -1,12 +1,10 @@
-"""First and last rows, top rows, pages, lookups and differences. Every order is made total by tie-breakers."""
+"""First and last rows, top rows, lookups and differences. Every order is made total by tie-breakers."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.paths import shared_folder
-
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order. Ranks are limited before the shuffle."""
@@ -27,41 +25,18 @@ def top_n(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def paginate(df: DataFrame, page: int, per_page: int, *order: Column) -> DataFrame:
-    """One page, numbered from 0; a number beyond either end is moved to it. The count is one cheap pass."""
-    pages = max(1, -(-df.count() // per_page))
-    page = min(max(page, 0), pages - 1)
-    return df.orderBy(*order).offset(page * per_page).limit(per_page)
-
-
-def page_numbers(df: DataFrame, per_page: int, *order: Column) -> DataFrame:
-    """Adds `page`. Positions over the whole table come from per-range counts, not from one task: the rows are sorted by ranges, and each
-    range starts after the rows of those before it. The sorted rows are written once to the shared folder, so that counts and rows are of the
-    same ranges, whatever is run again."""
-    parts = df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id())
-    parts = parts.withColumns({"__part": F.shiftright("__id", 33), "__place": F.col("__id").bitwiseAND((1 << 33) - 1)})
-    path = shared_folder(df.sparkSession, "pages")
-    parts.write.parquet(path)
-    parts = df.sparkSession.read.schema(parts.schema).parquet(path)
-    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    placed = parts.join(F.broadcast(starts), F.col("__part") == F.col("__p"))  # a row a partition
-    return placed.withColumn("page", F.floor((F.col("__start") + F.col("__place")) / per_page)).drop("__id", "__part", "__place", "__p", "__start")
-
-
 def lookup(df: DataFrame, names: DataFrame, on: str, key: str, name: str, out: str, default: Column) -> DataFrame:
     """df with `out`: the name of its key in a table of unique keys, or the default where that is missing or empty."""
     small = names.select(F.col(key).alias("__key"), F.col(name).alias("__found"))
     return df.join(small, F.col(on) == F.col("__key"), "left").withColumn(out, F.coalesce(F.nullif(F.col("__found"), F.lit("")), default)).drop("__key", "__found")
 
 
-def alias_of(value: Column, aliases: dict[str, str]) -> Column:
-    """The canonical form of a value, or the value itself."""
+def alias_of(value: Column, aliases: dict[str, str], strict: bool = False) -> Column:
+    """The canonical form of a value, or the value itself; with strict, null."""
     if not aliases:
-        return value
+        return F.lit(None).cast("string") if strict else value
     table = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, value), value)
+    return F.try_element_at(table, value) if strict else F.coalesce(F.try_element_at(table, value), value)
 
 
 def flag_new(source: DataFrame, target: DataFrame, key: str, out: str = "is_new") -> DataFrame:
