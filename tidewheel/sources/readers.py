@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import grouped_int, to_int
+from ..operators.pages import PageIndex
 from ..operators.relational import alias_of, last_by
 from . import schemas
 
@@ -48,20 +49,24 @@ def read_parse_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.PARSE_RESULT).json(path)
 
 
+_CELLS = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True, "mode": "PERMISSIVE"}
+
+
 def csv_cells(line: Column, width: int) -> Column:
     """The first cells of a CSV line as struct<c0,c1,...>: quotes, doubled quotes within them, cells trimmed."""
     cells = ", ".join(f"c{i} string" for i in range(width))
-    return F.from_csv(line, cells, {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "mode": "PERMISSIVE"})
+    return F.from_csv(line, cells, {k: str(v) for k, v in _CELLS.items()})
 
 
 def _grid(spark: SparkSession, path: str, width: int) -> DataFrame:
-    """A CSV grid by position, with each line's place in its file; the first line of every file is skipped. It is the first that is read of the
-    file's first block; there is one such row a file, and files come in order of their paths."""
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    lines = spark.read.text(path, wholetext=False).select("value", place.alias("__line"))
-    first = lines.where(F.col("__line.block") == 0).groupBy("__line.file").agg(F.min("__line").alias("__first")).select("__first")
-    parsed = lines.join(first, F.col("__line") == F.col("__first"), "left_anti").select("__line", csv_cells(F.col("value"), width).alias("c"))
-    return parsed.select("__line", "c.*")
+    """A CSV grid by position, with each line's place: its file, block and number in it. The first line of every file that isn't empty is skipped."""
+    lines = spark.read.schema(", ".join(f"c{i} string" for i in range(width))).csv(path, header=True, enforceSchema=True, **_CELLS)
+    return lines.select(_place().alias("__line"), *[f"c{i}" for i in range(width)])
+
+
+def _place() -> Column:
+    """The place of a line: files come in order of their paths."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
 
 
 def read_stats(spark: SparkSession, path: str, group_aliases: dict[str, str], member_aliases: dict[str, str], average: str = "평균") -> DataFrame:
@@ -90,3 +95,41 @@ def read_ranking(spark: SparkSession, path: str, group_aliases: dict[str, str],
 
 def roster(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, schemas.ROSTER)
+
+
+def read_roster(spark: SparkSession, path: str, popular: DataFrame | None = None, whole: bool = False) -> DataFrame:
+    """A roster from JSON objects {id: {name, tag}, ...}, one a line, or one a file with `whole`; popular has the member_id of popular members.
+
+    `ordinal` numbers members, from 1, in the order in which the callers' language goes through the keys of one object: keys that are whole numbers
+    below 2**32 - 1, without leading zeros, come first, in ascending order; the others as they were first written. Of a repeated key the last
+    value counts, at the place of the first. A line that can't be read gives no members, a value that is no object no name."""
+    lines = spark.read.text(path, wholetext=whole).select(_place().alias("line"), F.from_json("value", "map<string,string>").alias("members"))
+    entries = lines.select("line", F.posexplode("members").alias("at", "member_id", "value"))
+    entries = entries.select("member_id", F.struct("line", "at").alias("place"), F.from_json("value", schemas.ROSTER_VALUE).alias("info"))
+    one = entries.groupBy("member_id").agg(F.min("place").alias("place"), F.max(F.struct("place", "info"))["info"].alias("info"))
+    number = F.when(F.rlike("member_id", F.lit("^(0|[1-9][0-9]{0,9})$")) & (F.col("member_id").cast("long") < 2**32 - 1), F.col("member_id").cast("long"))
+    placed = PageIndex.build(one.withColumn("number", number), F.asc_nulls_last("number"), F.asc("place")).placed("ordinal")
+    rows = placed.select("member_id", "info.name", "info.tag", (F.col("ordinal") + 1).cast("int").alias("ordinal"))
+    known = rows.limit(0).select("member_id") if popular is None else popular.select("member_id").distinct()
+    marked = rows.join(known.withColumn("popular", F.lit(True)), "member_id", "left")
+    return marked.select("member_id", "name", "tag", F.coalesce("popular", F.lit(False)).alias("is_popular"), "ordinal")
+
+
+def read_images(spark: SparkSession, path: str, name: Column | None = None) -> DataFrame:
+    """Landed image files, one row each: `name`, by default the path below `path`, else as given of column `path`; `media`, the media type by the name's
+    ending, else image/jpeg; `data`, the file in base64. Empty files give no row. Contents are read only where `data` is asked for."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0")
+    below = F.substring_index(F.col("path"), path.rstrip("/").rsplit("/", 1)[-1] + "/", -1) if name is None else name
+    named = files.select(below.alias("name"), "content")
+    ending = F.lower(F.regexp_extract("name", r"\.([A-Za-z0-9]+)$", 1))
+    return named.select("name", F.coalesce(alias_of(ending, schemas.MEDIA, strict=True), F.lit("image/jpeg")).alias("media"), F.translate(F.base64("content"), "\r\n", "").alias("data"))
+
+
+def images_of(rows: DataFrame, images: DataFrame, landed: Column, key: str = "post_id", urls: str = "images", out: str = "parts") -> DataFrame:
+    """rows, each with its own key, with `out`: of each address in `urls`, in order, {media, data} of its landed file, without those that are
+    missing. `landed` gives the file's name for the address in column `url`; a file that several rows name is read once."""
+    each = rows.select(F.col(key).alias("__key"), F.posexplode(urls).alias("at", "url")).withColumn("name", landed)
+    met = each.join(images, "name").groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("at", "media", "data"))).alias("__found"))
+    parts = F.transform("__found", lambda x: F.struct(x["media"].alias("media"), x["data"].alias("data")))
+    whole = rows.join(met, F.col(key) == F.col("__key"), "left")
+    return whole.withColumn(out, F.coalesce(parts, F.array().cast("array<struct<media:string,data:string>>"))).drop("__key", "__found")

@@ -14,8 +14,14 @@ STATUS = "member_id string, http_ok boolean, live boolean"
 POST_LIST = "member_id string, boards array<struct<title_no:long,title_name:string,reg_date:string,count:struct<read_cnt:int>,is_pin:boolean,is_notice:boolean>>"
 POST_BODY = "member_id string, title_no long, content struct<content:string>"
 PARSE_RESULT = "post_id long, status string, json string"
+#: A member of a roster that is one object, by member.
+ROSTER_VALUE = "name string, tag string"
+#: How often a post was tried, and when it may be tried again.
+ATTEMPTS = "post_id long, tries int, next_at timestamp_ntz"
 
 # Fixed values: `raw_text` of the row that marks a post as read without a schedule in it, and of rows added by hand; the category of updates.
 SENTINEL = "파싱결과없음"
 BY_HAND = "수동 추가"
 CATEGORY = "업데이트"
+# Media types by the ending of a name.
+MEDIA = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp", "svg": "image/svg+xml"}

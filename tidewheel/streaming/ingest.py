@@ -1,4 +1,4 @@
-"""The ingest job as a stream: each micro-batch of landed lists is merged by key into a table of Parquet versions."""
+"""The ingest job as a stream: each micro-batch of landed lists is merged by key into a stored table; and keys not seen before."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources import schemas
+from ..sources.keyed import KeyedTable
+from ..sources.readers import posts_of
 
 
 def daily(events: DataFrame, ts: str = "ts") -> DataFrame:
@@ -17,49 +19,35 @@ def daily(events: DataFrame, ts: str = "ts") -> DataFrame:
     return events.groupBy(window.alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-class Versions:
-    """A table kept as numbered Parquet folders: a write adds the next one, so a batch that is run again writes the same
-    version again, and readers never see half a write."""
+def _run(source: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, once: bool, every: str) -> StreamingQuery:
+    writer = source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-        self.fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def numbers(self) -> list[int]:
-        jvm_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        if not self.fs.exists(jvm_path(self.path)):
-            return []
-        found = [s.getPath() for s in self.fs.listStatus(jvm_path(self.path))]
-        return sorted(int(p.getName()[1:]) for p in found if p.getName()[:1] == "v" and self.fs.exists(jvm_path(f"{p}/_SUCCESS")))
+def merge_stream(source: DataFrame, table: KeyedTable, merge: Callable[[DataFrame, DataFrame], DataFrame], checkpoint: str, once: bool = True, every: str = "5 minutes") -> StreamingQuery:
+    """Puts merge(rows, batch) of every micro-batch into the table, whose other buckets stay as they are; `once` takes what is there and ends. A
+    batch that runs again changes nothing, if merging a batch twice is as merging it once."""
+    return _run(source, lambda batch, _: table.write(batch, merge) and None, checkpoint, once, every)
 
-    def before(self, version: int) -> DataFrame:
-        older = [n for n in self.numbers() if n < version]
-        if not older:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{older[-1]}")
 
-    def current(self) -> DataFrame:
-        return self.before(1 << 62)
+def landed_posts(spark: SparkSession, path: str, files: int = 30) -> DataFrame:
+    """A stream of landed lists, `files` a batch, as rows of posts."""
+    rows = spark.readStream.schema(schemas.POST_LIST).option("maxFilesPerTrigger", files).json(path)
+    return posts_of(rows.select("member_id", F.explode("boards").alias("b")))
 
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v{version}")
-        for old in self.numbers()[:-2]:
-            self.fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{old}"), True)
 
+def unseen(source: DataFrame, keys: list[str], path: str, checkpoint: str, once: bool = True, every: str = "5 minutes") -> StreamingQuery:
+    """Writes the keys of a stream that no earlier micro-batch had, with the number of their batch, to `path`; see `first_seen`.
 
-def merge_stream(source: DataFrame, table: Versions, merge: Callable[[DataFrame, DataFrame], DataFrame], checkpoint: str, once: bool = True, every: str = "5 minutes") -> StreamingQuery:
-    """Runs merge(target, batch) for every micro-batch; `once` takes what is there and ends."""
+    The keys that were seen are kept in Spark's state store, in partitions by key, so a batch is shuffled by its own keys only and no stored table
+    is read; what was known before goes in as the stream's first files. A batch that runs again writes the same folder again."""
 
     def step(batch: DataFrame, number: int) -> None:
-        table.write(merge(table.before(number + 1), batch), number + 1)
-
-    writer = source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
+    return _run(source.select(*keys).dropDuplicates(keys), step, checkpoint, once, every)
 
-def landed_posts(spark: SparkSession, path: str, files: int = 30) -> DataFrame:
-    """A stream of landed lists, `files` a batch, as rows of posts."""
-    from ..sources.readers import posts_of
 
-    rows = spark.readStream.schema(schemas.POST_LIST).option("maxFilesPerTrigger", files).json(path)
-    return posts_of(rows.select("member_id", F.explode("boards").alias("b")))
+def first_seen(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """What `unseen` wrote: the keys, of schema `kind`, and `batch`, the number of the micro-batch that had each first."""
+    return spark.read.schema(kind + ", batch long").option("basePath", path).parquet(f"{path}/batch=*")
