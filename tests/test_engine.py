@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from tidewheel.functions import text as tx
 from tidewheel.functions import timeutil as tm
 from tidewheel.operators import merge as mg
+from tidewheel.operators import pages as pg
 from tidewheel.operators import relational as rel
 from tidewheel.plans import feeds, groups, ingest, parse
 from tidewheel.sources import readers, schemas
+from tidewheel.sources.keyed import KeyedTable
 from tidewheel.streaming import ingest as stream
 
 T = dt.datetime
@@ -145,12 +147,12 @@ def test_ingest(spark, tmp_path):
     assert readers.read_posts(spark, str(tmp_path / "lists.json"), only_notices=True).count() == 1
     copied, check = ingest.migrate(target, target, ["post_id"])
     assert copied.count() == 1 and check.first()["equal"]
-    table = stream.Versions(spark, str(tmp_path / "table"), schemas.POSTS)
+    table = KeyedTable(spark, str(tmp_path / "table"), schemas.POSTS, ["post_id"], 4)
     feed = stream.landed_posts(spark, str(tmp_path / "lists*"), files=1)
     step = lambda t, b: ingest.ingest(b, bodies, t, members(spark), "all", AS_OF)
     for _ in range(2):
         stream.merge_stream(feed, table, step, str(tmp_path / "checkpoint")).awaitTermination()
-    assert sorted(r["post_id"] for r in table.current().collect()) == [1, 2]
+    assert sorted(r["post_id"] for r in table.rows().collect()) == [1, 2]
 
 
 def test_parse(spark):
@@ -206,9 +208,9 @@ def test_groups_and_snapshots(spark, tmp_path):
 
 def test_lookups_and_pages(spark):
     rows = spark.createDataFrame([(i, i % 3) for i in range(10)], "post_id long, k long")
-    assert [r["post_id"] for r in rel.paginate(rows, 99, 4, F.asc("post_id")).collect()] == [8, 9]
-    assert [r["post_id"] for r in rel.paginate(rows, -1, 4, F.asc("post_id")).collect()] == [0, 1, 2, 3]
-    assert rel.paginate(rows.where("false"), 0, 4, F.asc("post_id")).count() == 0
+    assert [r["post_id"] for r in pg.paginate(rows, 99, 4, F.asc("post_id")).collect()] == [8, 9]
+    assert [r["post_id"] for r in pg.paginate(rows, -1, 4, F.asc("post_id")).collect()] == [0, 1, 2, 3]
+    assert pg.paginate(rows.where("false"), 0, 4, F.asc("post_id")).count() == 0
     assert one(spark, rel.alias_of(F.lit("x"), {"x": "y"})) == "y" and one(spark, rel.alias_of(F.lit("q"), {"x": "y"})) == "q"
     status = spark.createDataFrame([("a", True, True), ("b", False, True)], schemas.STATUS)
     asked = ",".join(["a", "b", "c"] + [f"x{i}" for i in range(60)])

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import timeutil as tm
 from ..operators import merge as mg
+from ..operators import pages as pg
 from ..operators import relational as rel
+from ..sources.keyed import KeyedTable
 from ..sources.paths import shared_folder
 from ..sources.readers import csv_cells
 from ..sources.schemas import SENTINEL
@@ -297,12 +299,12 @@ def time_formats(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT o_orderkey AS post_id, o_orderdate AS posted_at FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 4 OFFSET 8""")
 def paginate(spark: SparkSession, d: str) -> DataFrame:
-    return rel.paginate(posts(spark, d).select("post_id", "posted_at"), 2, 4, F.desc("posted_at"), F.desc("post_id"))
+    return pg.paginate(posts(spark, d).select("post_id", "posted_at"), 2, 4, F.desc("posted_at"), F.desc("post_id"))
 
 
 @query("""SELECT o_orderkey AS post_id, (row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) - 1) // 4 AS page FROM orders""")
 def page_numbers(spark: SparkSession, d: str) -> DataFrame:
-    return rel.page_numbers(posts(spark, d).select("post_id", "posted_at"), 4, F.desc("posted_at"), F.desc("post_id")).select("post_id", "page")
+    return pg.page_numbers(posts(spark, d).select("post_id", "posted_at"), 4, F.desc("posted_at"), F.desc("post_id")).select("post_id", "page")
 
 
 @query("""SELECT r_name AS name, count(n_name) AS members, min_by(n_name, n_nationkey) AS first, count(s.n) AS with_stats FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN (SELECT DISTINCT s_nationkey AS n FROM supplier) s ON s.n = n_nationkey GROUP BY r_name""")
@@ -421,14 +423,16 @@ def csv_tokenise(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT user_id AS member_id, max_by(event_id, (ts, event_id)) AS post_id, max(ts) AS posted_at FROM events GROUP BY 1""")
 def incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
-    """Events as a stream of micro-batches, merged by member: the last event of each member stays."""
-    where = shared_folder(spark, "stream")
-    table = stream.Versions(spark, f"{where}/table", "member_id long, post_id long, posted_at timestamp_ntz")
-    rows = spark.readStream.schema(_read(spark, d, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events*")
+    """Events as a stream of micro-batches, four landings of four files, merged by member into a stored table: the last event of each member stays."""
+    where, events = shared_folder(spark, "stream"), _read(spark, d, "events")
+    for part in range(4):
+        events.where(F.pmod("event_id", F.lit(4)) == part).repartition(4).write.mode("append").parquet(f"{where}/landed")
+    table = KeyedTable(spark, f"{where}/table", "member_id long, post_id long, posted_at timestamp_ntz", ["member_id"], 16)
+    rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(f"{where}/landed")
     rows = rows.select(F.col("user_id").alias("member_id"), F.col("event_id").alias("post_id"), F.col("ts").alias("posted_at"))
 
     def latest(target: DataFrame, batch: DataFrame) -> DataFrame:
         return rel.last_by(target.unionByName(batch), ["member_id"], "posted_at", "post_id")
 
     stream.merge_stream(rows, table, latest, f"{where}/checkpoint").awaitTermination()
-    return table.current()
+    return table.rows()

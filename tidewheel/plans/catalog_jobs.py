@@ -97,11 +97,6 @@ def ranking_grid(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_ranking(spark, _grid(spark, d, cells, 21), {"Brand#11": "first"}, {"7": "seven"})
 
 
-@query("SELECT * FROM (VALUES ('10', 'ann', 'x', true, 1), ('2', '', NULL, false, 2), ('c', 'ann', 'y', NULL, 3)) t(member_id, name, tag, is_popular, ordinal)")
-def roster_rows(spark: SparkSession, d: str) -> DataFrame:
-    return readers.roster(spark, [("10", "ann", "x", True, 1), ("2", "", None, False, 2), ("c", "ann", "y", None, 3)])
-
-
 # Jobs.
 
 
@@ -163,14 +158,17 @@ def parse_candidates(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("n_images", F.size("images")).drop("images")
 
 
+def _results(docs: DataFrame) -> DataFrame:
+    json = F.concat(F.lit('[{"date":"2024-01-16","start_time":"21:00","end_time":"'), F.when(F.col("post_id") % 2 == 0, "23:00").otherwise(""), F.lit('","description":"go","mentioned_bjs":["'), F.col("title"), F.lit('","","nobody"]}]'))
+    return docs.select("post_id", F.lit("ok").alias("status"), json.alias("json"))
+
+
 def _mentions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Items that mention members by name, the posts, and a roster on which a name stands twice."""
     docs = _docs_as_posts(spark, d)
-    json = F.concat(F.lit('[{"date":"2024-01-16","start_time":"21:00","end_time":"'), F.when(F.col("doc_id") % 2 == 0, "23:00").otherwise(""), F.lit('","description":"go","mentioned_bjs":["'), F.col("title"), F.lit('","","nobody"]}]'))
-    results = docs.select("post_id", F.lit("ok").alias("status"), json.alias("json"))
     names = docs.groupBy(F.col("title").alias("name")).agg(F.min("member_id").alias("member_id"), F.max("member_id").alias("last"))
     roster = names.select("name", "member_id", F.lit(1).alias("ordinal")).unionByName(names.select("name", F.col("last").alias("member_id"), F.lit(2).alias("ordinal")))
-    return pr.items(docs.withColumn("today", tm.local_date(c.AS_OF)), results), docs, roster
+    return pr.items(docs.withColumn("today", tm.local_date(c.AS_OF)), _results(docs)), docs, roster
 
 
 _SHARED = f"""SELECT r.member_id, p.title AS member_name, l.post_id, TIMESTAMP '2024-01-16 12:00:00' AS starts_at, CASE WHEN p.post_id % 2 = 0 THEN TIMESTAMP '2024-01-16 14:00:00' END AS ends_at, p.member_name || ' {pr.JOINT}: go' AS description,

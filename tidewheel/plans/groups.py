@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tag_of
 from ..operators.relational import snapshot_diff
+from ..sources.keyed import KeyedTable, differing
 
 
 def groups(groups: DataFrame, stats: DataFrame, ranking: DataFrame) -> DataFrame:
@@ -57,6 +58,21 @@ def new_count(previous: DataFrame, current: DataFrame) -> DataFrame:
     return new_notices(previous, current).agg(F.count(F.lit(1)).alias("new_notices"))
 
 
+def stored_snapshot(posts: DataFrame, path: str, buckets: int = 64) -> KeyedTable:
+    """The members' posts of a time, stored in buckets by member with checksums, to be compared with a later one."""
+    ids = posts.select(F.col("member_id").cast("string").alias("member_id"), F.col("post_id").cast("long").alias("post_id"))
+    table = KeyedTable(posts.sparkSession, path, "member_id string, post_id long", ["member_id"], buckets)
+    table.replace(ids)
+    return table
+
+
+def refreshed(previous: KeyedTable, current: KeyedTable) -> DataFrame:
+    """The posts of current that previous lacks, of members that had any before. Buckets whose checksums agree are not read; those that
+    differ are joined."""
+    buckets = differing(previous, current)
+    return snapshot_diff(previous.rows(buckets), current.rows(buckets))
+
+
 def tags(roster: DataFrame) -> DataFrame:
     """Different tags, in the order they first appear."""
     first: Column = F.min("ordinal").alias("first")

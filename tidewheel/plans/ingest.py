@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import filled
 from ..operators.merge import insert_ignore, upsert_posts
 from ..operators.relational import flag_new, reconcile, split_group
+from ..sources.keyed import KeyedTable
 
 
 def incoming(posts: DataFrame, bodies: DataFrame, target: DataFrame, roster: DataFrame, group: str, as_of) -> DataFrame:
@@ -36,13 +37,34 @@ def incoming(posts: DataFrame, bodies: DataFrame, target: DataFrame, roster: Dat
 
 def ingest(posts: DataFrame, bodies: DataFrame, target: DataFrame, roster: DataFrame, group: str, as_of) -> DataFrame:
     """target after the job: running it again with the same input changes nothing."""
-    rows = incoming(posts, bodies, target, roster, group, as_of)
-    return upsert_posts(target, rows.withColumn("__order", F.struct("posted_at", "title")), "__order")
+    return upsert_posts(target, _ordered(incoming(posts, bodies, target, roster, group, as_of)), "__order")
+
+
+def run(table: KeyedTable, posts: DataFrame, bodies: DataFrame, roster: DataFrame, group: str, as_of) -> dict[str, int]:
+    """The job on a stored table, of which it rewrites the buckets of the posts that were fetched; returns the counters of the rows written, which are
+    counted as they are written."""
+    counted, seen = observed(_ordered(incoming(posts, bodies, table.rows(), roster, group, as_of)))
+    table.write(counted, lambda rows, batch: upsert_posts(rows, batch, "__order"))
+    return seen.get
+
+
+def _ordered(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("__order", F.struct("posted_at", "title"))
+
+
+def _counters() -> list[Column]:
+    return [F.count(F.lit(1)).alias("upserted"), F.count_if("is_new").alias("new"), F.count_if(F.coalesce("body_html", F.lit("")) != "").alias("with_body")]
 
 
 def metrics(rows: DataFrame) -> DataFrame:
     """One row of counters of `incoming`."""
-    return rows.agg(F.count(F.lit(1)).alias("upserted"), F.count_if("is_new").alias("new"), F.count_if(F.coalesce("body_html", F.lit("")) != "").alias("with_body"))
+    return rows.agg(*_counters())
+
+
+def observed(rows: DataFrame) -> tuple[DataFrame, Observation]:
+    """rows of `incoming`, and their counters, known once the rows have been written: nothing is computed again for them."""
+    seen = Observation()
+    return rows.observe(seen, *_counters()), seen
 
 
 def migrate(source: DataFrame, target: DataFrame, keys: list[str], order: str | None = None) -> tuple[DataFrame, DataFrame]:

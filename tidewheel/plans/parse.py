@@ -33,11 +33,12 @@ def cleaned(schedules: DataFrame, posts: DataFrame) -> DataFrame:
     return delete_set(schedules, mismatched(schedules, posts), ["id"])
 
 
-def candidates(posts: DataFrame, schedules: DataFrame, as_of, words: list[str] | None = None, least: int = 1000, days: int = 3, limit: int = 300) -> DataFrame:
-    """Posts to read: recent and much viewed, not read before, with enough text and one of the words. The cheap filters
-    reach the scan; text is stripped only of the latest `limit`."""
+def candidates(posts: DataFrame, schedules: DataFrame, as_of, words: list[str] | None = None, least: int = 1000, days: int = 3, limit: int = 300, attempts: DataFrame | None = None) -> DataFrame:
+    """Posts to read: recent and much viewed, not read before, with enough text and one of the words, and, by `attempts`, not to be tried later. The cheap
+    filters reach the scan; text is stripped only of the latest `limit`."""
     recent = top_n(posts.where(within(F.col("posted_at"), as_of, days) & (F.col("views") >= least)), limit, F.desc("posted_at"), F.desc("post_id"))
-    unread = recent.join(schedules.select("post_id").distinct(), "post_id", "left_anti").withColumn("text", strip_html(F.col("body_html")))
+    unread = recent.join(schedules.select("post_id").distinct(), "post_id", "left_anti")
+    unread = (unread if attempts is None else due(unread, attempts, as_of)).withColumn("text", strip_html(F.col("body_html")))
     kept = unread.where(long_enough(F.col("text")) & has_keyword(F.col("title"), F.col("text"), KEYWORDS if words is None else words))
     return kept.select("post_id", "member_id", "member_name", "title", "text", image_urls(F.col("body_html")).alias("images"), "posted_at", local_date(as_of).alias("today"))
 
@@ -51,6 +52,22 @@ def items(found: DataFrame, results: DataFrame, strict_reference: bool = False)
     return met.withColumn("valid", valid).select("*", F.posexplode_outer("valid").alias("place", "item")).drop("valid", "json")
 
 
+def due(posts: DataFrame, attempts: DataFrame, as_of) -> DataFrame:
+    """posts without those whose next attempt is after as_of."""
+    return posts.join(attempts.where(F.col("next_at") > F.lit(as_of).cast("timestamp_ntz")).select("post_id"), "post_id", "left_anti")
+
+
+def attempted(attempts: DataFrame, results: DataFrame, as_of, wait: int = 5, most: int = 1440) -> DataFrame:
+    """attempts, a row a post that failed, after a run's results: a post whose results all failed has one more try, and waits for `wait` minutes,
+    twice as long after each further try, `most` minutes at most; a post that was read is forgotten; the others stay."""
+    status = results.where("post_id is not null").groupBy("post_id").agg(F.bool_or(F.coalesce(F.col("status") == "ok", F.lit(False))).alias("__read"))
+    met = attempts.join(status, "post_id", "full_outer").where(~F.coalesce("__read", F.lit(False)))
+    tried, tries = F.col("__read").isNotNull(), F.coalesce("tries", F.lit(0))
+    minutes = F.least(F.lit(most), wait * F.pow(F.lit(2.0), F.least(tries, F.lit(30)))).cast("int")
+    again = F.lit(as_of).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), minutes)
+    return met.select("post_id", F.when(tried, tries + 1).otherwise(tries).cast("int").alias("tries"), F.when(tried, again).otherwise(F.col("next_at")).alias("next_at"))
+
+
 def _row(member: Column, name: Column, post: Column, start: Column, end: Column, description: Column, raw: Column, as_of, order: Column) -> list[Column]:
     return [
         member.alias("member_id"), name.alias("member_name"), post.alias("post_id"), start.alias("starts_at"), end.alias("ends_at"), description.alias("description"),
