@@ -5,7 +5,13 @@ characters), `access` (AKIA and capitals or digits, 18 or more), `hex` (16 or mo
 digits), and `guess`: the value that follows a credential name, a header word or a user in an address, if the cheapest way to
 guess it costs at least MIN_DECADES powers of ten. The cost is a dynamic programme over positions of the value: it is cut in
 common words, dates, repeats of what stands before, keyboard walks and brute-force spans, a cut's cost is the sum of its parts' and a charge for
-each further part, and the cheapest cut counts. A `guess` span equal to a base span's value is still listed.
+each further part, and the cheapest cut counts. A `guess` span equal to a base span's value is still listed. A value ends at a blank, quote, comma,
+semicolon, @, < or >, so a secret that holds one is found up to there.
+
+Code and placeholders: a value without quotes that is an expression of names (`process.env.API_TOKEN`, `get_token(request)`) is one guess, which
+costs what its dearest name's dearest word does and a little for each further word; so does a placeholder (`${DB_PASSWORD}`, `your-api-key-here`), quoted or
+not. A passphrase of words in one case change after the other, without quotes, reads as such a name. `redacted` leaves `assign` spans of
+such values as they are; the spans are listed all the same.
 
 Defined results: null text is the empty text and has no spans; repeated rows give equal results; whole texts of any
 length are scanned. Columns of the output's names are replaced, all others stay.
@@ -55,6 +61,15 @@ COMMON = (
 ).split()
 KEY_ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 
+# Words that mark a placeholder, and short words of names in code.
+MARKERS = frozenset("your my example sample dummy placeholder here change changeme insert todo redacted replace xxx fixme".split())
+SHORT = frozenset("to is id db of in on or no by at do go if it me my os fs io ui ok js py vm fn re as we an be he up us so am".split())
+_CODE = re.compile(r"[A-Za-z0-9_$.:>?()\[\]{}%#&*-]+")
+_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+_WRAPPED = re.compile(r"\$\{.*\}?|\$\(.*\)?|\{\{.*|%[A-Za-z0-9_]+%|\$[A-Za-z_].*")
+_SAID = re.compile(r"[aeiouy]", re.I), re.compile(r"[^aeiouy]{5}", re.I)
+#: Decades of a name's word that is not in the list, if it can be said, and of each further word.
+OWN_WORD, FURTHER = 6.0, 0.4
 _PLAIN = str.maketrans("4@310!5$7", "aaeioisst")
 _DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
 
@@ -139,8 +154,34 @@ def repeats(text: str) -> list[int]:
     return out
 
 
+def expression(value: str, quoted: bool = False) -> float | None:
+    """log10 of the guesses for a value that is an expression of names, or a placeholder; None for another. Quoted, only a placeholder."""
+    parts = [p for p in re.split(r"[^A-Za-z0-9]+", value) if p]
+    marked = _WRAPPED.fullmatch(value) is not None or any(p.lower() in MARKERS for p in parts)
+    if not parts or not _CODE.fullmatch(value) or (quoted and not marked) or ("-" in value.replace("->", "") and not marked):
+        return None
+    rank_of, costs = _ranked()[0], []
+    for part in parts:
+        words = _WORDS.findall(part)
+        for word in words:
+            lower = word.lower()
+            if (rank := rank_of.get(lower)) is not None:
+                costs.append(math.log10(rank + 1))
+            elif word.isdigit() and len(word) <= 4:
+                costs.append(float(len(word)))
+            elif word.isalpha() and (len(word) <= 4 if len(words) == 1 else lower in SHORT):
+                costs.append(len(word) * math.log10(26))
+            elif len(word) > 2 and word.isalpha() and _SAID[0].search(word) and not _SAID[1].search(word):
+                costs.append(min(OWN_WORD, len(word) * math.log10(26)))
+            else:
+                return None
+    if len(costs) < 2 and not marked and parts[0] == value:
+        return None
+    return max(costs) + FURTHER * (len(costs) - 1)
+
+
 @lru_cache(maxsize=1 << 16)
-def guess_decades(value: str) -> float:
+def guess_decades(value: str, quoted: bool = True) -> float:
     """log10 of the guesses that the cheapest way of guessing the value takes; 0 for the empty value. Work grows with its length."""
     if not value:
         return 0.0
@@ -167,6 +208,8 @@ def guess_decades(value: str) -> float:
         if i == n:
             break
         ways = [(1, size)]
+        if not i and (cost := expression(value, quoted)) is not None:
+            ways.append((n, cost))
         if again[i] >= REPEAT:
             ways.append((again[i], math.log10(i) + 0.3))
         for width in range(3, min(longest, n - i) + 1):
@@ -200,11 +243,22 @@ def spans(text: str) -> list[tuple[int, int, int]]:
     if any(h in lower for h in _CONTEXT_HINTS):
         for m in CONTEXT.finditer(text):
             value = m[1].rstrip(".")
-            if len(value) >= 6 and guess_decades(value) >= MIN_DECADES:
+            if len(value) >= 6 and guess_decades(value, _quoted(text, m.start(1))) >= MIN_DECADES:
                 out.append((m.start(1), 3, m.start(1) + len(value)))
     return sorted(out)
 
 
+def _quoted(text: str, start: int) -> bool:
+    return start > 0 and text[start - 1] in "\"'`"
+
+
+def _is_code(text: str, start: int, end: int) -> bool:
+    """Whether an `assign` span's value is a cheap expression of several names, or a call."""
+    m = ASSIGN.match(text, start, end)
+    cost = expression(m[2], _quoted(text, m.start(2)))
+    return cost is not None and cost < MIN_DECADES and (re.search(r"[._-]", m[2]) is not None or text[end : end + 1] in ("(", "["))
+
+
 def found(text: Column) -> Column:
     """The spans of each text: array<struct<kind,start,end>>, in order of start, then of kind."""
 
@@ -223,7 +277,7 @@ def scan(docs: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame
 
 
 def redacted(text: Column, mark: str = "[SECRET]") -> Column:
-    """Each text with its secrets replaced by the mark, spans that overlap as one; null stays null."""
+    """Each text with its secrets replaced by the mark, spans that overlap as one; null stays null. Assigned values that are code stay."""
 
     @F.arrow_udf("string")
     @tk.lean
@@ -231,7 +285,9 @@ def redacted(text: Column, mark: str = "[SECRET]") -> Column:
         out = []
         for value in column.to_pylist():
             parts, at = [], 0
-            for start, _, end in spans(value) if value else ():
+            for start, kind, end in spans(value) if value else ():
+                if kind == 0 and _is_code(value, start, end):
+                    continue
                 if start >= at:
                     parts += [value[at:start], mark]
                 at = max(at, end)
