@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .components import components
-from .scratch import stored
+from .scratch import stored, unused
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9995
 #: Hash functions at most.
@@ -250,9 +250,9 @@ def repeated(marked: DataFrame) -> bool:
 
 def unique(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """docs with one row of each group: a row of the group's smallest key. Rows with a null text all stay."""
-    found = stored(links(docs, key, text, **how), "jaccard-rows")
-    gone = found.where("not first").select(F.col("key").alias("__key"), F.col("text_name").alias("__text")).distinct()
-    same = F.col(key).cast("long").eqNullSafe(F.col("__key")) & (F.xxhash64(F.col(text)) == F.col("__text")) & F.col(text).isNotNull()
+    found, (own_key, own_text) = stored(links(docs, key, text, **how), "jaccard-rows"), unused(docs.columns, "key", "text")
+    gone = found.where("not first").select(F.col("key").alias(own_key), F.col("text_name").alias(own_text)).distinct()
+    same = F.col(key).cast("long").eqNullSafe(F.col(own_key)) & (F.xxhash64(F.col(text)) == F.col(own_text)) & F.col(text).isNotNull()
     kept = docs.join(gone, same, "left_anti")
     again = found.where("first").groupBy("key", "text_name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if again.isEmpty():

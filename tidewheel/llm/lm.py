@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .scratch import stored
+from .scratch import stored, unused
 
 #: Bytes of text that a task reads, counts and scores together, and how many requests meet in a task.
 UNIT, FAN = 8 << 20, 256
@@ -161,8 +161,9 @@ class Spelling:
         return out
 
 
-def _units(docs: DataFrame, text: str, training: Column, size: int) -> DataFrame:
-    """Rows (unit, row, texts, training): texts packed with zstd, and the rows' own numbers."""
+def _units(rows: DataFrame, size: int) -> DataFrame:
+    """Units (unit, rows, sizes, texts, training) of rows (text, training, row): texts packed with zstd, and the rows' own columns."""
+
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, marks = tk.as_bytes(batch.column("text")), batch.column("training").to_pylist()
@@ -181,7 +182,6 @@ def _units(docs: DataFrame, text: str, training: Column, size: int) -> DataFrame
                     names=["unit", "rows", "sizes", "texts", "training"],
                 )
 
-    rows = docs.select(F.col(text).alias("text"), F.coalesce(training, F.lit(False)).alias("training"), F.col("__row").alias("row"))
     kind = rows.schema["row"].dataType.simpleString()
     return rows.mapInArrow(packed, f"unit long, rows array<{kind}>, sizes array<long>, texts binary, training array<boolean>")
 
@@ -409,8 +409,9 @@ def score(docs: DataFrame, training: Column, text: str = "text", prefix: str = "
 
     training is a condition on columns of docs that marks the rows to learn from. All columns of docs ride with the texts. fan is a power of two."""
     spark = docs.sparkSession
-    row = F.struct(F.col(text).isNull().alias("__null"), *[F.col(f"`{c}`") for c in docs.columns if c != text])
-    units = stored(_units(docs.select(F.col(text).alias(text), F.coalesce(training, F.lit(False)).alias("__training"), row.alias("__row")), text, F.col("__training"), unit), "lm-units")
+    (none,) = unused(docs.columns, "none")
+    row = F.struct(F.col(text).isNull().alias(none), *[F.col(f"`{c}`") for c in docs.columns if c != text])
+    units = stored(_units(docs.select(F.col(text).alias("text"), F.coalesce(training, F.lit(False)).alias("training"), row.alias("row")), unit), "lm-units")
     given, sums = _answers(units.mapInArrow(_requests(fan), _ASKED_SQL), units.count(), 0, fan)
     total = sums.where("order = 1").agg(F.sum(F.get("totals", F.lit(0))), F.sum(F.get("totals", F.lit(1)))).first()
     tokens, different = total[0] or 0, total[1] or 0
@@ -445,6 +446,6 @@ def score(docs: DataFrame, training: Column, text: str = "text", prefix: str = "
     kind = f"row {kinds.simpleString()}, text string, n_tokens long, n_known long, base double, score double"
     given = given.select("unit", "order", "part", "n", "counts")
     out = units.select("unit", "rows", "sizes", "texts").groupBy("unit").cogroup(given.groupBy("unit")).applyInArrow(scored, kind)
-    shown = [F.when(~F.col("row.__null"), F.col("text")).alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in names]
+    shown = [F.when(~F.col(f"row.{none}"), F.col("text")).alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in names]
     results = (F.col("n_tokens"), F.col("n_known"), F.lit(tokens).cast("long"), F.col("base"), F.col("score"))
     return out.select(*shown, *[v.alias(c) for c, v in zip(names, results)])

@@ -36,11 +36,12 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _keyed(docs: DataFrame, key: str, text: str, source: str, seed: int) -> DataFrame:
-    """Adds the row's source, size and key: the first KEY_BITS bits of the MD5 of seed, key and text."""
+def _keyed(docs: DataFrame, keep: list[str], key: str, text: str, source: str, seed: int) -> DataFrame:
+    """The row's columns `keep` as a struct, its source, size and key: the first KEY_BITS bits of the MD5 of seed, key and text."""
     hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.col(text)).cast("binary"))
     number = F.conv(F.substring(hashed, 1, KEY_BITS // 4), 16, 10).cast("long")
-    return docs.withColumns({"__source": F.col(source), "__size": size_of(F.col(text)), "__key": number})
+    own = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__own")
+    return docs.select(own, F.col(source).alias("__source"), size_of(F.col(text)).alias("__size"), number.alias("__key"))
 
 
 def targets(totals: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = EPOCHS) -> DataFrame:
@@ -107,7 +108,7 @@ def cuts(keyed: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float =
 
 def sized(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0) -> DataFrame:
     """docs without their text, written with its size and key for `shared`."""
-    return stored(_keyed(docs, key, text, source, seed).drop(text), "mixing-sizes")
+    return stored(_keyed(docs, [c for c in docs.columns if c != text], key, text, source, seed), "mixing-sizes")
 
 
 def shared(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5) -> DataFrame:
@@ -115,9 +116,11 @@ def shared(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float =
     return _met(rows, stored(cuts(rows, weights, share), "mixing-cuts"))
 
 
-def taken(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, seed: int = 0) -> DataFrame:
-    """docs with their text and what `shared` adds; the texts are read again for that."""
-    rows = _keyed(docs, key, text, source, seed)
+def taken(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, seed: int = 0, keep: list[str] | None = None
+) -> DataFrame:
+    """docs with their text and what `shared` adds; the texts are read again for that. Only the columns `keep`, if they are named."""
+    rows = _keyed(docs, keep or docs.columns, key, text, source, seed)
     return _met(rows, stored(cuts(stored(rows.select("__source", "__key", "__size"), "mixing-sizes"), weights, share), "mixing-cuts"))
 
 
@@ -127,16 +130,15 @@ def _met(rows: DataFrame, found: DataFrame) -> DataFrame:
     named = found.withColumnRenamed("__source", "__s")
     joined = rows.join(F.broadcast(named) if few else named, F.col("__source").eqNullSafe(F.col("__s")))
     last = F.when(F.col("__key") < F.col("__cut"), F.col("__size")).when(F.col("__key") == F.col("__cut"), F.least(F.col("__rest"), F.col("__size"))).otherwise(0)
-    out = joined.withColumns(
-        {
-            "size": F.col("__size"),
-            "source_size": F.col("__total"),
-            "target": F.col("__target"),
-            "taken": (F.col("__epochs") * F.col("__size") + F.coalesce(last, F.lit(0))).cast("long"),
-            "epochs": F.col("__epochs"),
-        }
-    )
-    return out.drop("__source", "__size", "__key", "__s", "__total", "__target", "__epochs", "__cut", "__rest")
+    out = {
+        "size": F.col("__size"),
+        "source_size": F.col("__total"),
+        "target": F.col("__target"),
+        "taken": (F.col("__epochs") * F.col("__size") + F.coalesce(last, F.lit(0))).cast("long"),
+        "epochs": F.col("__epochs"),
+    }
+    own = [c for c in rows.schema["__own"].dataType.names if c not in out]
+    return joined.select(*[F.col(f"__own.`{c}`").alias(c) for c in own], *[v.alias(c) for c, v in out.items()])
 
 
 def mix(
@@ -145,8 +147,9 @@ def mix(
     """The mixed documents, with the columns of docs: each row as often as it is taken, the edge's rows cut after their last
     word that is taken. A row without words is kept once, as it costs nothing. `chars`, if docs have it, follows the cut text."""
     columns = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), F.col(key).alias(key), F.col(text).alias(text), F.col(source).alias(source))
-    rows = taken(packed, key, text, source, weights, share, seed)
+    row, at_key, at_text, at_source = "__row", "__k", "__t", "__s"
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias(row), F.col(key).alias(at_key), F.col(text).alias(at_text), F.col(source).alias(at_source))
+    rows = taken(packed, at_key, at_text, at_source, weights, share, seed, [row])
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
     part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0).cast("int")
     copies = F.concat(F.when(whole > 0, F.array_repeat(F.lit(-1), whole)).otherwise(F.array().cast("array<int>")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))

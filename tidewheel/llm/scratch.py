@@ -44,6 +44,16 @@ def dropped(*frames: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, made longer where a column has one of them; case doesn't count."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 #: Bytes of a batch of rows that a Python worker is given, where the session has not set it: a worker holds some copies of a batch.
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
