@@ -39,10 +39,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    out = docs.withColumns({"__before": F.length("text"), "text": secret_scan.redacted(F.col("text"))})
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.col("n_chars") + F.length("text") - F.col("__before"), F.col("n_chars")))
-    return out.select(docs.columns)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), secret_scan.redacted(F.col("text")).alias("text"))
+    own = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    if "n_chars" in own:
+        own["n_chars"] = F.coalesce(own["n_chars"] + F.length("text") - F.length("row.text"), own["n_chars"])
+    return packed.select(*[(F.col("text") if c == "text" else x).alias(c) for c, x in own.items()])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
