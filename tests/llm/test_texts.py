@@ -171,10 +171,10 @@ def test_secret_query(spark):
 
 def test_licences(spark, edge, none):
     rules = licenses.standard()
-    mit = " ".join(licenses.SENTENCES[k][0] for k in ("mit-grant", "mit-notice-kept", "as-is", "no-liability"))
+    mit = " ".join(licenses.SENTENCES[k][0].format("THE AUTHORS") for k in ("mit-grant", "mit-notice-kept", "as-is", "no-liability"))
     assert [n for _, _, n in rules.matches("Copyright 2020.\n" + mit + "\nMore text.")] == ["MIT"]
     assert [n for _, _, n in rules.matches(mit.replace("\n", " ").upper())] == ["MIT"]
-    bsd = [licenses.SENTENCES[k][0] for k in ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")]
+    bsd = [licenses.SENTENCES[k][0].format("the University") for k in ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")]
     assert [n for _, _, n in rules.matches("\n".join(bsd))] == ["BSD-3-Clause"] and [n for _, _, n in rules.matches("\n".join(bsd[:3]))] == ["BSD-2-Clause"]
     assert rules.matches("\n".join([bsd[1], bsd[0], bsd[2]])) == [], "the order counts"
     far = "\n".join([bsd[0], "One.", "Two.", bsd[1], bsd[2]])
@@ -186,7 +186,7 @@ def test_licences(spark, edge, none):
 
 
 def test_wrapped_licences():
-    rules, known = licenses.standard(), licenses.SENTENCES
+    rules, known = licenses.standard(), {k: [x.replace("{}", "Some One, Inc.") for x in v] for k, v in licenses.SENTENCES.items()}
     texts = {
         "MIT": [known[k][0] for k in ("mit-grant", "mit-notice-kept", "as-is", "no-liability")],
         "BSD-2-Clause": [known["bsd-grant"][0], "1. " + known["bsd-source"][0], "2. " + known["bsd-binary"][0]],
@@ -208,6 +208,63 @@ def test_wrapped_licences():
     assert rules.matches("Licensed under the\nMIT. License") != [] and rules.matches("Licensed under the MIT or another License") == []
 
 
+NOTICE = """/*
+ * Copyright (c) 1998, 2004 {holder}
+ * All rights reserved.
+ *
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:
+ * 1. Redistributions of source code must retain the above copyright
+ *    notice, this list of conditions and the following disclaimer.
+ * 2. Redistributions in binary form must reproduce the above copyright
+ *    notice, this list of conditions and the following disclaimer in the
+ *    documentation and/or other materials provided with the distribution.
+{third} *
+ * THIS SOFTWARE IS PROVIDED BY {holder} ``AS IS'' AND
+ * ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+ * IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
+ * ARE DISCLAIMED.
+ */
+#include <stdio.h>
+"""
+THIRD = {
+    "neither": " * 3. Neither the name of {holder} nor the names of its contributors\n *    may be used to endorse or promote products derived from this software\n *    without specific prior written permission.\n",
+    "the name": " * 3. The name of the author may not be used to endorse or promote products\n *    derived from this software without specific prior written permission.\n",
+    "advert": " * 3. All advertising materials mentioning features or use of this software\n *    must display the following acknowledgement:\n *      This product includes software developed by {holder}.\n"
+    " * 4. Neither the name of {holder} nor the names of its contributors\n *    may be used to endorse or promote products derived from this software\n *    without specific prior written permission.\n",
+}
+
+
+def test_notices_of_any_holder():
+    names = lambda text: [n for _, _, n in licenses.standard().matches(text) if n != "LicenseRef-reserved"]
+    for holder in ("the copyright holder", "the University", "Google Inc.", "the <organization>", "The Regents of the University of California, Berkeley, and its contributors", "J. R. \"Bob\" Dobbs"):
+        for third, want in (("", "BSD-2-Clause"), (THIRD["neither"], "BSD-3-Clause"), (THIRD["the name"], "BSD-3-Clause"), (THIRD["advert"], "BSD-4-Clause")):
+            text = NOTICE.format(holder=holder, third=third.format(holder=holder))
+            assert names(text) == [want], (holder, want)
+            (a, b, _), = [x for x in licenses.standard().matches(text) if x[2] == want]
+            assert text[a:b].lstrip(" *").startswith("Redistribution and use") and text[a:b].rstrip(".").endswith(("permission", "acknowledgement:") if third else "distribution")
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in\nall copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL {} BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER\nLIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,\nOUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE\nSOFTWARE."
+    for holder in ("THE X CONSORTIUM", "THE\nAUTHORS OR COPYRIGHT HOLDERS"):
+        (a, b, name), = licenses.standard().matches(mit.format(holder))
+        assert name == "MIT" and b == len(mit.format(holder))
+
+
+def test_tags():
+    found = lambda text: [(n, text[a:b]) for a, b, n in licenses.standard().matches(text)]
+    tag = "SPDX-License-Identifier: "
+    for text, names in (
+        ("MIT", ["MIT"]), ("MIT OR Apache-2.0", ["Apache-2.0", "MIT"]), ("BSD-3-Clause", ["BSD-3-Clause"]), ("GPL-2.0", ["GPL-2.0"]), ("GPL-2.0+", ["GPL-2.0"]), ("GPL-3.0-or-later", ["GPL-3.0"]), ("(MIT AND (BSD-2-Clause OR ISC))", ["BSD-2-Clause", "ISC", "MIT"]),
+        ("GPL-2.0-only WITH Classpath-exception-2.0", ["GPL-2.0"]), ("LGPL-2.1-or-later WITH x-exception OR mit", ["LGPL-2.1", "MIT"]), ("LicenseRef-Own-1", ["LicenseRef-Own-1"]), ("Zlib", ["Zlib"]),
+    ):
+        for before, after in (("// ", "\n"), ("/* ", " */ int x;"), ("# ", ""), ("<!-- ", " -->")):
+            assert found(before + tag + text + after) == [(n, (tag + text).rstrip()) for n in names], text
+    assert found(tag + "see LICENSE") == [] and found(tag) == [] and found(tag + "\nMIT") == [] and found("MIT OR Apache-2.0") == []
+    assert found(tag + "MIT and more words") == [("MIT", tag + "MIT")]
+    both = f"# {tag}MIT\n\nLicensed under the Apache License, Version 2.0.\n"
+    assert [n for n, _ in found(both)] == ["MIT", "Apache-2.0"]
+
+
 def test_licence_query(spark):
     from tidewheel.llm.queries import op7_license_scan
 
@@ -310,8 +367,15 @@ def _licences_by_hand(text):
     for a, b in zip(at, at[1:]):
         between = text[a.end() : b.start()]
         sentence.append(sentence[-1] + bool(re.search(r"[.:;!?]\s|\n[^\w\n]*\n", between)))
-    known = [(licenses.normalised(s).split(), k) for k, several in licenses.SENTENCES.items() for s in several]
-    seen = [(i, i + len(w) - 1, k) for w, k in known for i in range(len(words)) if words[i] == w[0] and words[i : i + len(w)] == w]
+    seen = set()
+    for k, several in licenses.SENTENCES.items():
+        for s in several:
+            head, *tail = [licenses.normalised(p).split() for p in s.split("{}")]
+            for i in [i for i in range(len(words)) if words[i] == head[0] and words[i : i + len(head)] == head]:
+                ends = [i + len(head) - 1]
+                if tail:
+                    ends = [c + len(tail[0]) - 1 for c in range(i + len(head) + 1, i + len(head) + licenses.HOLDER + 1) if words[c : c + len(tail[0])] == tail[0]][:1]
+                seen |= {(i, end, k) for end in ends}
     seen = sorted(x for x in seen if not any(y[:2] != x[:2] and y[0] <= x[0] and x[1] <= y[1] for y in seen))
     out, i = [], 0
     while i < len(seen):
@@ -329,13 +393,14 @@ def _licences_by_hand(text):
 
 def test_licences_by_brute_force():
     r, rules = random.Random(11), licenses.standard()
-    every = [s for several in licenses.SENTENCES.values() for s in several]
+    holders = ["the copyright holder", "Example, Inc.", "THE AUTHORS OR COPYRIGHT HOLDERS", "the <organization>", " ".join(["word"] * (licenses.HOLDER + 1))]
+    every = [s.replace("{}", h) for several in licenses.SENTENCES.values() for s in several for h in (holders if "{}" in s else holders[:1])]
     orders = [rule for several in licenses.RULES.values() for rule in several]
     matched = 0
     for n in range(400):
         parts = []
         for _ in range(r.randint(1, 5)):
-            parts += [r.choice(licenses.SENTENCES[k]) for k in r.choice(orders)] if r.random() < 0.6 else [r.choice(every)]
+            parts += [r.choice(licenses.SENTENCES[k]).replace("{}", r.choice(holders)) for k in r.choice(orders)] if r.random() < 0.6 else [r.choice(every)]
             parts += [prose(n, 4) + r.choice(["", ".", "!"]) for _ in range(r.randint(0, 4))]
         text = "".join(p + r.choice([" ", "\n", "\n\n", "\n # \n", " * "]) for p in parts)
         want = _licences_by_hand(text)
