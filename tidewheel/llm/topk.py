@@ -10,15 +10,18 @@ c = t / (|q| l):
   bucket gives the vectors to verify;
 * else length pruning: only the bucket's vectors of length t / |q| or more are verified.
 
-The bound t comes from the bucket of the longest vectors, and rises with what a task finds from bucket to bucket. Products are verified
-in whole numbers, and ties go to the smaller identifier, so a score equal to t still counts. Bounds in floating point are widened by a
-relative SLACK.
+Products are verified in whole numbers, and ties go to the smaller identifier, so a score equal to t still counts. Bounds in floating point are
+widened by a relative SLACK.
 
 How it is distributed. Every vector is shuffled once, to its bucket, which is written as one row. Queries are broadcast, at most CHUNK bytes
-of them at a time, and tasks go through the buckets where they are; of each chunk only scores that reach the bounds are shuffled. So
-the shuffle grows with the vectors and the queries, not with their product; the work grows with the product, less what is pruned.
-
-Vectors are integers: every component x becomes floor(SCALE * x). Defined results: a vector that is null, or has a null or
+of them at a time, and tasks go through the buckets where they are, in waves: first the bucket of the longest vectors, and then each time
+GROWTH times as many as have been seen. After each wave the k best of each query so far give the bounds of the next one, which also rise within a
+task from bucket to bucket; only scores that reach them are shuffled. Of vectors that come in no order of score, as those of equal length may,
+a wave lets through some k GROWTH rows of a query, however many tasks it has, and waves are as many as the logarithm of the buckets. So the shuffle
+grows with the vectors, and with the queries times that logarithm; the work grows with the queries times the vectors, less what is pruned.
+
+Vectors are integers: every component x becomes floor(SCALE * x). A component, or one of the best scores, of 2**63 or more is an error, as it is no whole
+number of 64 bits; none is ever returned wrong. Defined results: a vector that is null, or has a null or
 non-finite component, takes no part, nor does a null identifier; vectors of another dimension than the query score over
 the components that both have; zero vectors score 0 and take part. Identifiers are whole numbers. Repeated identifiers are separate rows, and a
 query meets no row of its own identifier. An empty table gives no rows; fewer than k candidates give all.
@@ -40,13 +43,21 @@ from .scratch import dropped, place, stored
 SCALE = 64
 #: Vectors of a bucket, queries that a task takes together, and bytes of queries that are broadcast together.
 BUCKET, BLOCK, CHUNK = 4096, 512, 32 << 20
+#: Buckets of a wave for each one that was seen before it.
+GROWTH = 3
 COORDINATE, FOCUS, SLACK = 0.8, 4, 1e-6
+#: Somewhat below 2**63, as products are compared with it in floating point.
+LIMIT = 2.0**63 * (1 - 1e-9)
+#: What stands for a product beyond 64 bits until it is known whether it is among the best.
+ENDS = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 def whole(vector: Column, scale: int = SCALE) -> Column:
     """Components as floor(scale * x), array<long>; null for a vector that takes no part."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-    return F.when(vector.isNotNull() & ~bad, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
+    wide = F.exists(vector, lambda x: F.abs(F.floor(x.cast("double") * scale)) >= LIMIT)
+    whole = F.when(wide, F.raise_error(F.lit("a component of a vector needs more than 64 bits")).cast("array<long>")).otherwise(F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
+    return F.when(vector.isNotNull() & ~bad, whole)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -67,9 +78,11 @@ def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     width = min(queries.shape[1], rows.shape[1])
     a, b = queries[:, :width], rows[:, :width]
     largest = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(width, 1)
+    about = a.astype(np.float64) @ b.astype(np.float64).T
     if largest < 2**53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+        return about.astype(np.int64)
+    exact = a @ b.T  # partial sums may wrap around, but not the whole
+    return exact if largest < LIMIT else np.where(np.abs(about) < LIMIT, exact, np.where(about > 0, *ENDS[::-1]))
 
 
 class Bucket:
@@ -158,6 +171,8 @@ class Best:
         begin = np.searchsorted(query, np.arange(len(self.ids)))
         kept = np.arange(len(query)) - begin[query] < self.k
         self.query, self.found, self.score = query[kept], found[kept], score[kept]
+        if np.isin(self.score, ENDS).any():
+            raise OverflowError("a score needs more than 64 bits")
         last = np.searchsorted(self.query, np.arange(len(self.ids)), side="right") - 1
         full = np.flatnonzero(np.bincount(self.query, minlength=len(self.ids)) == self.k)
         self.bounds[full] = np.maximum(self.bounds[full], self.score[last[full]])
@@ -192,13 +207,7 @@ def _met(queries: DataFrame, buckets: DataFrame, k: int) -> tuple[DataFrame, Bro
 def _packed(group: pa.Table) -> pa.Table:
     """A bucket's vectors as one row."""
     ids, rows = group["vec_id"].to_numpy(), _matrix(group["v"].combine_chunks())
-    longest = float(group["length"].to_numpy().max())
-    return pa.table(
-        {
-            "range": group["range"][:1].cast(pa.int32()), "part": group["part"][:1].cast(pa.int32()), "longest": pa.array([longest]),
-            "ids": pa.array([ids.tobytes()], pa.binary()), "rows": pa.array([rows.astype(np.int64).tobytes()], pa.binary()),
-        }
-    )
+    return pa.table({"place": group["place"][:1].cast(pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()), "rows": pa.array([rows.astype(np.int64).tobytes()], pa.binary())})
 
 
 def _top(rows: DataFrame, k: int) -> DataFrame:
@@ -225,30 +234,41 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     ranged = rows.withColumn("range", range_of("length")) if bounds else rows.withColumn("range", F.lit(0))
     sizes = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("rows"))
     cut = sizes.select("range", F.ceil(F.col("rows") / (2 * BUCKET)).cast("int").alias("parts"))
+    before = F.coalesce(F.sum("parts").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = stored(cut.withColumn("before", before), "topk-cuts")  # a row a range
     placed = ranged.join(F.broadcast(cut) if count <= 100_000 else cut, "range")
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int"))
-    packed = placed.groupBy("range", "part").applyInArrow(_packed, "range int, part int, longest double, ids binary, rows binary")
+    placed = placed.withColumn("place", F.col("before") + F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")))
+    packed = placed.select("place", "vec_id", "v").groupBy("place").applyInArrow(_packed, "place long, ids binary, rows binary")
     buckets = stored(packed, "topk-buckets")
     queries = rows.where("query").select(F.col("vec_id").alias("query_id"), "v")
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
-    first = buckets.select("range", "part").orderBy("range", "part").first()
-    if not first or not size["n"]:
+    if not n or not size["n"]:
         return _top(spark.createDataFrame([], _FOUND), k).select("query_id", "rank", "vec_id", "score")
-    is_first = (F.col("range") == first["range"]) & (F.col("part") == first["part"])
-    others = buckets.where(~is_first).sortWithinPartitions(F.desc("longest"))
+    total, waves = cut.agg(F.sum("parts")).first()[0], [0, 1]
+    while waves[-1] < total:
+        waves.append(waves[-1] * (1 + GROWTH))
     chunks = -(-size["n"] * 8 * max(1, size["width"]) // CHUNK)
     where = place(spark, "topk-found")
-    for i in range(chunks):  # a job for each CHUNK bytes of queries, over all buckets; all jobs' rows go to one table
+    for i in range(chunks):  # a job a wave for each CHUNK bytes of queries; all chunks' rows go to one table
         own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == i)
-        found, held = _met(own.withColumn("bound", F.lit(None).cast("long")), buckets.where(is_first), k)
-        seeds = stored(_top(found, k).drop("rank"), "topk-seeds")
-        held.destroy()
-        known = seeds.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).select("query_id", F.when(F.col("n") >= k, F.col("least")).alias("bound"))
-        rest, held = _met(own.join(known, "query_id", "left"), others, k)
-        best = _top(seeds.unionByName(rest), k)
-        if chunks > 1:
-            best.write.mode("append").parquet(where)
+        best, known = None, own.withColumn("bound", F.lit(None).cast("long"))
+        for low, high in zip(waves, waves[1:]):
+            wave = buckets.where((F.col("place") >= low) & (F.col("place") < high))
+            found, held = _met(known, wave, k)
+            new = _top(found if best is None else found.unionByName(best), k).select("query_id", "vec_id", "score", "rank")
+            last = high >= total
+            if last and chunks == 1:
+                best = new
+                break
+            if last:
+                new.write.mode("append").parquet(where)
+            else:
+                new = stored(new.drop("rank"), "topk-best")
+                full = new.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
+                known = own.join(full.select("query_id", F.when(F.col("n") >= k, F.col("least")).alias("bound")), "query_id", "left")
             held.destroy()
-            dropped(seeds)
+            if best is not None:
+                dropped(best)
+            best = new
     out = spark.read.schema(best.schema).parquet(where) if chunks > 1 else best
     return out.select("query_id", "rank", "vec_id", "score")
