@@ -119,6 +119,40 @@ def test_search(spark, monkeypatch, spread):
     assert topk.search(few.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_beyond_64_bits(spark):
+    """A score or component that is no whole number of 64 bits is an error; sums that only pass beyond them on the way are right."""
+    find = lambda *vectors: topk.search(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>"), F.col("vec_id") == 0, scale=1).collect()
+    big = 2.0**31
+    assert [(r["vec_id"], r["score"]) for r in find([big, big, -big], [big, big, big], [1.0, 0.0, 0.0])] == [(1, 2**62), (2, 2**31)]
+    for vectors in (([1e10, 1.0], [1e10, 2.0]), ([1e18], [64.0]), ([-1e30], [1.0]), ([1.0], [float(2**63)])):
+        with pytest.raises(Exception, match="64 bits|OVERFLOW|overflow"):
+            find(*vectors)
+
+
+def test_top_k_rows_do_not_grow_with_tasks(spark, monkeypatch):
+    """Of unit vectors in no order of score, the rows that tasks give for a query grow as the logarithm of the buckets do."""
+    monkeypatch.setattr(topk, "BUCKET", 20)
+    given = []
+    real = topk._top
+    monkeypatch.setattr(topk, "_top", lambda rows, k: given.append(rows.count()) or real(rows, k))
+    counts = {}
+    for n in (640, 5120):
+        r = np.random.default_rng(n)
+        v = r.normal(size=(n, 12))
+        v /= np.sqrt((v**2).sum(axis=1))[:, None]
+        df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "vec_id long, embedding array<double>")
+        given.clear()
+        got = topk.search(df, F.col("vec_id") < 10, k=5, scale=1000)
+        assert got.count() == 50
+        counts[n] = sum(given) / 10
+        e = np.floor(1000 * v).astype(np.int64)
+        for x in got.where("rank = 1").collect():
+            scores = e @ e[x["query_id"]]
+            scores[x["query_id"]] = -(10**9)
+            assert x["score"] == scores.max()
+    assert counts[5120] < 2.5 * counts[640]  # with eight times the buckets
+
+
 def test_pruning_by_coordinate_is_used():
     r = np.random.default_rng(1)
     rows = np.floor(64 * r.normal(size=(500, 8))).astype(np.int64)
@@ -290,6 +324,30 @@ def test_lm_by_brute_force(spark, fan):
         assert abs(got[i]["score"] - want) < 1e-5 * max(1, abs(want)), (i, t)
 
 
+@pytest.mark.parametrize("fan", [4, 2])
+def test_lm_counts_beyond_32_bits(spark, fan):
+    """Sums of more than 2**32, with one level of the tree and with two."""
+    for values in ([0, 1, 2**32 - 1], [5, 2**32 + 5, 2**40], []):
+        values = np.array(values, dtype=np.int64)
+        assert lm._read_counts(len(values), lm._counts(values)).tolist() == values.tolist()
+    hashes = np.sort(np.random.default_rng(1).integers(1, 2**48, 50, dtype=np.uint64) << np.uint64(16))
+    cells = np.arange(0, 50_000, 1000, dtype=np.uint64)
+    rows, want = [], np.zeros(50, np.int64)
+    for unit in range(4):
+        own = np.arange(unit, 50, 1 + unit)
+        counts = 2**31 + own * 2**28
+        want[own] += counts
+        rows += lm._ranges(unit, 1, 0, 0, hashes[own], counts, fan) + lm._ranges(unit, 0, 0, 0, cells[own], counts, fan)
+    answers, totals = lm._answers(spark.createDataFrame([(u, o, p, n, bytearray(v), bytearray(c)) for u, o, p, n, v, c in rows], lm._ASKED_SQL), 4, 0, fan)
+    for unit in range(4):
+        given = sorted((r["part"], r["n"], bytes(r["counts"])) for r in answers.where(f"unit = {unit} and order = 1").collect())
+        got = np.concatenate([lm._read_counts(n, c) for _, n, c in given])
+        assert got.tolist() == want[np.arange(unit, 50, 1 + unit)].tolist() and got.max() > 2**32
+    assert sum(r["totals"][0] for r in totals.where("order = 1").collect()) == want.sum()
+    spelled = np.concatenate([lm._read_counts(r["n"], bytes(r["counts"])) for r in totals.where("order = 0").collect()])
+    assert sorted(spelled.tolist()) == sorted(want.tolist())
+
+
 def test_lm_reads_pieces_of_a_text_as_the_whole():
     train = [t.encode() for t in _small_corpus(3, 30)]
     totals, spelling, counts = _local_model(train)

@@ -17,7 +17,7 @@ How it is distributed. Texts are packed, in the order they are read, into units
 written once. Each unit asks for its different n-grams (hashes), already counted within the unit, and builds the part of the automaton that its
 texts can pass from the sums. Requests go up a tree: FAN units' requests for one of FAN ranges of the hashes meet in a task, which
 sums them; where there are more than FAN units, the sums go on, in FAN narrower ranges, to be met by those of FAN such groups, and so on;
-the sums of the last step go the same way back. So a unit has FAN rows for each order and a level adds no more than that, every task
+the sums of the last step go the same way back. Fewer units than FAN meet in as few ranges as they need. So a unit has FAN rows for each order and a level adds no more than that, every task
 holds about a unit's n-grams, and what is shuffled are different n-grams, not tokens. No task holds the whole model. The
 table of byte counts has a fixed size and is broadcast.
 
@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .scratch import stored, unused
 
-#: Bytes of text that a task reads, counts and scores together, and how many requests meet in a task.
-UNIT, FAN = 8 << 20, 256
+#: Bytes of text that a task reads, counts and scores together, and how many requests meet in a task at most.
+UNIT, FAN = 8 << 20, 4096
 #: Of the failure weights of one and of two words, and of the words alone.
 KNEE, SLOPE, D = (20.0, 5.0), (0.2, 0.3), 0.7
 #: Tokens of a long text that are read in one go: pieces of a text are read side by side, each after the two tokens before it, which lead from any state to the text's own.
@@ -204,11 +204,13 @@ def _decoded(n: int, coded: bytes) -> np.ndarray:
 
 
 def _counts(values: np.ndarray) -> bytes:
-    return pa.compress(values.astype(np.uint32).tobytes(), "zstd", asbytes=True)
+    """Counts, compressed, after the number of bytes that each takes: four, or eight where one needs them."""
+    width = 4 if values.max(initial=0) < 1 << 32 else 8
+    return bytes([width]) + pa.compress(values.astype(f"<u{width}").tobytes(), "zstd", asbytes=True)
 
 
 def _read_counts(n: int, coded: bytes) -> np.ndarray:
-    return np.frombuffer(pa.decompress(coded, 4 * n, "zstd", asbytes=True), dtype=np.uint32).astype(np.int64)
+    return np.frombuffer(pa.decompress(coded[1:], coded[0] * n, "zstd", asbytes=True), dtype=f"<u{coded[0]}").astype(np.int64)
 
 
 def _requests(fan: int):
@@ -404,15 +406,18 @@ def _scores(texts: list[bytes], counts, totals: Totals, spelling: Spelling) -> n
     return np.stack([unit.count, np.add.reduceat(one > 0, unit.begin, dtype=np.int64), np.add.reduceat(base, unit.begin), score], axis=1)
 
 
-def score(docs: DataFrame, training: Column, text: str = "text", prefix: str = "", unit: int = UNIT, fan: int = FAN) -> DataFrame:
+def score(docs: DataFrame, training: Column, text: str = "text", prefix: str = "", unit: int = UNIT, fan: int | None = None) -> DataFrame:
     """docs with `n_tokens`, `n_known`, `train_tokens`, `base_score` and `score`, each named with the prefix.
 
-    training is a condition on columns of docs that marks the rows to learn from. All columns of docs ride with the texts. fan is a power of two."""
+    training is a condition on columns of docs that marks the rows to learn from. All columns of docs ride with the texts. fan is a power of two, by default the least that
+    all units can meet in, or FAN."""
     spark = docs.sparkSession
     (none,) = unused(docs.columns, "none")
     row = F.struct(F.col(text).isNull().alias(none), *[F.col(f"`{c}`") for c in docs.columns if c != text])
     units = stored(_units(docs.select(F.col(text).alias("text"), F.coalesce(training, F.lit(False)).alias("training"), row.alias("row")), unit), "lm-units")
-    given, sums = _answers(units.mapInArrow(_requests(fan), _ASKED_SQL), units.count(), 0, fan)
+    n = units.count()
+    fan = fan or min(FAN, max(2, 1 << (n - 1).bit_length()))
+    given, sums = _answers(units.mapInArrow(_requests(fan), _ASKED_SQL), n, 0, fan)
     total = sums.where("order = 1").agg(F.sum(F.get("totals", F.lit(0))), F.sum(F.get("totals", F.lit(1)))).first()
     tokens, different = total[0] or 0, total[1] or 0
     cells = np.zeros(int(Spelling.OFFSETS[-1]), dtype=np.int64)
