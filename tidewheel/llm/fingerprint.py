@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
+from .scratch import stored
 
 BINS = 512
 #: Bytes of text of a partition, and partitions at most: a partition is streamed, so that larger ones take time, not memory.
@@ -103,10 +104,13 @@ def in_sequence(docs: DataFrame, key: str = "doc_id", text: str = "text", parts:
     Buckets are ranges of the key between approximate quantiles, for PART_BYTES each. A key that several quantiles share, as null may, has a
     bucket of its own, which ranges of the text's hash divide."""
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("key").isNull()).alias("none"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    hashed = rows.withColumn("hash", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    # All that is asked of the texts before they are dealt comes from one scan of them.
+    marks = stored(hashed.select("key", "hash", F.octet_length("text").alias("bytes")), "fingerprint-marks")
+    size = marks.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("key").isNull()).alias("none"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
     parts = parts or max(1, min(-(-size["bytes"] // PART_BYTES), size["n"], PARTS))
     steps = [i / parts for i in range(1, parts)]
-    found = Counter(rows.select("key").approxQuantile("key", steps, 0.1 / parts) if steps else [])
+    found = Counter(marks.select("key").approxQuantile("key", steps, 0.1 / parts) if steps else [])
     alone = [b for b, n in found.items() if n > 1 and b + 1 > b]
     bounds = np.array(sorted({*found, *(b + 1 for b in alone)}), dtype=np.float64)
     # By bucket before its division: from the largest keys to the smallest, then null.
@@ -127,8 +131,7 @@ def in_sequence(docs: DataFrame, key: str = "doc_id", text: str = "text", parts:
     def bucket(keys: pa.Array, hashes: pa.Array) -> pa.Array:
         return pa.array(bucket_of(keys, hashes).astype(np.int32))
 
-    hashed = rows.withColumn("hash", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    first = hashed.select(bucket("key", "hash").alias("bucket"), "key", "hash").groupBy("bucket").agg(F.max(F.struct("key", F.bitwise_not("hash").alias("hash"))).alias("head"))
+    first = marks.select(bucket("key", "hash").alias("bucket"), "key", "hash").groupBy("bucket").agg(F.max(F.struct("key", F.bitwise_not("hash").alias("hash"))).alias("head"))
     heads = {r["bucket"]: (r["head"]["key"], ~r["head"]["hash"]) for r in first.collect()}  # a row a bucket
     order = sorted(heads)
     before = {b: order[i - 1] for i, b in enumerate(order)}
