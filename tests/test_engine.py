@@ -202,6 +202,9 @@ def test_groups_and_snapshots(spark, tmp_path):
     assert [r["post_id"] for r in groups.feed(now).collect()] == [3, 2, 1]
     assert [r["post_id"] for r in groups.feed(now, "favorites", ["10"]).collect()] == [2, 1]
     assert groups.feed(now, "tag:blue").count() == 0
+    flat = groups.listed(p.drop("body_html"), bodies, members(spark))
+    assert flat.columns == groups.exploded(now).columns and groups.feed(flat).collect() == groups.feed(now).collect()
+    assert groups.feed(flat, "favorites", ["10"]).collect() == groups.feed(now, "favorites", ["10"]).collect()
     assert groups.new_count(before, now).first()[0] == 1
     assert [r["tag"] for r in groups.tags(members(spark)).collect()] == ["red", "blue"]
 

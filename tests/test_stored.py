@@ -208,6 +208,7 @@ CASES = [
     ("12:00", "t", "3/15 20:30~23:00", [("2024-03-15", "20:30", "23:00")]),
     ("12:00", "t", "2024-12-31 24시", [("2025-01-01", "00:00", None)]),
     ("12:00", "t", "1월 2일 오전 9시부터 10시", [("2024-01-02", "09:00", "10:00")]),
+    ("12:00", "t", "밤 11시~1시", [("2024-03-13", "23:00", "01:00")]),
     ("12:00", "t", "2월 30일 오후 1 시 5 분", [("2024-03-13", "13:05", None)]),
     ("12:34", "t", "바로 킵니다", [("2024-03-13", "12:34", None)]),
     ("12:34", "t", "곧 알려드릴게요", [("2024-03-13", None, None)]),
@@ -224,10 +225,28 @@ def test_extraction(spark):
     assert got == {i: case[3] for i, case in enumerate(CASES)}
     told = rows.where("post_id = 0").select(extract.items(F.lit("합방 " + "x" * 30), F.lit("오늘 8시 Ada와 Bo"), F.col("posted_at"), ["Ada", "Bo", "Cy"]).alias("x")).first()["x"][0]
     assert (told["description"], told["mentioned_bjs"]) == ("합방 " + "x" * 17, ["Ada", "Bo"])
-    nan = extract.results(rows, []).where("post_id = 11").first()
+    nan = extract.results(rows, []).where("post_id = 12").first()
     assert (nan["status"], nan["json"]) == ("ok", "[]")
 
 
+def test_job_with_rules_and_attempts(spark):
+    """Candidates read by rules give the job's results; a post that failed before waits."""
+    post = lambda n, m, title, body: (n, m, f"n-{m}", "", n, title, body, T(2024, 3, 10, 9), 5000, False, T(2024, 3, 10))
+    p = spark.createDataFrame([post(1, "a", "오늘 합방", "<p>8시 Bo 랑 방송해요</p>"), post(2, "b", "공지", "<p>방송 얘기는 없습니다</p>"), post(3, "c", "내일 방송", "<p>오전 11시부터 1시까지</p>")], schemas.POSTS)
+    roster = readers.roster(spark, [("a", "Ada", None, True, 1), ("b", "Bo", None, True, 2), ("c", "Cy", None, True, 3)])
+    none = spark.createDataFrame([], schemas.SCHEDULES)
+    waiting = spark.createDataFrame([(3, 1, T(2024, 3, 10, 12, 5))], schemas.ATTEMPTS)
+    as_of = "2024-03-10 12:00:00"
+    found = parse.candidates(p, none, as_of, attempts=waiting)
+    after = parse.parse(p, none, extract.results(found, ["Ada", "Bo", "Cy"]), roster, as_of, attempts=waiting)
+    got = {(r["post_id"], r["starts_at"]): (r["member_id"], r["raw_text"]) for r in after.collect()}
+    assert got == {(1, T(2024, 3, 10, 11)): ("a", "오늘 합방: 20:00~?"), (2, T(2024, 3, 10, 11)): ("b", "합방(n-a): 20:00~?"), (2, T(2024, 3, 9, 15)): ("b", schemas.SENTINEL)}
+    later = parse.candidates(p, after, "2024-03-10 12:05:00", attempts=waiting)
+    assert [r["post_id"] for r in later.collect()] == [3]
+    read = extract.results(later, []).select(extract.F.from_json("json", tx.PARSED)[0].alias("x")).first()["x"]
+    assert (read["date"], read["start_time"], read["end_time"]) == ("2024-03-11", "11:00", "13:00")
+
+
 def test_attempts(spark):
     none = spark.createDataFrame([], schemas.ATTEMPTS)
     results = lambda *rows: spark.createDataFrame([(p, s, "") for p, s in rows], schemas.PARSE_RESULT)

@@ -158,7 +158,7 @@ def new_vs_existing(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT o_orderkey AS post_id, o_orderdate AS posted_at FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)""")
 def unparsed_posts(spark: SparkSession, d: str) -> DataFrame:
-    return posts(spark, d).join(slots(spark, d).select("post_id"), "post_id", "left_anti").select("post_id", "posted_at")
+    return pr.unread(posts(spark, d), slots(spark, d)).select("post_id", "posted_at")
 
 
 @query("""SELECT o_custkey::VARCHAR AS member_id, o_orderkey AS post_id, o_orderdate AS posted_at FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""")
@@ -384,17 +384,16 @@ def delete_by_key(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT c_custkey::VARCHAR AS member_id, coalesce(e.live, false) AS live FROM customer LEFT JOIN (SELECT user_id, bool_or(event_type = 'purchase') AS live FROM events GROUP BY 1) e ON e.user_id = c_custkey""")
 def live_status(spark: SparkSession, d: str) -> DataFrame:
-    status = _read(spark, d, "events").groupBy(F.col("user_id").alias("__id")).agg(F.bool_or(F.col("event_type") == "purchase").alias("live"))
-    asked = _read(spark, d, "customer").select(F.col("c_custkey").alias("id"))
-    return asked.join(status, F.col("id") == F.col("__id"), "left").select(F.col("id").cast("string").alias("member_id"), F.coalesce("live", F.lit(False)).alias("live"))
+    status = _read(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("member_id")).agg(F.bool_or(F.col("event_type") == "purchase").alias("live"))
+    return feeds.live_of(members(spark, d).select("member_id"), status.withColumn("http_ok", F.lit(True)))
 
 
 @query("""SELECT o_custkey::VARCHAR AS member_id, c_mktsegment AS tag, o_orderkey AS post_id, o_orderdate AS posted_at FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING'""")
 def tag_feed(spark: SparkSession, d: str) -> DataFrame:
     notices = posts(spark, d)
     bodies = notices.select("member_id", "post_id", "body_html")
-    snap = gr.snapshot(notices.drop("body_html"), bodies, members(spark, d))
-    return gr.feed(snap, "tag:BUILDING").select("member_id", "tag", "post_id", "posted_at")
+    rows = gr.listed(notices.drop("body_html"), bodies, members(spark, d))
+    return gr.feed(rows, "tag:BUILDING").select("member_id", "tag", "post_id", "posted_at")
 
 
 _JSON = """'[{"date":"2024-01-' || lpad((1 + doc_id % 28)::VARCHAR, 2, '0') || '","start_time":"' || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '20:30' END || '","mentioned_bjs":["' || lang || '"]}]'"""

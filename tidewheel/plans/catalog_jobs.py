@@ -279,7 +279,9 @@ def new_notice_count(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_custkey::VARCHAR AS member_id, o_orderkey AS post_id, o_orderdate AS posted_at FROM orders WHERE o_custkey IN (1, 4, 10) AND o_custkey IN (SELECT c_custkey FROM customer)")
 def favourite_feed(spark: SparkSession, d: str) -> DataFrame:
-    return gr.feed(_snapshots(spark, d)[1], "favorites", ["1", "4", "10"]).select("member_id", "post_id", "posted_at")
+    p = c.posts(spark, d)
+    rows = gr.listed(p.drop("body_html"), p.select("member_id", "post_id", "body_html"), c.members(spark, d))
+    return gr.feed(rows, "favorites", ["1", "4", "10"]).select("member_id", "post_id", "posted_at")
 
 
 @query("""SELECT doc_id, source || ': ' || lang || '~' || CASE WHEN doc_id % 2 = 0 THEN text ELSE '?' END AS raw, trim(split_part(source || ' ; a;b', ';', 1)) AS media, 'https://x/' || doc_id || '?s=' || source AS url, len(list_filter(string_split(text, ','), lambda x: x <> '')) AS n_tokens FROM documents""")

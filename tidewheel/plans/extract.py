@@ -74,6 +74,12 @@ def _minutes(mention: Column, second: bool = False) -> Column:
     return F.when((hour <= 24) & (minute < 60), at * 60 + minute)
 
 
+def _end(mention: Column) -> Column:
+    """Minutes since midnight of the time that ends a mention's range; one that would not be after its start is twelve hours later."""
+    start, end = _minutes(mention), _minutes(mention, True)
+    return F.when(end <= start, end + 720).otherwise(end)
+
+
 def _clock(minutes: Column) -> Column:
     of_day = F.pmod(minutes, F.lit(1440))
     return F.concat(F.lpad(F.floor(of_day / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((of_day % 60).cast("string"), 2, "0"))
@@ -88,7 +94,7 @@ def items(title: Column, text: Column, posted: Column, names: list[str]) -> Colu
     def step(state: Column, mention: Column) -> Column:
         minutes, day = _minutes(mention), _day(mention, posted)
         date = F.date_format(F.date_add(state["day"], F.floor(minutes / 1440).cast("int")), "yyyy-MM-dd")
-        item = F.struct(date.alias("date"), _clock(minutes).alias("start_time"), _clock(_minutes(mention, True)).alias("end_time"))
+        item = F.struct(date.alias("date"), _clock(minutes).alias("start_time"), _clock(_end(mention)).alias("end_time"))
         found = F.when(minutes.isNotNull(), F.concat(state["items"], F.array(item))).otherwise(state["items"])
         return F.struct(F.coalesce(day, state["day"]).alias("day"), found.alias("items"))
 

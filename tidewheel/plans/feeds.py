@@ -81,9 +81,14 @@ def add_feedback(feedback: DataFrame, subject: str, body: str, as_of) -> DataFra
 def live_check(status: DataFrame, ids: str, most: int = 50) -> DataFrame:
     """The live status of up to `most` ids of a comma list; unknown ids and failed fetches are not live."""
     asked = status.sparkSession.range(1).select(F.posexplode(tokens(F.lit(ids), most)).alias("place", "member_id"))
+    return live_of(asked, status)
+
+
+def live_of(asked: DataFrame, status: DataFrame) -> DataFrame:
+    """asked, rows with a member_id, with `live`: false for members without a status that was fetched."""
     known = status.where(F.coalesce("http_ok", F.lit(False))).select(F.col("member_id").alias("__id"), "live")
-    met = asked.join(known, F.col("member_id") == F.col("__id"), "left")
-    return met.select("place", "member_id", F.coalesce("live", F.lit(False)).alias("live"))
+    met = asked.join(known, F.col("member_id") == F.col("__id"), "left").drop("__id")
+    return met.withColumn("live", F.coalesce("live", F.lit(False)))
 
 
 class Admin:

@@ -23,12 +23,21 @@ def groups(groups: DataFrame, stats: DataFrame, ranking: DataFrame) -> DataFrame
     return met.groupBy(F.col("group").alias("name"), "color").agg(F.transform(nested, lambda x: x.dropFields("place")).alias("members"))
 
 
-def snapshot(posts: DataFrame, bodies: DataFrame, roster: DataFrame) -> DataFrame:
-    """One row a member of the roster: its notices, latest first."""
+def _notices(posts: DataFrame, bodies: DataFrame) -> DataFrame:
     known = bodies.select("member_id", "post_id", "body_html")
-    full = posts.join(known, ["member_id", "post_id"], "left")
-    notice = F.struct("posted_at", "post_id", "title", F.coalesce("body_html", F.lit("")).alias("body_html"), "views", "is_pinned")
-    lists = full.groupBy("member_id").agg(F.sort_array(F.collect_list(notice), asc=False).alias("notices"))
+    return posts.join(known, ["member_id", "post_id"], "left").withColumn("body_html", F.coalesce("body_html", F.lit("")))
+
+
+def listed(posts: DataFrame, bodies: DataFrame, roster: DataFrame) -> DataFrame:
+    """One row a notice of a member of the roster: what `exploded` gives of a snapshot, without a member's notices ever being in one row."""
+    mine = _notices(posts, bodies).join(roster.select("member_id", "name", "tag"), "member_id")
+    return mine.select("member_id", "name", "tag", "posted_at", "post_id", "title", "body_html", "views", "is_pinned")
+
+
+def snapshot(posts: DataFrame, bodies: DataFrame, roster: DataFrame) -> DataFrame:
+    """One row a member of the roster: its notices, latest first, as a screen takes them; use `listed` for members of very many notices."""
+    notice = F.struct("posted_at", "post_id", "title", "body_html", "views", "is_pinned")
+    lists = _notices(posts, bodies).groupBy("member_id").agg(F.sort_array(F.collect_list(notice), asc=False).alias("notices"))
     empty = F.array().cast(lists.schema["notices"].dataType)
     return roster.select("member_id", "name", "tag").join(lists, "member_id", "left").withColumn("notices", F.coalesce("notices", empty))
 
@@ -37,9 +46,9 @@ def exploded(snapshot: DataFrame) -> DataFrame:
     return snapshot.select("member_id", "name", "tag", F.explode("notices").alias("n")).select("member_id", "name", "tag", "n.*")
 
 
-def feed(snapshot: DataFrame, choice: str = "all", favourites: list[str] | None = None) -> DataFrame:
-    """Notices of a snapshot, latest first: all, favourites, or `tag:X`."""
-    rows, tag = exploded(snapshot), tag_of(choice)
+def feed(rows: DataFrame, choice: str = "all", favourites: list[str] | None = None) -> DataFrame:
+    """Notices, of `listed` or of a snapshot, latest first: all, favourites, or `tag:X`."""
+    rows, tag = exploded(rows) if "notices" in rows.columns else rows, tag_of(choice)
     if tag is not None:
         rows = rows.where(F.col("tag") == tag)
     elif choice == "favorites":

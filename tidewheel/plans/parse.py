@@ -37,9 +37,9 @@ def candidates(posts: DataFrame, schedules: DataFrame, as_of, words: list[str] |
     """Posts to read: recent and much viewed, not read before, with enough text and one of the words, and, by `attempts`, not to be tried later. The cheap
     filters reach the scan; text is stripped only of the latest `limit`."""
     recent = top_n(posts.where(within(F.col("posted_at"), as_of, days) & (F.col("views") >= least)), limit, F.desc("posted_at"), F.desc("post_id"))
-    unread = recent.join(schedules.select("post_id").distinct(), "post_id", "left_anti")
-    unread = (unread if attempts is None else due(unread, attempts, as_of)).withColumn("text", strip_html(F.col("body_html")))
-    kept = unread.where(long_enough(F.col("text")) & has_keyword(F.col("title"), F.col("text"), KEYWORDS if words is None else words))
+    todo = unread(recent, schedules)
+    todo = (todo if attempts is None else due(todo, attempts, as_of)).withColumn("text", strip_html(F.col("body_html")))
+    kept = todo.where(long_enough(F.col("text")) & has_keyword(F.col("title"), F.col("text"), KEYWORDS if words is None else words))
     return kept.select("post_id", "member_id", "member_name", "title", "text", image_urls(F.col("body_html")).alias("images"), "posted_at", local_date(as_of).alias("today"))
 
 
@@ -52,6 +52,11 @@ def items(found: DataFrame, results: DataFrame, strict_reference: bool = False)
     return met.withColumn("valid", valid).select("*", F.posexplode_outer("valid").alias("place", "item")).drop("valid", "json")
 
 
+def unread(posts: DataFrame, schedules: DataFrame) -> DataFrame:
+    """posts without a schedule, be it the sentinel."""
+    return posts.join(schedules.select("post_id").distinct(), "post_id", "left_anti")
+
+
 def due(posts: DataFrame, attempts: DataFrame, as_of) -> DataFrame:
     """posts without those whose next attempt is after as_of."""
     return posts.join(attempts.where(F.col("next_at") > F.lit(as_of).cast("timestamp_ntz")).select("post_id"), "post_id", "left_anti")
