@@ -189,7 +189,8 @@ def offsets(text: Column, path: str, pattern: str) -> Column:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", with_offsets: str | None = None) -> DataFrame:
-    """docs with the ids of `text` in column `out`, and the tokens' character ranges in `with_offsets`, if named."""
+    """docs with the ids of `text` in column `out`, and the tokens' character ranges in `with_offsets`, if named. A match of the pattern must
+    not go on over the first blank after a character that is none, as those of the public tokenizers' patterns don't."""
     more = {out: ids(F.col(text), path, pattern)}
     if with_offsets:
         more[with_offsets] = offsets(F.col(text), path, pattern)
