@@ -60,6 +60,23 @@ def keyed_writes(spark: SparkSession, d: str) -> DataFrame:
     return table.rows().select("post_id", "member_id", "title", "body_html", "views", "updated_at")
 
 
+@query("""SELECT o_orderkey AS post_id, CASE WHEN o_orderkey % 16 = 3 THEN 'edited' ELSE o_orderpriority END AS title FROM orders WHERE o_orderkey % 16 NOT IN (1, 5)
+UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 32 = 5 THEN 'first' ELSE 'second' END FROM orders WHERE o_orderkey % 16 = 5""")
+def stored_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Deletes, a partial update and an insert that keeps what is there, each on the buckets of its keys only."""
+    p = c.posts(spark, d).select("post_id", "title")
+    table = KeyedTable(spark, shared_folder(spark, "changed"), "post_id long, title string", ["post_id"], 16)
+    table.replace(p.where("post_id % 32 <> 21"))
+    of = lambda k: p.where(F.col("post_id") % 16 == k).select("post_id")
+    table.write(of(1), lambda rows, keys: mg.delete_set(rows, keys, ["post_id"]))
+    table.write(of(3), lambda rows, keys: mg.merge(rows, keys.withColumn("title", F.lit("edited")), ["post_id"], ["title"]))
+    table.write(of(5), lambda rows, keys: mg.delete_set(rows, keys.where("post_id % 32 = 5"), ["post_id"]))
+    new = of(5).select("post_id", F.when(F.col("post_id") % 32 == 5, "first").otherwise("second").alias("title"))
+    for title in (F.col("title"), F.lit("ignored")):
+        table.write(new.withColumn("title", title), lambda rows, batch: mg.insert_ignore(rows, batch, ["post_id"]))
+    return table.rows()
+
+
 @query("SELECT o_orderkey AS post_id, o_orderkey % 4 AS batch FROM orders")
 def unseen_posts(spark: SparkSession, d: str) -> DataFrame:
     """Four landings, each with all posts of those before it: the batch that had each post first. A replay of all posts adds none."""
