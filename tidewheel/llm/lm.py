@@ -226,8 +226,10 @@ def _requests(fan: int):
                 out = []
                 for order, (values, counts) in enumerate(held):
                     out += _ranges(row["unit"], order, 0, 0, values.astype(np.uint64), counts, fan)
+                del held
                 yield from _table(out, _ASKED).to_batches()
-        tk.released()
+                del out
+                tk.released()
 
     return asked
 
@@ -277,7 +279,10 @@ def _last(group: pa.Table) -> pa.Table:
     if order == 0:
         return _table([(None, 0, part, len(own), _coded(own), _counts(sums), None)], _ANSWER)
     totals = [int(sums.sum()), int((sums > 0).sum())]
-    return _table([*_given(group, values, own, sums, (None,)), (None, order, part, 0, None, None, totals)], _ANSWER)
+    out = _table([*_given(group, values, own, sums, (None,)), (None, order, part, 0, None, None, totals)], _ANSWER)
+    del values, own, sums
+    tk.released()
+    return out
 
 
 def _answers(requests: DataFrame, n: int, level: int, fan: int) -> tuple[DataFrame, DataFrame]:
