@@ -106,10 +106,11 @@ def _made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near(words: DataFrame) -> DataFrame:
     """(word, n, other, other_n): the pairs of different words that are one letter apart, each in both directions. words has (word, n), every word once."""
     given = words.where("word <> ''").select("word", "n").mapInArrow(_made, _KEYS)
-    a = given.where("part < 2")
-    b = given.where("part <> 1").select("anagram", "rest", F.col("part").alias("part2"), F.col("word").alias("other"), F.col("n").alias("other_n"))
-    met = a.join(b, ["anagram", "rest"]).where("(part = 1 and part2 = 2) or (part = 0 and part2 = 0 and word < other)")
-    pairs = met.where(F.levenshtein("word", "other", 1) == 1).select("word", "n", "other", "other_n").distinct()
+    # Parts 0 and 0, or 1 and 2, as a condition on both sides: so both read the same rows, which are made and shuffled once.
+    parts = (F.col("a.part") * 3 + F.col("b.part")).isin(0, 5) & ((F.col("a.part") > 0) | (F.col("a.word") < F.col("b.word")))
+    same = (F.col("a.anagram") == F.col("b.anagram")) & (F.col("a.rest") == F.col("b.rest"))
+    met = given.alias("a").join(given.alias("b"), same & parts & (F.levenshtein("a.word", "b.word", 1) == 1))
+    pairs = met.select("a.word", "a.n", F.col("b.word").alias("other"), F.col("b.n").alias("other_n")).distinct()
     return pairs.unionByName(pairs.select(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n")))
 
 
