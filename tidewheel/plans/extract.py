@@ -33,24 +33,30 @@ def _any(text: Column, words: tuple[str, ...]) -> Column:
     return F.rlike(text, F.lit("|".join(words)))
 
 
-def _part(mention: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(mention, pattern, group), F.lit(""))
+def _read(mention: Column) -> Column:
+    """The parts of a mention: of its one or two times (`clock`), or of its date; each pattern is met once."""
+    clock = F.split(F.regexp_replace(mention, f"^{_CLOCK}(?:{_GAP}(?:~|-|부터){_GAP}{_CLOCK})?$", ",".join(f"${i}" for i in range(1, 11))), ",")
+    date = F.split(F.regexp_replace(mention, f"^{_DATE}$", "$1,$2,$3,$4,$5"), ",")
+    return F.struct(mention.alias("text"), F.when(F.size(clock) == 10, clock).alias("clock"), F.when(F.size(date) == 5, date).alias("date"))
 
 
-def _day(mention: Column, posted: Column) -> Column:
+def _at(parts: Column, i: int) -> Column:
+    return F.nullif(F.get(parts, F.lit(i)), F.lit(""))
+
+
+def _day(read: Column, posted: Column) -> Column:
     """The day that a mention names; null for a time, and for a date that is none."""
-    own = posted.cast("date")
-    number = lambda g: _part(mention, f"^{_DATE}", g).cast("int")
-    whole, short = _made(number(1), number(2), number(3)), _made(F.year(own), number(4), number(5))
+    own, mention = posted.cast("date"), read["text"]
+    number = lambda i: _at(read["date"], i).cast("int")
+    whole, short = _made(number(0), number(1), number(2)), _made(F.year(own), number(3), number(4))
     # Of a date without a year, one long past is of the next year.
     near = F.when(F.date_diff(own, short) > 180, F.add_months(short, 12)).otherwise(short)
-    name = F.substring(mention, 1, 1)
-    weekday = F.array_position(F.array(*map(F.lit, WEEKDAYS)), name).cast("int")
+    weekday = F.array_position(F.array(*map(F.lit, WEEKDAYS)), F.substring(mention, 1, 1)).cast("int")
     ahead = F.pmod(weekday - F.dayofweek(own), F.lit(7)).cast("int")
     return (
-        F.when(_any(mention, tuple(f"^{w}" for w in TODAY)), own)
-        .when(F.startswith(mention, F.lit(TOMORROW)), F.date_add(own, F.when(F.hour(posted) < 6, 0).otherwise(1)))
-        .when(F.rlike(mention, F.lit(f"^[{''.join(WEEKDAYS)}]요일")), F.date_add(own, ahead))
+        F.when(mention.isin(*TODAY), own)
+        .when(mention == TOMORROW, F.date_add(own, F.when(F.hour(posted) < 6, 0).otherwise(1)))
+        .when((weekday > 0) & F.endswith(mention, F.lit("요일")), F.date_add(own, ahead))
         .otherwise(F.coalesce(whole, near))
     )
 
@@ -61,25 +67,18 @@ def _made(year: Column, month: Column, day: Column) -> Column:
     return F.when(year.isNotNull() & month.isNotNull() & day.isNotNull(), F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date"))
 
 
-def _minutes(mention: Column, second: bool = False) -> Column:
+def _minutes(read: Column, second: bool = False) -> Column:
     """Minutes since midnight of a mention's time, or of the one that ends its range; null if it has none."""
-    pattern = f"^{_CLOCK}" + (f"{_GAP}(?:~|-|부터){_GAP}{_CLOCK}" if second else "")
-    g = 5 if second else 0
-    part, hour = _part(mention, pattern, g + 1), _part(mention, pattern, g + 2).cast("int")
-    minute = F.coalesce(_part(mention, pattern, g + 3).cast("int"), _part(mention, pattern, g + 4).cast("int"), F.when(_part(mention, pattern, g + 5).isNotNull(), 30), F.lit(0))
+    clock, i = read["clock"], 5 if second else 0
+    part, hour = _at(clock, i), _at(clock, i + 1).cast("int")
+    minute = F.coalesce(_at(clock, i + 2).cast("int"), _at(clock, i + 3).cast("int"), F.when(_at(clock, i + 4).isNotNull(), 30), F.lit(0))
     if second:  # a range's end is in the part of the day that its start names, if it names none itself
-        part = F.coalesce(part, _part(mention, pattern, 1))
+        part = F.coalesce(part, _at(clock, 0))
     early = F.coalesce(part.isin(*MORNING), F.lit(False))
     at = F.when(early, F.when(hour == 12, 0).otherwise(hour)).when((part == NIGHT) & (hour == 12), 24).when((hour > 0) & (hour < 12), hour + 12).otherwise(hour)
     return F.when((hour <= 24) & (minute < 60), at * 60 + minute)
 
 
-def _end(mention: Column) -> Column:
-    """Minutes since midnight of the time that ends a mention's range; one that would not be after its start is twelve hours later."""
-    start, end = _minutes(mention), _minutes(mention, True)
-    return F.when(end <= start, end + 720).otherwise(end)
-
-
 def _clock(minutes: Column) -> Column:
     of_day = F.pmod(minutes, F.lit(1440))
     return F.concat(F.lpad(F.floor(of_day / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((of_day % 60).cast("string"), 2, "0"))
@@ -91,25 +90,26 @@ def items(title: Column, text: Column, posted: Column, names: list[str]) -> Colu
     kind = "array<struct<date:string,start_time:string,end_time:string>>"
     start = F.struct(posted.cast("date").alias("day"), F.array().cast(kind).alias("items"))
 
-    def step(state: Column, mention: Column) -> Column:
-        minutes, day = _minutes(mention), _day(mention, posted)
-        date = F.date_format(F.date_add(state["day"], F.floor(minutes / 1440).cast("int")), "yyyy-MM-dd")
-        item = F.struct(date.alias("date"), _clock(minutes).alias("start_time"), _clock(_end(mention)).alias("end_time"))
-        found = F.when(minutes.isNotNull(), F.concat(state["items"], F.array(item))).otherwise(state["items"])
-        return F.struct(F.coalesce(day, state["day"]).alias("day"), found.alias("items"))
+    def step(state: Column, told: Column) -> Column:
+        date = F.date_format(F.date_add(state["day"], F.floor(told["start"] / 1440).cast("int")), "yyyy-MM-dd")
+        end = F.when(told["end"] <= told["start"], told["end"] + 720).otherwise(told["end"])  # a range ends after its start
+        item = F.struct(date.alias("date"), _clock(told["start"]).alias("start_time"), _clock(end).alias("end_time"))
+        found = F.when(told["start"].isNotNull(), F.concat(state["items"], F.array(item))).otherwise(state["items"])
+        return F.struct(F.coalesce(told["day"], state["day"]).alias("day"), found.alias("items"))
 
-    mentions = F.regexp_extract_all(whole, F.lit(f"({_MENTION})"), F.lit(1))
-    timed = F.aggregate(mentions, start, step)
+    mentions = F.transform(F.regexp_extract_all(whole, F.lit(f"({_MENTION})"), F.lit(1)), _read)
+    told = F.transform(mentions, lambda r: F.struct(_day(r, posted).alias("day"), _minutes(r).alias("start"), _minutes(r, True).alias("end")))
+    timed = F.aggregate(told, start, step)
     none = F.lit(None).cast("string")
     alone = F.struct(
         F.date_format(F.when(_any(whole, NOW), posted.cast("date")).otherwise(timed["day"]), "yyyy-MM-dd").alias("date"), F.when(_any(whole, NOW), F.date_format(posted, "HH:mm")).alias("start_time"), none.alias("end_time")
     )
-    told = F.when(_any(whole, OFF), F.array().cast(kind)).when(F.size(timed["items"]) > 0, timed["items"]).otherwise(F.array(alone))
+    read = F.when(_any(whole, OFF), F.array().cast(kind)).when(F.size(timed["items"]) > 0, timed["items"]).otherwise(F.array(alone))
     known = F.filter(F.array(*map(F.lit, names)).cast("array<string>"), lambda n: F.contains(whole, n))
     mentioned = F.when(_any(whole, TOGETHER), known).otherwise(F.array().cast("array<string>"))
     about = F.substring(F.coalesce(title, F.lit("")), 1, LENGTH)
     full = lambda i: F.struct(i["date"].alias("date"), i["start_time"].alias("start_time"), i["end_time"].alias("end_time"), about.alias("description"), mentioned.alias("mentioned_bjs"))
-    return F.transform(told, full).cast(PARSED)
+    return F.transform(read, full).cast(PARSED)
 
 
 def results(found: DataFrame, names: list[str]) -> DataFrame:
