@@ -99,17 +99,19 @@ def items(title: Column, text: Column, posted: Column, names: list[str]) -> Colu
 
     mentions = F.transform(F.regexp_extract_all(whole, F.lit(f"({_MENTION})"), F.lit(1)), _read)
     told = F.transform(mentions, lambda r: F.struct(_day(r, posted).alias("day"), _minutes(r).alias("start"), _minutes(r, True).alias("end")))
-    timed = F.aggregate(told, start, step)
     none = F.lit(None).cast("string")
-    alone = F.struct(
-        F.date_format(F.when(_any(whole, NOW), posted.cast("date")).otherwise(timed["day"]), "yyyy-MM-dd").alias("date"), F.when(_any(whole, NOW), F.date_format(posted, "HH:mm")).alias("start_time"), none.alias("end_time")
-    )
-    read = F.when(_any(whole, OFF), F.array().cast(kind)).when(F.size(timed["items"]) > 0, timed["items"]).otherwise(F.array(alone))
+
+    def read(timed: Column) -> Column:
+        day = F.when(_any(whole, NOW), posted.cast("date")).otherwise(timed["day"])
+        alone = F.struct(F.date_format(day, "yyyy-MM-dd").alias("date"), F.when(_any(whole, NOW), F.date_format(posted, "HH:mm")).alias("start_time"), none.alias("end_time"))
+        return F.when(_any(whole, OFF), F.array().cast(kind)).when(F.size(timed["items"]) > 0, timed["items"]).otherwise(F.array(alone))
+
     known = F.filter(F.array(*map(F.lit, names)).cast("array<string>"), lambda n: F.contains(whole, n))
     mentioned = F.when(_any(whole, TOGETHER), known).otherwise(F.array().cast("array<string>"))
     about = F.substring(F.coalesce(title, F.lit("")), 1, LENGTH)
     full = lambda i: F.struct(i["date"].alias("date"), i["start_time"].alias("start_time"), i["end_time"].alias("end_time"), about.alias("description"), mentioned.alias("mentioned_bjs"))
-    return F.transform(read, full).cast(PARSED)
+    once = F.transform(F.array(F.aggregate(told, start, step)), lambda timed: F.transform(read(timed), full))  # the mentions are gone through once
+    return F.get(once, F.lit(0)).cast(PARSED)
 
 
 def results(found: DataFrame, names: list[str]) -> DataFrame:
