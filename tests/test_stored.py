@@ -12,7 +12,7 @@ from tidewheel.functions import text as tx
 from tidewheel.functions import timeutil as tm
 from tidewheel.operators import relational as rel
 from tidewheel.operators.pages import PageIndex
-from tidewheel.plans import extract, groups, ingest, parse
+from tidewheel.plans import catalog_stored, extract, groups, ingest, parse
 from tidewheel.sources import keyed, paged, readers, schemas
 from tidewheel.streaming import ingest as stream
 
@@ -198,6 +198,26 @@ def test_images(spark, tmp_path):
     assert got == {1: ["image/jpeg", "image/png", "image/jpeg"], 2: [], 3: [], 4: []}
 
 
+def test_packs(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    for name, data in (("a.PNG", b"\x00\x01" * 100), ("b", b"jpg"), ("c.gif", b"")):
+        (tmp_path / "in" / name).write_bytes(data)
+    loose, packs = readers.read_images(spark, str(tmp_path / "in")), str(tmp_path / "packs")
+    readers.write_packs(loose, packs)
+    readers.write_packs(spark.createDataFrame([("d.gif", ""), ("e.gif", None), ("f.gif", "AA==")], "name string, data string"), packs)
+    assert sorted(tuple(r) for r in readers.read_packs(spark, packs).collect()) == sorted([*[tuple(r) for r in loose.collect()], ("f.gif", "image/gif", "AA==")])
+    # files do not grow with the pictures
+    for n in (30, 300):
+        spark.range(n).selectExpr("id AS doc_id", "concat('a\nb', id) AS text").coalesce(2).write.parquet(str(tmp_path / f"{n}" / "documents.parquet"))
+    landed = []
+    for n in (30, 300):
+        monkeypatch.setattr(catalog_stored, "shared_folder", lambda spark, name, n=n: str(tmp_path / f"{name}-{n}"))
+        met = catalog_stored.landed_images(spark, str(tmp_path / f"{n}")).collect()
+        assert {r["post_id"]: (r["n"], base64.b64decode(r["data"])) for r in met} == {k: (1 + (k % 3 > 0) + k % 2, f"a\nb{k}\n".encode() if k % 3 else b"common\n") for k in range(n)}
+        landed.append(sum(not x.startswith((".", "_")) for _, _, names in os.walk(tmp_path / f"pictures-{n}") for x in names))
+    assert max(landed) <= 6
+
+
 CASES = [
     # posted on Wednesday 2024-03-13
     ("20:00", "방송", "오늘 8시", [("2024-03-13", "20:00", None)]),

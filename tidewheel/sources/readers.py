@@ -117,12 +117,33 @@ def read_roster(spark: SparkSession, path: str, popular: DataFrame | None = None
 
 def read_images(spark: SparkSession, path: str, name: Column | None = None) -> DataFrame:
     """Landed image files, one row each: `name`, by default the path below `path`, else as given of column `path`; `media`, the media type by the name's
-    ending, else image/jpeg; `data`, the file in base64. Empty files give no row. Contents are read only where `data` is asked for."""
+    ending, else image/jpeg; `data`, the file in base64. Empty files give no row. Contents are read only where `data` is asked for.
+
+    The driver lists the files and every file is opened by itself, so this suits folders of some 10,000 files; more belong in packs."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0")
     below = F.substring_index(F.col("path"), path.rstrip("/").rsplit("/", 1)[-1] + "/", -1) if name is None else name
-    named = files.select(below.alias("name"), "content")
+    return _pictures(files.select(below.alias("name"), base64_of(F.col("content")).alias("data")))
+
+
+def base64_of(content: Column) -> Column:
+    return F.replace(F.base64(content), F.lit("\r\n"), F.lit(""))
+
+
+def _pictures(named: DataFrame) -> DataFrame:
+    """(name, data) with the media type."""
     ending = F.lower(F.regexp_extract("name", r"\.([A-Za-z0-9]+)$", 1))
-    return named.select("name", F.coalesce(alias_of(ending, schemas.MEDIA, strict=True), F.lit("image/jpeg")).alias("media"), F.translate(F.base64("content"), "\r\n", "").alias("data"))
+    return named.select("name", F.coalesce(alias_of(ending, schemas.MEDIA, strict=True), F.lit("image/jpeg")).alias("media"), "data")
+
+
+def write_packs(images: DataFrame, path: str) -> None:
+    """Appends images, of which `name` and `data` count, to packs: JSON lines, many pictures to a file, one file a task, so that the number of files does
+    not grow with that of pictures. Rows are read one at a time, so a batch of large pictures is never held; one of 75 MB or more can't be read."""
+    images.select("name", "data").write.mode("append").json(path)
+
+
+def read_packs(spark: SparkSession, path: str) -> DataFrame:
+    """Pictures of packs, as from `read_images`; those without contents give no row."""
+    return _pictures(spark.read.schema(schemas.PACK).json(path).where("data <> ''"))
 
 
 def images_of(rows: DataFrame, images: DataFrame, landed: Column, key: str = "post_id", urls: str = "images", out: str = "parts") -> DataFrame:

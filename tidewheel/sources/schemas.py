@@ -16,6 +16,8 @@ POST_BODY = "member_id string, title_no long, content struct<content:string>"
 PARSE_RESULT = "post_id long, status string, json string"
 #: A member of a roster that is one object, by member.
 ROSTER_VALUE = "name string, tag string"
+#: A picture of a pack: its name, and its file in base64.
+PACK = "name string, data string"
 #: How often a post was tried, and when it may be tried again.
 ATTEMPTS = "post_id long, tries int, next_at timestamp_ntz"
 
